@@ -77,14 +77,16 @@ def content_words(c: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop))
 
 
-def find_all(text: Column, pattern: Column) -> Column:
+def find_all(text: Column, pattern: Column, first: int | None = None) -> Column:
     """Non-overlapping matches of a pattern (it may differ per row): array of (start, end, match), start from 0.
 
-    Gap lengths and match lengths come from two regexp_extract_all calls, so no row-wise Python is needed."""
+    With `first`, only that many. Gap lengths and match lengths come from two regexp_extract_all calls, so no row-wise Python is needed."""
     scan = F.concat(F.lit(r"([\s\S]*?)("), pattern, F.lit(")"))
     gaps = F.regexp_extract_all(text, scan, F.lit(1))
     hits = F.regexp_extract_all(text, scan, F.lit(2))
     both = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+    if first is not None:
+        both = F.slice(both, 1, first)
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")
     fold = F.aggregate(
         both,
