@@ -122,8 +122,12 @@ def classify_refs(spark, sf):
     return load(spark, sf, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.kind", "r.ref")
 
 
-@Q.add("clean_text", f"""SELECT page_id, {STRIP.replace('{x}', "regexp_replace(regexp_replace(replace(html, '&amp;', '&'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')")} AS cleaned,
-  regexp_replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g') AS plain FROM pages""")
+DECODE = "replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+TAGLESS = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+
+
+@Q.add("clean_text", f"""SELECT page_id, {STRIP.replace('{x}', "regexp_replace(regexp_replace(" + DECODE.replace('{x}', 'html') + ", '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')")} AS cleaned,
+  regexp_replace({DECODE.replace('{x}', TAGLESS)}, '\\s+', ' ', 'g') AS plain FROM pages""")
 def clean_text(spark, sf):
     return load(spark, sf, "pages").select("page_id", text.clean_text(F.col("html")).alias("cleaned"),
                                            text.plain(F.col("html")).alias("plain"))
