@@ -267,15 +267,16 @@ def term_unit(c: Column) -> Column:
 
 def value_term(c: Column) -> Column:
     """The term without its unit; text after the number that is no known unit stays."""
-    def bare(t: Column) -> Column:
-        known = (t["unit"] == "") | canonical_unit(t["unit"]).isNotNull()
-        return (
-            F.when((t["kind"] == "range") & known, F.concat_ws(" to ", t["a"], t["b"]))
-            .when((t["kind"] == "number") & known, t["a"])
-            .otherwise(strip(c))
-        )
+    return let(read_term(c), lambda t: _bare_value(c, t, _unit_of(t)))
 
-    return let(read_term(c), bare)
+
+def _bare_value(c: Column, t: Column, own_unit: Column) -> Column:
+    known = (t["unit"] == "") | own_unit.isNotNull()
+    return (
+        F.when((t["kind"] == "range") & known, F.concat_ws(" to ", t["a"], t["b"]))
+        .when((t["kind"] == "number") & known, t["a"])
+        .otherwise(strip(c))
+    )
 
 
 def _number_spellings(n: Column) -> Column:
@@ -332,11 +333,10 @@ def _number_pattern(n: Column) -> Column:
 
 
 def _unit_pattern(unit: Column) -> Column:
-    out = F.concat(F.lit(r"\s*-?\s*"), _words_pattern(unit))
-    for name, pattern in UNIT_PATTERNS.items():
-        lead = r"\s*" if name == "%" else r"\s*-?\s*"
-        out = F.when(F.lower(unit) == name, F.lit(lead + pattern)).otherwise(out)
-    return F.when(unit == "", F.lit("")).otherwise(out)
+    known = {name: (r"\s*" if name == "%" else r"\s*-?\s*") + pattern for name, pattern in UNIT_PATTERNS.items()}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.when(unit == "", F.lit("")).otherwise(F.coalesce(
+        F.element_at(table, F.lower(unit)), F.concat(F.lit(r"\s*-?\s*"), _words_pattern(unit))))
 
 
 def _words_pattern(c: Column) -> Column:
@@ -346,13 +346,17 @@ def _words_pattern(c: Column) -> Column:
 
 def term_pattern(c: Column) -> Column:
     """One tolerant Java pattern that matches every spelling of a term."""
-    def body(t: Column) -> Column:
-        return (
-            F.when(t["kind"] == "range", F.concat(_number_pattern(t["a"]), F.lit(RANGE_JOIN), _number_pattern(t["b"])))
-            .when(t["kind"] == "number", _number_pattern(t["a"]))
-            .otherwise(_words_pattern(t["a"])))
+    return let(read_term(c), _pattern_of)
+
+
+def _pattern_of(t: Column) -> Column:
+    body = F.when(t["kind"] == "words", _words_pattern(t["a"])).otherwise(F.concat(
+        _number_pattern(t["a"]), F.when(t["kind"] == "range", F.concat(F.lit(RANGE_JOIN), _number_pattern(t["b"]))).otherwise(F.lit(""))))
+    return F.concat(F.lit(_FLAGS), body, _unit_pattern(t["unit"]))
+
 
-    return let(read_term(c), lambda t: F.concat(F.lit(_FLAGS), body(t), _unit_pattern(t["unit"])))
+def _number_of(t: Column) -> Column:
+    return F.when(t["kind"] != "words", _drop_zeros(t["a"]))
 
 
 def _matched_value(c: Column) -> Column:
@@ -367,7 +371,7 @@ def value_pattern(c: Column) -> Column:
 def join_number(c: Column) -> Column:
     """Key of the posting join: the first number of a term whose pattern starts with a bounded number. Null for terms
     matched by words (a thousands group, free text), which have no such key."""
-    return let(_matched_value(c), lambda v: let(read_term(v), lambda t: F.when(t["kind"] != "words", _drop_zeros(t["a"]))))
+    return let(_matched_value(c), lambda v: let(read_term(v), _number_of))
 
 
 # ---- Matches read as quantities -------------------------------------------------------------------------------------
@@ -477,20 +481,24 @@ def match_rules(terms: Column, unit: Column, proposed: Column) -> Column:
     props = F.transform(F.coalesce(proposed, F.array().cast("array<string>")), lambda p: F.lower(strip(p)))
     known = F.when(unit.isin(*CANONICAL_UNITS, "none"), unit)
 
-    def rule(t: Column, strict: Column) -> Column:
-        is_range = let(value_term(t), lambda v: read_term(v)["kind"] == "range")
-        return let(term_unit(t), lambda own: F.struct(
-            t.alias("term"),
-            value_pattern(t).alias("pattern"),
-            join_number(t).alias("number"),
-            (F.size(numbers(t)) > 0).alias("numeric"),
-            F.coalesce(own, known).alias("want"),
-            own.isNotNull().alias("has_unit"),
-            (~is_range & ~strict).alias("point"),
-            strict.alias("strict")))
-
-    return let(props, lambda ps: F.transform(terms, lambda t: let(
-        F.array_contains(ps, F.lower(strip(t))), lambda strict: rule(t, strict))))
+    def rule(r: Column, v: Column) -> Column:
+        return F.struct(
+            r["term"].alias("term"),
+            _pattern_of(v).alias("pattern"),
+            _number_of(v).alias("number"),
+            r["numeric"].alias("numeric"),
+            F.coalesce(r["own"], known).alias("want"),
+            r["own"].isNotNull().alias("has_unit"),
+            ((v["kind"] != "range") & ~r["strict"]).alias("point"),
+            r["strict"].alias("strict"))
+
+    def read(t: Column, ps: Column) -> Column:
+        facts = let(read_term(t), lambda p: let(_unit_of(p), lambda own: F.struct(
+            t.alias("term"), (F.size(numbers(t)) > 0).alias("numeric"), own.alias("own"),
+            F.array_contains(ps, F.lower(strip(t))).alias("strict"), _bare_value(t, p, own).alias("value"))))
+        return let(facts, lambda r: let(read_term(F.when(r["numeric"], r["value"]).otherwise(t)), lambda v: rule(r, v)))
+
+    return let(props, lambda ps: F.transform(terms, lambda t: read(t, ps)))
 
 
 def old_quantities(terms: Column, proposed: Column) -> Column:

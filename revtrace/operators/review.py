@@ -167,6 +167,8 @@ def decide_citations(docs: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     for k in ("cites", "role"):
         machine = _keep_first(machine, k, changed[k])
     fields = F.array_compact(F.array(*[F.when(changed[k], F.lit(k)) for k in ("cites", "role")]))
+    # before the select: a column named inside a lambda would read the select's new `cites`, not the old one
+    j = j.withColumn("_machine", machine)
     done = j.select(
         "id",
         F.when(changed["cites"], F.col("to_cites")).otherwise(F.col("cites")).alias("cites"),
@@ -175,7 +177,7 @@ def decide_citations(docs: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
         F.coalesce("decision", "review_status").alias("review_status"),
         F.when(hit, F.nullif(F.trim("by"), F.lit(""))).otherwise(F.col("reviewer")).alias("reviewer"),
         F.when(hit, F.nullif("note", F.lit(""))).otherwise(F.col("review_note")).alias("review_note"),
-        machine.alias("machine_verdict"),
+        F.col("_machine").alias("machine_verdict"),
         F.when(F.size(fields) > 0, F.array_sort(F.array_union(F.coalesce("corrected_fields", F.array().cast(_STRINGS)), fields)))
         .otherwise(F.col("corrected_fields")).alias("corrected_fields"))
     return done, checked.filter("error IS NOT NULL").select("id", "decision", "error")
