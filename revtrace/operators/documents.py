@@ -13,7 +13,8 @@ DOC = ["paper_id", "doc_id"]
 CHUNK_CHARS = 24_000
 SECTION_CHARS = 6_000
 CUT_MARK = " …[truncated]"
-ANCHOR_GRAM, ANCHOR_WINDOW = 12, 17
+# gram length and window per tier: a needle needs gram + window - 1 characters
+ANCHORS = [(12, 17), (8, 5), (3, 1), (1, 1)]
 
 
 def _heading() -> Column:
@@ -186,7 +187,7 @@ def verify_flat_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 def _anchors(sq: Column, gram: int, window: int) -> Column:
     """Minimum gram hash of every window of a squashed text, distinct. A text that contains another one shares all of
     its windows, so any one window of the contained text is a join key that loses no match."""
-    grams = F.regexp_extract_all(sq, F.lit(rf"(?=(.{{{gram}}}))"), F.lit(1))
+    grams = F.regexp_extract_all(sq, F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))
     hashes = F.transform(grams, lambda g: F.xxhash64(g))
     if window == 1:
         return F.array_distinct(hashes)
@@ -195,31 +196,39 @@ def _anchors(sq: Column, gram: int, window: int) -> Column:
         F.array().cast("array<bigint>")))
 
 
-def _one_anchor(sq: Column, gram: int, window: int) -> Column:
-    """The anchor of the first window of a quote."""
-    return F.element_at(_anchors(F.substring(sq, 1, gram + window - 1), gram, window), 1)
+def contains_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """needles(needle), texts(text_id, hay) -> (needle, text_id) of every text that contains a needle.
+
+    Needles and texts meet in an equi-join on one anchor hash and `contains` decides on the pairs left, so nothing is
+    compared that shares no anchor. The anchor comes from a needle's last window (DOIs and sentences start alike). Needles
+    are handled by length; the finer anchors of short ones are computed only when there are such needles."""
+    sought = needles.select("needle").filter(F.length("needle") > 0).distinct()
+    hay = texts.select("text_id", "hay")
+    pairs, upper = None, None
+    for gram, window in ANCHORS:
+        reach = gram + window - 1
+        part = sought.filter(F.length("needle") >= reach)
+        if upper is not None:
+            part = part.filter(F.length("needle") < upper)
+            if part.isEmpty():
+                upper = reach
+                continue
+        upper = reach
+        last = F.substring("needle", F.length("needle") - (reach - 1), F.lit(reach))
+        keyed = part.withColumn("anchor", F.element_at(_anchors(last, gram, window), 1))
+        posted = hay.select("text_id", F.explode(_anchors(F.col("hay"), gram, window)).alias("anchor"))
+        got = posted.join(keyed, "anchor").select("text_id", "needle")
+        pairs = got if pairs is None else pairs.unionByName(got)
+    return pairs.distinct().join(hay, "text_id").filter(F.contains("hay", F.col("needle"))).select("needle", "text_id")
 
 
 def find_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """quotes(quote_id, quote), texts(text_id, text) -> (quote_id, text_id) of every verbatim match, with no document
-    named. A quote stands in a text exactly when its squashed form does (and it is long enough), so quotes meet texts in
-    an equi-join on one anchor hash, and `contains` decides on the few pairs left. Equal quotes are searched once."""
-    q = (quotes.withColumn("sq", squash(F.col("quote"))).filter(F.length(norm(F.col("quote"))) >= MIN_QUOTE_CHARS))
-    sought = q.select("sq").distinct()
-    reach = ANCHOR_GRAM + ANCHOR_WINDOW - 1
-    t = texts.select("text_id", squash(F.col("text")).alias("ts"))
-
-    def candidates(part: DataFrame, gram: int, window: int) -> DataFrame:
-        keyed = part.withColumn("anchor", _one_anchor(F.col("sq"), gram, window))
-        posted = t.select("text_id", F.explode(_anchors(F.col("ts"), gram, window)).alias("anchor"))
-        return posted.join(keyed, "anchor").select("text_id", "sq")
-
-    pairs = candidates(sought.filter(F.length("sq") >= reach), ANCHOR_GRAM, ANCHOR_WINDOW)
-    short = sought.filter(F.length("sq") < reach)
-    if not short.isEmpty():  # grams of 8 at every place: the shortest quote allowed has 8 letters and digits
-        pairs = pairs.unionByName(candidates(short, 8, 1))
-    hits = pairs.join(t, "text_id").filter(F.contains(F.col("ts"), F.col("sq"))).select("text_id", "sq")
-    return q.join(hits, "sq").select("quote_id", "text_id")
+    named. A quote stands in a text exactly when its squashed form does (and it is long enough). Equal quotes are searched
+    once."""
+    q = (quotes.withColumn("needle", squash(F.col("quote"))).filter(F.length(norm(F.col("quote"))) >= MIN_QUOTE_CHARS))
+    hits = contains_pairs(q, texts.select("text_id", squash(F.col("text")).alias("hay")))
+    return q.join(hits, "needle").select("quote_id", "text_id")
 
 
 def build_provenance(diffs: DataFrame, units: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import pairing, records, review, rollups
 from ..sources import tables
 from .book import Book
 from .q_text import KEY, OLD_TERMS, RAW
-from .views import load, statement, view, with_views
+from .views import AUTHOR, load, view, with_views
 
 Q = Book()
 VISIBLE = ("(suspected_false_positive IS DISTINCT FROM true) AND (review_status IS DISTINCT FROM 'rejected') "
@@ -487,13 +487,13 @@ def statement_events(spark, sf):
     diff = F.struct(F.when(F.col("doc_id") % 5 == 0, "wording_only").otherwise("data_revision").alias("root_cause"), F.col("old_text").alias("preprint_text"),
                     F.col("new_text").alias("published_text"), F.lit("changed").alias("change_description"), F.lit("major").alias("severity_tier"))
     return s.select(F.col("doc_id").alias("event_id"), F.concat(F.lit("p"), "doc_id").alias("paper_id"), F.concat(F.lit("10.1101/"), "doc_id").alias("preprint_doi"),
-                    F.concat(F.lit("10.1016/p"), "doc_id").alias("published_doi"), F.concat(F.lit("Author"), F.col("doc_id") % 50).alias("first_author"),
+                    F.concat(F.lit("10.1016/p"), "doc_id").alias("published_doi"), F.expr(AUTHOR).alias("first_author"),
                     F.concat(F.lit("Study "), "doc_id", F.lit(" of revised incubation values in "), "lang", F.lit(" cohorts over time")).alias("preprint_title"),
                     F.array(diff.withField("root_cause", F.lit("wording_only")), diff).alias("claim_diffs"), F.lit("not_queued").alias("citation_status"),
                     F.lit("drifted").alias("drift_summary"), F.when(F.col("doc_id") % 41 == 0, "rejected").otherwise("pending").alias("review_status"), F.lit("major").alias("fulltext_tier"))
 
 
-@Q.add("citation_targets", f"SELECT concat(doc_id, '::1') AS target_id, concat('Author', doc_id % 50) AS first_author, {OLD_TERMS} AS terms, substr(concat('Study ', doc_id, ' of revised incubation values in ', lang, ' cohorts over time'), 1, 60) AS title_fragment FROM documents WHERE doc_id % 5 <> 0 AND {OLD_TERMS} <> ''")
+@Q.add("citation_targets", f"SELECT concat(doc_id, '::1') AS target_id, {AUTHOR} AS first_author, {OLD_TERMS} AS terms, substr(concat('Study ', doc_id, ' of revised incubation values in ', lang, ' cohorts over time'), 1, 60) AS title_fragment FROM documents WHERE doc_id % 5 <> 0 AND {OLD_TERMS} <> ''")
 def citation_targets(spark, sf):
     return records.build_targets(statement_events(spark, sf)).select("target_id", "first_author", F.array_join("terms", "|").alias("terms"), "title_fragment")
 

@@ -5,6 +5,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import steady_unions
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -24,6 +26,9 @@ def statement(key: str) -> str:
     return _STATEMENT.replace("{k}", key)
 
 
+# first author of a key: letters only, because a name in a sentence is read without digits
+AUTHOR = "concat('Author', translate(concat('', doc_id % 50), '0123456789', 'abcdefghij'))"
+
 VIEWS: dict[str, str] = {
     # one revised claim per document: old text, and a new text that keeps, changes or drops the value
     "statements": f"""SELECT doc_id, lang, source, {statement('doc_id')} AS old_text,
@@ -88,6 +93,7 @@ VIEWS: dict[str, str] = {
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    steady_unions(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 

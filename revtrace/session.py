@@ -26,6 +26,12 @@ def local_session(cpus: str = "*", name: str = "revtrace") -> SparkSession:
     return spark
 
 
+def steady_unions(spark: SparkSession) -> None:
+    """Spark 4.1 may zip the partitions of a union's inputs when both are partitioned alike; adaptive execution can then
+    give them different partition counts and the query fails. The setting turns that shortcut off."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir. A temporary folder only where the setting is missing (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
