@@ -81,7 +81,8 @@ def find_all(text: Column, pattern: Column, first: int | None = None) -> Column:
     """Non-overlapping matches of a pattern (it may differ per row): array of (start, end, match), start from 0.
 
     With `first`, only that many. Gap lengths and match lengths come from two regexp_extract_all calls, so no row-wise Python is needed."""
-    scan = F.concat(F.lit(r"([\s\S]*?)("), pattern, F.lit(")"))
+    # \G ties each gap to the match before it; without it the text behind the last match is scanned from every position
+    scan = F.concat(F.lit(r"\G([\s\S]*?)("), pattern, F.lit(")"))
     gaps = F.regexp_extract_all(text, scan, F.lit(1))
     hits = F.regexp_extract_all(text, scan, F.lit(2))
     both = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))

@@ -13,8 +13,8 @@ DOC = ["paper_id", "doc_id"]
 CHUNK_CHARS = 24_000
 SECTION_CHARS = 6_000
 CUT_MARK = " …[truncated]"
-# gram length and window per tier: a needle needs gram + window - 1 characters
-ANCHORS = [(12, 17), (8, 5), (3, 1), (1, 1)]
+# key grams per tier, from rare to every position of a text
+ANCHORS = [r"[bgkpvwy0-9].{11}", r".{8}", r".{3}", r"."]
 
 
 def _heading() -> Column:
@@ -184,40 +184,32 @@ def verify_flat_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     return quotes.join(t, "work_id", "left").withColumn("verified", F.coalesce(ok, F.lit(False))).drop("t_norm", "t_squash")
 
 
-def _anchors(sq: Column, gram: int, window: int) -> Column:
-    """Minimum gram hash of every window of a squashed text, distinct. A text that contains another one shares all of
-    its windows, so any one window of the contained text is a join key that loses no match."""
-    grams = F.regexp_extract_all(sq, F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))
-    hashes = F.transform(grams, lambda g: F.xxhash64(g))
-    if window == 1:
-        return F.array_distinct(hashes)
-    return let(hashes, lambda h: F.when(F.size(h) >= window, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(h) - window + 1), lambda i: F.array_min(F.slice(h, i, window))))).otherwise(
-        F.array().cast("array<bigint>")))
+def _grams(c: Column, pattern: str) -> Column:
+    """Overlapping grams of a text that fit a pattern, as hashes."""
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)(?=({pattern}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
 
 def contains_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """needles(needle), texts(text_id, hay) -> (needle, text_id) of every text that contains a needle.
 
-    Needles and texts meet in an equi-join on one anchor hash and `contains` decides on the pairs left, so nothing is
-    compared that shares no anchor. The anchor comes from a needle's last window (DOIs and sentences start alike). Needles
-    are handled by length; the finer anchors of short ones are computed only when there are such needles."""
-    sought = needles.select("needle").filter(F.length("needle") > 0).distinct()
+    Needles and texts meet in an equi-join on the hash of one gram of the needle and `contains` decides on the pairs left.
+    Whether a gram is a key depends on its own characters only, so a text that contains the needle has the key as well and
+    no match is lost. The first tier keys only grams that start with a rarer character (about one position in eight);
+    needles without such a gram, and short ones, take a denser tier, which is computed only when there are any. Of a
+    needle's grams the one that fewest needles have is used, so a phrase common to many needles is no hot key."""
+    rest = needles.select("needle").filter(F.length("needle") > 0).distinct()
     hay = texts.select("text_id", "hay")
-    pairs, upper = None, None
-    for gram, window in ANCHORS:
-        reach = gram + window - 1
-        part = sought.filter(F.length("needle") >= reach)
-        if upper is not None:
-            part = part.filter(F.length("needle") < upper)
-            if part.isEmpty():
-                upper = reach
-                continue
-        upper = reach
-        last = F.substring("needle", F.length("needle") - (reach - 1), F.lit(reach))
-        keyed = part.withColumn("anchor", F.element_at(_anchors(last, gram, window), 1))
-        posted = hay.select("text_id", F.explode(_anchors(F.col("hay"), gram, window)).alias("anchor"))
-        got = posted.join(keyed, "anchor").select("text_id", "needle")
+    pairs = None
+    for i, pattern in enumerate(ANCHORS):
+        grams = rest.withColumn("grams", F.array_distinct(_grams(F.col("needle"), pattern)))
+        each = grams.select("needle", F.explode("grams").alias("anchor"))
+        often = each.groupBy("anchor").agg(F.count("*").alias("n"))
+        part = each.join(often, "anchor").groupBy("needle").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"))
+        rest = grams.filter(F.size("grams") == 0).select("needle")
+        if i > 0 and part.isEmpty():
+            continue
+        posted = hay.select("text_id", F.explode(F.array_distinct(_grams(F.col("hay"), pattern))).alias("anchor"))
+        got = posted.join(part, "anchor").select("text_id", "needle")
         pairs = got if pairs is None else pairs.unionByName(got)
     return pairs.distinct().join(hay, "text_id").filter(F.contains("hay", F.col("needle"))).select("needle", "text_id")
 

@@ -61,62 +61,88 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = DEPTH, places: int = 6) -> DataFrame:
+def _best_rows(doc_ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int, zero: bool) -> pd.DataFrame:
+    """Rows of a batch that can be among the best k of a query: scores has one row per document and one column per query.
+    Ties with the k-th score stay, the final ranking decides between them."""
+    keep = np.ones(scores.shape, dtype=bool) if zero else scores > 0
+    if len(doc_ids) > k:
+        keep &= scores >= np.partition(scores, len(doc_ids) - k, axis=0)[len(doc_ids) - k]
+    row, col = np.nonzero(keep)
+    return pd.DataFrame({"query_id": qids[col], "doc_id": doc_ids[row], "score": scores[row, col]})
+
+
+def _blocks(queries: DataFrame, row_bytes: int, limit: int) -> list[DataFrame]:
+    """The queries in blocks whose matrix stays within the limit; one block when all fit."""
+    n = max(1, -(-queries.count() * row_bytes // limit))
+    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = DEPTH, places: int = 6, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """queries(query_id, text), docs(doc_id, text) -> (query_id, doc_id, score, rank) by BM25, k1 = 1.2, b = 0.75.
 
-    Document tokens are cut to the query vocabulary in the scan and shuffled once, by document; term counts, the join with
-    the query terms (broadcast when their checked size allows) and the sums then stay within the document's partition."""
+    Document frequencies of the query terms are one aggregation. The term weights of a block of queries (of a checked size)
+    are then broadcast as a matrix; each document batch is scored with one product and gives up only its best k rows per
+    query, so documents and scored pairs are never shuffled. Further blocks are further passes."""
     d = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
+    n_docs, avg_len = d.agg(F.count("*"), F.avg(F.size("t"))).first()
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     vocabulary = broadcast_if_small(q.select("term").distinct(), 64)
-    posted = d.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = posted.repartition("doc_id").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avg_len")
-    length = BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
-    part = F.col("w") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + length)
-    scored = tf.join(broadcast_if_small(weights, 96), "term").groupBy("doc_id", "query_id").agg(F.round(F.sum(part), places).alias("score"))
-    return _top(scored, k).select("query_id", "doc_id", "score", "rank")
+    df = (d.select(F.explode(F.array_distinct("t")).alias("term")).join(vocabulary, "term", "left_semi")
+          .groupBy("term").agg(F.count("*").alias("df")))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = q.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
+    out = None
+    for block in _blocks(queries, 8 * 1024, block_bytes):
+        w = weights.join(block.select("query_id"), "query_id", "left_semi").toPandas()
+        qids, terms = pd.unique(w["query_id"]), pd.Index(pd.unique(w["term"]))
+        m = np.zeros((len(terms), len(qids)))
+        m[terms.get_indexer(w["term"]), pd.Index(qids).get_indexer(w["query_id"])] = w["w"]
+        shared = queries.sparkSession.sparkContext.broadcast((qids, terms, m))
 
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qids, terms, m = shared.value
+            for pdf in batches:
+                for part in (pdf[i:i + 512] for i in range(0, len(pdf) if len(qids) else 0, 512)):
+                    size = part["t"].map(len).to_numpy()
+                    col = terms.get_indexer(np.concatenate(part["t"].to_list()))
+                    cell = np.repeat(np.arange(len(part)), size)[col >= 0] * len(terms) + col[col >= 0]
+                    tf = np.bincount(cell, minlength=len(part) * len(terms)).reshape(len(part), -1)
+                    length = BM25_K1 * (1 - BM25_B + BM25_B * size[:, None] / avg_len)
+                    scores = np.round((tf * (BM25_K1 + 1) / (tf + length)) @ m, places)
+                    yield _best_rows(part["doc_id"].to_numpy(), scores, qids, k, zero=False)
+
+        got = d.mapInPandas(best, schema)
+        out = got if out is None else out.unionByName(got)
+    return _top(out, k).select("query_id", "doc_id", "score", "rank")
 
-def vector_rank(queries: DataFrame, docs: DataFrame, k: int = DEPTH, places: int = 6, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """queries(query_id, embedding), docs(doc_id, embedding) -> exact cosine ranking.
 
-    The query matrix is broadcast in blocks of a checked size (one block when it fits; every further block is one more pass
-    over the documents). Each document batch is multiplied with the block and gives up only its best k rows per query, so
-    no pair of query and document is ever shuffled."""
-    n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-int(n) * int(dim or 1) * 8 // block_bytes))
+def vector_rank(queries: DataFrame, docs: DataFrame, k: int = DEPTH, places: int = 6, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """queries(query_id, embedding), docs(doc_id, embedding) -> exact cosine ranking, by the same batch product as bm25."""
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
     schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
     out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.select("query_id", "embedding").collect()
-        ids = np.array([r.query_id for r in rows])
-        m = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, m))
+    for block in _blocks(queries, 8 * dim, block_bytes):
+        rows = block.select("query_id", "embedding").toPandas()
+        shared = queries.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit_rows(rows["embedding"])))
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids, qm = shared.value
+            qids, m = shared.value
             for pdf in batches:
-                if pdf.empty or not len(qids):
-                    continue
-                v = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.round(v @ qm.T, places)
-                doc = pdf["doc_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(doc[:, None], s.shape), -s), axis=0)[:k]
-                yield pd.DataFrame({"query_id": np.tile(qids, order.shape[0]), "doc_id": doc[order].ravel(),
-                                    "score": np.take_along_axis(s, order, axis=0).ravel()})
+                if not pdf.empty and len(qids):
+                    scores = np.round(_unit_rows(pdf["embedding"]) @ m.T, places)
+                    yield _best_rows(pdf["doc_id"].to_numpy(), scores, qids, k, zero=True)
 
         got = docs.select("doc_id", "embedding").mapInPandas(best, schema)
         out = got if out is None else out.unionByName(got)
     return _top(out, k)
 
 
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 def rrf(rankings: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of named rankings(query_id, doc_id, rank, score), in the given order of precedence: the sum of
     1 / (k + rank), raw scores kept; ties by first appearance."""

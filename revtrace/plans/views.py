@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import steady_unions
+from ..session import spread, steady_unions
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -94,7 +94,8 @@ VIEWS: dict[str, str] = {
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     steady_unions(spark)
-    return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+    return spread(df) if table in ("documents", "pages") else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,6 +42,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text work is bound by CPU: an input with fewer splits than the cluster has cores is dealt out to all of them. A large
+    input has more splits than cores and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only when a count shows the side is within the limit; beyond it Spark joins by shuffle.
     The count stops at one row over the limit, so the check itself stays small."""
