@@ -201,13 +201,13 @@ def contains_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
     hay = texts.select("text_id", "hay")
     pairs = None
     for i, pattern in enumerate(ANCHORS):
+        if i > 0 and rest.isEmpty():
+            break
         grams = rest.withColumn("grams", F.array_distinct(_grams(F.col("needle"), pattern)))
         each = grams.select("needle", F.explode("grams").alias("anchor"))
         often = each.groupBy("anchor").agg(F.count("*").alias("n"))
         part = each.join(often, "anchor").groupBy("needle").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"))
         rest = grams.filter(F.size("grams") == 0).select("needle")
-        if i > 0 and part.isEmpty():
-            continue
         posted = hay.select("text_id", F.explode(F.array_distinct(_grams(F.col("hay"), pattern))).alias("anchor"))
         got = posted.join(part, "anchor").select("text_id", "needle")
         pairs = got if pairs is None else pairs.unionByName(got)

@@ -1,6 +1,8 @@
 """Labels, review rules, human decisions, notices."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -267,13 +269,50 @@ def _greeting() -> Column:
         F.lit("Dear Dr "), surname, F.when(F.size(names) > 1, " and co-authors").otherwise(""), F.lit(","))).otherwise("Dear authors,")
 
 
-# Fixed value: the note per role.
+# ---- Fixed values: the wording of a notice. Names in braces are filled in per citation. -------------------------------
+SUBJECTS = {
+    "direct": "[{sender}] A value your paper cites from {target} was revised in the published version",
+    "indirect": "[{sender}] A value your paper cites via {via} was revised by its original authors",
+}
+LEADS = {
+    "direct": 'Your paper "{title}" ({ref}) cites the preprint by {target} ({preprint}). One value it relies on was revised '
+              "between the preprint's first version and the published version ({published}).",
+    "indirect": 'Your paper "{title}" ({ref}) uses a value that it credits to {via}. That value comes originally from the '
+                "preprint by {target} ({preprint}), and the authors revised it when the work was published ({published}).",
+}
 ROLE_NOTES = {
     "model_input": "Your paper appears to use this value as a model input or parameter, so results that depend on it may "
                    "shift with the revised value.",
     "reported_as_fact": "Your paper reports this value as a finding.",
     "background": "Your paper mentions this value as background.",
 }
+BODY = """{greeting}
+
+I am writing on behalf of {sender}, a project that tracks how findings change between a preprint's first version and its published version.
+
+{lead}
+
+The passage in your paper{unsure}:
+    "{passage}"
+
+Preprint, first version:
+    {old}
+Published version:
+    {new}
+
+What changed: {change}{note}
+
+This is an automated, factual notice, and the comparison may be imperfect. You are best placed to judge whether anything in your work needs updating; no reply is needed.
+
+Best regards,
+{sender}"""
+# ----------------------------------------------------------------------------------------------------------------------------
+
+
+def _fill(template: str, places: dict[str, Column]) -> Column:
+    """A fixed text with its places filled. The text is cut at the places, so a filled-in value is never read as one."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[places[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
 
 
 def render_notices(citations: DataFrame, events: DataFrame, drafts: DataFrame | None = None, sender: str = "revtrace") -> DataFrame:
@@ -281,50 +320,37 @@ def render_notices(citations: DataFrame, events: DataFrame, drafts: DataFrame |
     citing_paper_title, citing_paper_doi, citing_paper_authors, cites, role, relayed_by, sentence, sentence_verified),
     events(event_id, preprint_doi, published_doi, first_author, drift_summary, claim_diffs). A draft(affected_citation_id,
     subject, body) is kept only when it holds both quoted versions; otherwise the fixed wording is used."""
-    e = events.withColumnRenamed("event_id", "drift_event_id").select(
-        "drift_event_id", "preprint_doi", "published_doi", "first_author", "drift_summary", "claim_diffs")
+    e = events.select(F.col("event_id").alias("drift_event_id"), "preprint_doi", "published_doi", "first_author", "drift_summary", "claim_diffs")
     d = citations.join(e, "drift_event_id").withColumn("_diff", F.get("claim_diffs", F.col("claim_diff_idx")))
-    text = lambda c: F.nullif(c, F.lit(""))
-    link = lambda c: F.concat(F.lit("https://doi.org/"), c)
-    old, new = text(F.col("_diff.preprint_text")), text(F.col("_diff.published_text"))
-    target = F.coalesce(F.concat(text(F.col("first_author")), F.lit(" et al.")), F.lit("a preprint"))
-    ref = F.coalesce(link(text(F.col("citing_paper_doi"))), F.col("work_id").cast("string"))
-    title = F.coalesce(text(F.col("citing_paper_title")), F.col("work_id").cast("string"))
+
+    def text(name: str, otherwise: Column | str = "") -> Column:
+        return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
+
+    def link(name: str) -> Column:
+        return F.concat(F.lit("https://doi.org/"), F.nullif(F.col(name), F.lit("")))
+
+    work = F.col("work_id").cast("string")
+    notes = F.create_map(*[F.lit(x) for pair in ROLE_NOTES.items() for x in pair])
+    places = {
+        "sender": F.lit(sender), "greeting": _greeting(), "title": text("citing_paper_title", work),
+        "ref": F.coalesce(link("citing_paper_doi"), work), "via": text("relayed_by", "another paper"),
+        "target": F.coalesce(F.concat(F.nullif("first_author", F.lit("")), F.lit(" et al.")), F.lit("a preprint")),
+        "preprint": F.coalesce(link("preprint_doi"), F.lit("")), "published": F.coalesce(link("published_doi"), F.lit("")),
+        "unsure": F.when(F.coalesce("sentence_verified", F.lit(False)), "").otherwise(" (as identified automatically)"),
+        "passage": text("sentence"), "old": text("_diff.preprint_text", REPLACEMENT_OLD), "new": text("_diff.published_text", REPLACEMENT_NEW),
+        "change": text("_diff.change_description", text("drift_summary")),
+        "note": F.coalesce(F.concat(F.lit("\n"), F.try_element_at(notes, F.col("role"))), F.lit("")),
+    }
     indirect = F.col("cites") == "indirect"
-    via = F.coalesce(text(F.col("relayed_by")), F.lit("another paper"))
-    tag = F.lit(f"[{sender}] ")
-    subject = F.when(indirect, F.concat(tag, F.lit("A value your paper cites via "), via, F.lit(" was revised by its original authors"))).otherwise(
-        F.concat(tag, F.lit("A value your paper cites from "), target, F.lit(" was revised in the published version")))
-    lead = F.when(indirect, F.concat(
-        F.lit('Your paper "'), title, F.lit('" ('), ref, F.lit(") uses a value that it credits to "), via,
-        F.lit(". That value comes originally from the preprint by "), target, F.lit(" ("), link(F.col("preprint_doi")),
-        F.lit("), and the authors revised it when the work was published ("), link(F.col("published_doi")), F.lit(")."))).otherwise(F.concat(
-            F.lit('Your paper "'), title, F.lit('" ('), ref, F.lit(") cites the preprint by "), target, F.lit(" ("), link(F.col("preprint_doi")),
-            F.lit("). One value it relies on was revised between the preprint's first version and the published version ("),
-            link(F.col("published_doi")), F.lit(").")))
-    note = F.lit(None).cast("string")
-    for role, words in ROLE_NOTES.items():
-        note = F.when(F.col("role") == role, F.lit(words)).otherwise(note)
-    body = F.concat_ws(
-        "\n", _greeting(), F.lit(""),
-        F.lit(f"I am writing on behalf of {sender}, a project that tracks how findings change between a preprint's first version "
-              "and its published version."), F.lit(""), lead, F.lit(""),
-        F.concat(F.lit("The passage in your paper"), F.when(F.coalesce("sentence_verified", F.lit(False)), "").otherwise(
-            " (as identified automatically)"), F.lit(":")),
-        F.concat(F.lit('    "'), F.coalesce("sentence", F.lit("")), F.lit('"')), F.lit(""),
-        F.lit("Preprint, first version:"), F.concat(F.lit("    "), F.coalesce(old, F.lit(REPLACEMENT_OLD))),
-        F.lit("Published version:"), F.concat(F.lit("    "), F.coalesce(new, F.lit(REPLACEMENT_NEW))), F.lit(""),
-        F.concat(F.lit("What changed: "), F.coalesce(text(F.col("_diff.change_description")), text(F.col("drift_summary")), F.lit(""))),
-        note, F.lit(""),
-        F.lit("This is an automated, factual notice, and the comparison may be imperfect. You are best placed to judge whether "
-              "anything in your work needs updating; no reply is needed."), F.lit(""), F.lit("Best regards,"), F.lit(sender))
-    out = d.withColumn("_subject", subject).withColumn("_body", body).withColumn("_old", old).withColumn("_new", new)
+    pick = lambda kinds: F.when(indirect, _fill(kinds["indirect"], places)).otherwise(_fill(kinds["direct"], places))
+    places["lead"] = pick(LEADS)
+    out = d.withColumn("_subject", pick(SUBJECTS)).withColumn("_body", _fill(BODY, places))
     if drafts is None:
         return out.select("affected_citation_id", F.col("_subject").alias("subject"), F.col("_body").alias("body"), F.lit(False).alias("from_draft"))
     bare = lambda c: F.regexp_replace(F.lower(c), r"(?U)\W+", "")
     dr = drafts.select("affected_citation_id", F.trim("subject").alias("_ds"), F.trim("body").alias("_db"))
-    holds = lambda q: q.isNull() | F.contains(bare(F.col("_db")), bare(q))
-    use = F.coalesce((F.col("_ds") != "") & (F.col("_db") != "") & holds(F.col("_old")) & holds(F.col("_new")), F.lit(False))
+    holds = lambda name: F.contains(bare(F.col("_db")), bare(text(name)))
+    use = F.coalesce((F.col("_ds") != "") & (F.col("_db") != "") & holds("_diff.preprint_text") & holds("_diff.published_text"), F.lit(False))
     return out.join(dr, "affected_citation_id", "left").select(
         "affected_citation_id", F.when(use, F.substring("_ds", 1, 200)).otherwise(F.col("_subject")).alias("subject"),
         F.when(use, F.col("_db")).otherwise(F.col("_body")).alias("body"), use.alias("from_draft"))
