@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import quantity as q
 from ..functions.text import MIN_QUOTE_CHARS, let, norm, squash, strip
 from ..schemas import CITES
+from .documents import contains_pairs
 
 PAIR = ["work_id", "target_id"]
 SCREEN_CAP, SCREEN_BATCH, PAGE, GROUP, GROUPS, CAPACITY = 2000, 20, 40, 5, 8, 120
@@ -120,12 +121,18 @@ def screening_plan(hits: DataFrame, cap: int = SCREEN_CAP, batch: int = SCREEN_B
 
 # ---- sentences that cite ----------------------------------------------------------------------------------------------------
 def matched_references(refs: DataFrame, pairs: DataFrame, targets: DataFrame) -> DataFrame:
-    """References of a work that are the target: they hold one of its DOIs, or its author and the start of its title."""
-    t = targets.select("target_id", F.lower("preprint_doi").alias("a"), F.lower("published_doi").alias("b"),
-                       F.lower("first_author").alias("au"), F.substring(F.lower("title_fragment"), 1, 35).alias("fr"))
-    has = lambda c: F.coalesce((F.col(c) != "") & F.contains(F.col("body"), F.col(c)), F.lit(False))
-    j = refs.select("work_id", "ref_id", F.lower("ref_text").alias("body")).join(pairs.select(*PAIR), "work_id").join(t, "target_id")
-    return j.filter(has("a") | has("b") | (has("au") & has("fr"))).select(*PAIR, "ref_id").distinct()
+    """References of a work that are the target: they hold one of its DOIs, or its author and the start of its title.
+    DOIs and title starts find their references by gram key, so the references and the targets of a work are never paired
+    off against each other."""
+    hay = refs.select(F.struct("work_id", "ref_id").alias("text_id"), F.lower("ref_text").alias("hay"))
+    dois = targets.select("target_id", F.explode(F.array(F.lower("preprint_doi"), F.lower("published_doi"))).alias("needle")).filter("needle <> ''")
+    by_doi = contains_pairs(dois, hay).join(dois, "needle").select("text_id", "target_id")
+    titles = targets.filter("first_author <> '' AND title_fragment <> ''").select(
+        "target_id", F.lower("first_author").alias("author"), F.substring(F.lower("title_fragment"), 1, 35).alias("needle"))
+    by_title = (contains_pairs(titles, hay).join(hay, "text_id").join(titles, "needle").filter(F.contains("hay", F.col("author")))
+                .select("text_id", "target_id"))
+    found = by_doi.unionByName(by_title).select("text_id.work_id", "text_id.ref_id", "target_id").distinct()
+    return found.join(pairs.select(*PAIR), PAIR, "left_semi").select(*PAIR, "ref_id")
 
 
 def citing_sentences(refs: DataFrame, sents: DataFrame, pairs: DataFrame, targets: DataFrame, keep: int = 8) -> DataFrame:

@@ -197,18 +197,15 @@ def contains_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
     no match is lost. The first tier keys only grams that start with a rarer character (about one position in eight);
     needles without such a gram, and short ones, take a denser tier, which is computed only when there are any. Of a
     needle's grams the one that fewest needles have is used, so a phrase common to many needles is no hot key."""
-    rest = needles.select("needle").filter(F.length("needle") > 0).distinct()
+    tier = F.coalesce(*[F.when(F.col("needle").rlike(f"(?s){p}"), F.lit(i)) for i, p in enumerate(ANCHORS)])
+    sought = needles.select("needle").filter(F.length("needle") > 0).distinct().withColumn("tier", tier)
     hay = texts.select("text_id", "hay")
     pairs = None
-    for i, pattern in enumerate(ANCHORS):
-        if i > 0 and rest.isEmpty():
-            break
-        grams = rest.withColumn("grams", F.array_distinct(_grams(F.col("needle"), pattern)))
-        each = grams.select("needle", F.explode("grams").alias("anchor"))
+    for i in sorted(sought.agg(F.collect_set("tier")).first()[0]) or [0]:  # at most one number per tier
+        each = sought.filter(F.col("tier") == i).select("needle", F.explode(F.array_distinct(_grams(F.col("needle"), ANCHORS[i]))).alias("anchor"))
         often = each.groupBy("anchor").agg(F.count("*").alias("n"))
         part = each.join(often, "anchor").groupBy("needle").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"))
-        rest = grams.filter(F.size("grams") == 0).select("needle")
-        posted = hay.select("text_id", F.explode(F.array_distinct(_grams(F.col("hay"), pattern))).alias("anchor"))
+        posted = hay.select("text_id", F.explode(F.array_distinct(_grams(F.col("hay"), ANCHORS[i]))).alias("anchor"))
         got = posted.join(part, "anchor").select("text_id", "needle")
         pairs = got if pairs is None else pairs.unionByName(got)
     return pairs.distinct().join(hay, "text_id").filter(F.contains("hay", F.col("needle"))).select("needle", "text_id")

@@ -322,19 +322,14 @@ def title_scores(pairs: DataFrame) -> DataFrame:
 
 def match_titles(lines: DataFrame, events: DataFrame, depth: int = 10) -> DataFrame:
     """Per line the best event with kind match, confirm or none, and up to three suggestions when there is none. Candidates
-    are the first events of the keyword ranking of either title and those whose author is named in the line."""
+    are the first ten events of the keyword ranking over both titles and the author, so a common name opens no large group."""
     lib = _library(events)
     key = F.concat_ws("#", F.col("request_id").cast("string"), F.col("line_no").cast("string"))
     asked = lines.withColumn("query_id", key)
     q = asked.select("query_id", F.col("line").alias("text"))
-    found = None
-    for field in ("preprint_title", "published_title"):
-        docs = lib.filter(F.col(field).isNotNull()).select(F.col("event_id").alias("doc_id"), F.col(field).alias("text"))
-        got = bm25(q, docs, depth).select("query_id", F.col("doc_id").alias("event_id"))
-        found = got if found is None else found.unionByName(got)
-    caps = asked.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Z][a-zA-Z\-]+"), F.lit(0)))).alias("first_author"))
-    named = caps.join(lib.select("event_id", "first_author"), "first_author").select("query_id", "event_id")
-    pairs = found.unionByName(named).distinct().join(lib.select("event_id", "first_author", "preprint_title", "published_title"), "event_id").join(
+    docs = lib.select(F.col("event_id").alias("doc_id"), F.concat_ws(" ", "preprint_title", "published_title", "first_author").alias("text"))
+    found = bm25(q, docs, depth).select("query_id", F.col("doc_id").alias("event_id"))
+    pairs = found.join(lib.select("event_id", "first_author", "preprint_title", "published_title"), "event_id").join(
         asked.select("query_id", "line"), "query_id")
     fields = F.array(F.struct(F.lit("preprint_title").alias("title_field"), F.col("preprint_title").alias("title")),
                      F.struct(F.lit("published_title").alias("title_field"), F.col("published_title").alias("title")))

@@ -209,7 +209,7 @@ def reference_lines(spark, sf):
 TITLES_SQL = f"""w AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title FROM pages), tw AS (SELECT page_id, title, [x FOR x IN regexp_extract_all(title, '[a-z0-9]+') IF NOT list_contains(string_split('{" ".join(rt.STOP_WORDS)}', ' '), x)] AS t FROM w),
   ln AS (SELECT page_id AS line_no, concat_ws(' ', 'Author' || page_id % 20, 'journal', array_to_string(t[1:greatest(1, CAST(floor(len(t) * CASE page_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.2 END) AS BIGINT))], ' ')) AS line FROM tw),
   lw AS (SELECT line_no, [x FOR x IN regexp_extract_all(lower(line), '[a-z0-9]+') IF NOT list_contains(string_split('{" ".join(rt.STOP_WORDS)}', ' '), x)] AS lw FROM ln),
-  d AS (SELECT page_id, {tok('title')} AS t FROM w), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM d), qt AS (SELECT line_no, term, count(*) AS qtf FROM (SELECT line_no, unnest({tok('line')}) AS term FROM ln) GROUP BY 1, 2),
+  d AS (SELECT page_id, {tok("concat(title, ' Author', page_id % 20)")} AS t FROM w), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM d), qt AS (SELECT line_no, term, count(*) AS qtf FROM (SELECT line_no, unnest({tok('line')}) AS term FROM ln) GROUP BY 1, 2),
   tf AS (SELECT page_id, len, term, count(*) AS tf FROM (SELECT page_id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   kw AS (SELECT line_no, page_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN qt USING (term) JOIN df USING (term), st GROUP BY 1, 2),
   rk AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY score DESC, page_id) AS rank FROM kw),

@@ -217,6 +217,37 @@ def spelling_expansion(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.explode(quantity.term_spellings(term)).alias("spelling"))
 
 
+# a value in four surroundings: alone, at either end of a range, and in a fraction
+AROUND = """CASE doc_id % 4 WHEN 0 THEN concat('it was ', doc_id % 97 + 1, '.5 days') WHEN 1 THEN concat('from ', doc_id % 97 + 1, '.5 to 200 days') WHEN 2 THEN concat('CI 0.5–', doc_id % 97 + 1, '.5')
+  ELSE concat(doc_id % 97 + 1, ' out of 148 improved') END"""
+
+
+def around(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", F.expr(AROUND).alias("s"), F.concat(F.col("doc_id") % 97 + 1, F.when(F.col("doc_id") % 4 < 3, ".5").otherwise("")).alias("term"))
+    return d.withColumn("m", F.explode(text.find_all(F.col("s"), quantity.value_pattern(F.col("term")))))
+
+
+@Q.add("range_ends", "SELECT doc_id, doc_id % 4 IN (1, 2) AS is_end FROM documents WHERE NOT (doc_id % 4 = 3 AND doc_id % 97 + 1 = 148)")
+def range_ends(spark, sf):
+    m = around(spark, sf).filter("NOT (doc_id % 4 = 3 AND doc_id % 97 + 1 = 148)")
+    return m.select("doc_id", quantity.in_range(F.col("s"), F.col("m.start"), F.col("m.end")).alias("is_end"))
+
+
+@Q.add("whole_quantities", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id % 97 + 1.5 WHEN 1 THEN doc_id % 97 + 1.5 WHEN 2 THEN 0.5 ELSE 100.0::DOUBLE * (doc_id % 97 + 1) / 148 END::DOUBLE AS first,
+  CASE doc_id % 4 WHEN 1 THEN 200.0 WHEN 2 THEN doc_id % 97 + 1.5 END::DOUBLE AS second, doc_id % 4 = 3 AS computed FROM documents""")
+def whole_quantities(spark, sf):
+    q = around(spark, sf).select("doc_id", quantity.quantity_at(F.col("s"), F.col("m.start"), F.col("m.end")).alias("q"))
+    return q.select("doc_id", F.get("q.values", F.lit(0)).alias("first"), F.get("q.values", F.lit(1)).alias("second"), "q.computed")
+
+
+@Q.add("property_matches", """SELECT doc_id, doc_id % 5 IN (0, 1, 2) AS holds FROM documents""")
+def property_matches(spark, sf):
+    s = F.expr("""CASE doc_id % 5 WHEN 0 THEN concat('The R 0 of ', doc_id) WHEN 1 THEN concat('an Incubation-period of ', doc_id) WHEN 2 THEN concat(doc_id, ' for incubation  period.')
+      WHEN 3 THEN concat('preincubation period ', doc_id) ELSE concat('the r01 of ', doc_id) END""")
+    p = quantity.property_pattern(F.array(F.lit("incubation period"), F.lit(" R0 "), F.lit("")))
+    return load(spark, sf, "documents").select("doc_id", F.regexp_like(s, p).alias("holds"))
+
+
 @Q.add("old_or_new_verdicts", f"""WITH k AS (SELECT doc_id, {KEY} AS key, CAST(floor(doc_id / 8) AS BIGINT) % 4 AS s FROM documents)
   SELECT doc_id, CASE WHEN s = 3 THEN 'cannot_tell' WHEN key = '6.4' THEN 'unchanged_value' WHEN s = 0 THEN 'uses_old_value'
    WHEN s = 1 THEN 'uses_current_value' ELSE 'mentions_both' END AS verdict,
