@@ -4,7 +4,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -380,7 +379,3 @@ def recent_events(events: DataFrame, n: int = 100) -> DataFrame:
     top = v.orderBy(F.desc_nulls_last("detected_at"), "event_id").limit(n)
     total = v.agg(F.count("*").alias("total"))
     return top.join(F.broadcast(total))
-
-
-def latest_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")

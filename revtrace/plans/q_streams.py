@@ -39,7 +39,6 @@ def feed_pages(spark, sf):
 @Q.add("version_feed", with_views("preprints") + " SELECT doi, substr(version, 2) AS version, lower(published_doi) AS published_doi, type FROM preprints")
 def version_feed(spark, sf):
     path = land(spark, feed_pages(spark, sf).repartition(8), "feed")
-    # one page per line here; files with one page each are read the same way
     pages = spark.read.schema(scans.FEED_SCHEMA).json(path)
     rows = scans.feed_rows(pages, "biorxiv").filter("doi IS NOT NULL").dropDuplicates(["doi", "version"])
     return rows.select("doi", "version", "published_doi", "type")
@@ -53,8 +52,6 @@ def crossref_works(spark, sf):
     text = F.concat(F.lit('{"message": {"DOI": "10.1101/'), "doc_id", F.lit('", "title": ["Part one", "'), "lang", F.lit('"], "author": [{"given": "Ann", "family": "'), "source",
                     F.lit('", "affiliation": [{"name": "Uni A"}, {"name": ""}, {"name": "Uni B"}]}, {"family": "Lee"}, {"ORCID": "x"}], "relation": {'), rel, F.lit('}, "issued": {"date-parts": [[2020, 3]]}}}'))
     path = land(spark, load(spark, sf, "documents").select(text.alias("value")), "works")
-    # the landed lines are split into files of one record each by the reader's multiLine mode only when they are files of
-    # their own; lines are read with the same schema here
     m = scans.crossref_rows(spark.read.schema(scans.WORK_SCHEMA).json(path))
     return m.select("doi", "title", F.array_join(F.transform("authors", lambda a: a["name"]), "|").alias("authors"), F.get("authors", F.lit(0))["affiliation"].alias("affiliation"), "published_doi",
                     F.array_join(F.transform("published_date", lambda x: x.cast("string")), "|").alias("published_date"))
@@ -114,7 +111,6 @@ def table_rows(spark, sf):
 @Q.add("ingest_stream", with_views("preprints") + " SELECT doi, version, lower(published_doi) AS published_doi, published_doi IS NOT NULL AS is_final FROM preprints")
 def ingest_stream(spark, sf):
     src = folder(spark, "pages")
-    # a file source with one page per file: every page is its own text file
     feed_pages(spark, sf).repartition(200, "value").write.text(src)
     sink = folder(spark, "log")
     q = ingest.ingest_stream(spark, src, "biorxiv", sink, folder(spark, "ckpt"), multi_line=False)
