@@ -1,7 +1,8 @@
 """The queries of this package with their SQL, where SQL can express them."""
 from __future__ import annotations
 
-from . import q_bpe, q_exact_dedup, q_mixing
+from . import q_bpe, q_exact_dedup, q_mixing, q_near_dedup
 
-QUERIES = {"op9_exact_dedup": q_exact_dedup.query, "op4_mix_sources": q_mixing.query, "op8_bpe": q_bpe.query}
+QUERIES = {"op9_exact_dedup": q_exact_dedup.query, "op4_mix_sources": q_mixing.query, "op8_bpe": q_bpe.query,
+           "op5_near_dedup": q_near_dedup.query}
 ORACLES = {"op9_exact_dedup": q_exact_dedup.SQL, "op4_mix_sources": q_mixing.SQL}
