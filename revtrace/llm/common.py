@@ -80,9 +80,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """The words of some texts: data (bytes), doc (text number), start, end (byte positions), hash (64 bits), first (number of each
-    text's first word, one more entry than texts)."""
+    text's first word, one more entry than texts); raw and offsets: what it was made from."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
+        self.raw, self.offsets = data, offsets
         self.data = data = _FOLD[data] if fold else data
         inside = ~_SPACE[data]
         begins, ends = inside.copy(), inside.copy()
