@@ -1,9 +1,9 @@
 """The queries of this package with their SQL, where SQL can express them."""
 from __future__ import annotations
 
-from . import q_bpe, q_exact_dedup, q_licenses, q_lm_scoring, q_media, q_mixing, q_near_dedup, q_quality, q_substring_dedup
+from . import q_bpe, q_exact_dedup, q_licenses, q_line_dedup, q_lm_scoring, q_media, q_mixing, q_near_dedup, q_quality, q_substring_dedup
 
-QUERIES = {"op1_quality": q_quality.query, "op2_license_scan": q_licenses.query,
+QUERIES = {"op1_quality": q_quality.query, "op2_license_scan": q_licenses.query, "op3_line_dedup": q_line_dedup.query,
            "op9_exact_dedup": q_exact_dedup.query, "op4_mix_sources": q_mixing.query, "op8_bpe": q_bpe.query,
            "op5_near_dedup": q_near_dedup.query, "op6_substring_dedup": q_substring_dedup.query,
            "op7_media_columns": q_media.query, "op10_lm_score": q_lm_scoring.query}
