@@ -46,8 +46,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: in
     everything = Window.partitionBy(F.lit(0))
     rows = rows.withColumn("level", (F.sum("size").over(everything) - passes * F.coalesce(F.sum("size").over(before), F.lit(0)))
                            / F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing)))
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything)
-    share = F.least(F.col("size") * float(passes), F.col("weight") * F.coalesce(level, F.lit(float("inf"))))
+    level = F.max("level").over(everything)  # it rises up to the first source that is not full and falls from there
+    share = F.least(F.col("size") * float(passes), F.col("weight") * level)
     return rows.withColumn("target", share).drop("weight", "ratio", "level")
 
 
@@ -119,8 +119,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block_words: int
     end = F.col("begin") + F.col("part")
     part = overlap(F.col("from"), F.col("to"), F.col("begin"), end)
     wrap = overlap(F.col("from"), F.col("to"), F.lit(0), end - F.col("words"))
-    d = d.withColumn("part", part).withColumn("part_wrap", wrap).withColumn(
-        "part_from", F.when(F.col("part") > 0, F.greatest(F.lit(0), F.col("begin") - F.col("from"))).otherwise(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("passes_whole"), "part_from",
-                    (F.col("part_from") + F.col("part")).alias("part_to"), "part_wrap",
-                    (F.col("whole") * F.col("size") + F.col("part") + F.col("part_wrap")).alias("taken"))
+    d = d.select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("passes_whole"), part.alias("part_words"), wrap.alias("part_wrap"),
+                 F.greatest(F.lit(0), F.col("begin") - F.col("from")).alias("_first"))
+    part_from = F.when(F.col("part_words") > 0, F.col("_first")).otherwise(0)
+    return d.select("doc_id", "source", "size", "source_size", "target", "passes_whole", part_from.alias("part_from"), (part_from + F.col("part_words")).alias("part_to"),
+                    "part_wrap", (F.col("passes_whole") * F.col("size") + F.col("part_words") + F.col("part_wrap")).alias("taken"))
+
+
+def taken_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The mix as rows of the columns of `docs`: a document's text as often as it is taken whole, and the words taken in part, joined by
+    one space. Documents that are not taken are gone. Rows that repeat an id and have the same text come out as often as one of them."""
+    plan = mix(docs, weights).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes_whole", "part_from", "part_to", "part_wrap").where(
+        "passes_whole > 0 or part_to > part_from or part_wrap > 0").dropDuplicates(["_id", "_size"])
+    d = docs.withColumn("_n", n_words(F.col("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    # a part that covers all words is the text itself, as it is written
+    whole = F.col("passes_whole") + ((F.col("part_to") - F.col("part_from")) == F.col("_size")).cast("long")
+    rest = F.when((F.col("part_to") - F.col("part_from")) < F.col("_size"), F.col("part_to") - F.col("part_from")).otherwise(0)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    piece = lambda begin, n: F.array_join(F.slice(words, (begin + 1).cast("int"), n.cast("int")), " ")
+    texts = F.concat(F.array_repeat(F.col("text"), whole.cast("int")),
+                     F.when(rest > 0, F.array(piece(F.col("part_from"), rest))).otherwise(F.array().cast("array<string>")),
+                     F.when(F.col("part_wrap") > 0, F.array(piece(F.lit(0), F.col("part_wrap")))).otherwise(F.array().cast("array<string>")))
+    return d.withColumn("_taken", F.explode(texts)).withColumn("text", F.col("_taken")).select(*docs.columns)

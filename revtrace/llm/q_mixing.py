@@ -14,7 +14,7 @@ s2 AS (SELECT *, size * {MAX_PASSES}.0::DOUBLE / w AS ratio FROM s1),
 s3 AS (SELECT *, (sum(size) OVER () - {MAX_PASSES} * coalesce(sum(size) OVER (ORDER BY ratio, source NULLS LAST
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY ratio, source NULLS LAST
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM s2),
-s4 AS (SELECT source, size, least(size * {MAX_PASSES}.0::DOUBLE, w * (SELECT min(level) FROM s3 WHERE ratio >= level)) AS target FROM s3),
+s4 AS (SELECT source, size, least(size * {MAX_PASSES}.0::DOUBLE, w * (SELECT max(level) FROM s3)) AS target FROM s3),
 s5 AS (SELECT *, CAST(round((SELECT sum(target) FROM s4) / {BLOCK_WORDS}) AS BIGINT) AS seats,
       CAST(floor(size * {MAX_PASSES} / {BLOCK_WORDS}.0) AS BIGINT) AS most,
       greatest(1, least({MAX_SHARDS}, CAST(ceil(size / {SHARD_WORDS}.0) AS BIGINT))) AS shards FROM s4),
