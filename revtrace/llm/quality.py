@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix64, slices
@@ -110,8 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     shares = {r.grade: r["count"] for r in rated.groupBy("grade").count().collect()}
     if len(shares) < 2:
         return None
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+    least = lambda g: rated.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = reduce(DataFrame.unionByName, [least(g) for g in sorted(shares)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,6 +136,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     return fit(doc, np.concatenate(lists).astype(np.int64), grades, np.array([shares[g] / drawn[g] for g in grades.tolist()]))
 
 
+def select_good(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
+    """The selected rows with all their columns: rated where they stand, so no row is looked up by its id."""
+    schema = docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [part.column(4) for part in _rated(pa.nulls(b.num_rows, pa.int64()), b.column(place), shared.value)]
+            yield b.filter(pa.chunked_array(keep, pa.bool_()).combine_chunks()) if keep else b
+
+    return docs.mapInArrow(run, schema)
+
+
+def _rated(ids: pa.Array, texts: pa.Array, m: OrdinalModel | None) -> Iterator[pa.RecordBatch]:
+    at = 0
+    for n, d, f in text_features(texts):
+        full = np.bincount(d, minlength=n) > 0
+        if m is None:
+            none = pa.nulls(n, pa.float64())
+            columns = [none, none, none, pa.array(full)]
+        else:
+            p = m.tails(np.bincount(d, m.weights[f], n))
+            columns = [pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(full & (p[:, GOOD - 1] >= FLOOR))]
+        yield pa.RecordBatch.from_arrays([ids.slice(at, n), *columns], ["doc_id", "expected_grade", "p_fair", "p_good", "selected"])
+        at += n
+
+
 def rate(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     """One row per row: doc_id, expected_grade, p_fair (P(grade >= 1)), p_good (P(grade >= 2)), selected.
 
@@ -144,19 +173,8 @@ def rate(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, fixed by the number of features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            at = 0
-            for n, d, f in text_features(b.column(1)):
-                full = np.bincount(d, minlength=n) > 0
-                if m is None:
-                    none = pa.nulls(n, pa.float64())
-                    columns = [none, none, none, pa.array(full)]
-                else:
-                    p = m.tails(np.bincount(d, m.weights[f], n))
-                    columns = [pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(full & (p[:, GOOD - 1] >= FLOOR))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), *columns], ["doc_id", "expected_grade", "p_fair", "p_good", "selected"])
-                at += n
+            yield from _rated(b.column(0), b.column(1), shared.value)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, expected_grade double, p_fair double, p_good double, selected boolean")
