@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import LOWER, UPPER, written
 
 # ---- Fixed values: licence families and wordings of their notices ----------------------------------------------------
@@ -69,7 +70,12 @@ def pairs(tokens: Column) -> Column:
 
 
 def with_terms(df: DataFrame, column: str = "paragraph") -> DataFrame:
-    return df.withColumn("_words", words(F.col(column))).withColumn("_pairs", pairs(F.col("_words"))).withColumn("terms", F.concat("_words", "_pairs")).drop("_words")
+    """Adds terms: words, then pairs. Bound, so that a filter which Spark pushes below does not compute the words once for each use."""
+    return df.withColumn("terms", let(words(F.col(column)), lambda w: F.concat(w, pairs(w))))
+
+
+def pairs_of(terms: Column) -> Column:
+    return F.filter(terms, lambda t: F.contains(t, F.lit(" ")))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -82,7 +88,7 @@ def templates(spark: SparkSession) -> DataFrame:
     """family, template, its distinct word pairs. A few dozen rows."""
     rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
     return with_terms(spark.createDataFrame(rows, "family string, template string"), "template").select(
-        "family", "template", F.array_distinct("_pairs").alias("template_pairs"))
+        "family", "template", F.array_distinct(pairs_of(F.col("terms"))).alias("template_pairs"))
 
 
 def similarity(df: DataFrame, own_family: bool) -> DataFrame:
@@ -91,7 +97,8 @@ def similarity(df: DataFrame, own_family: bool) -> DataFrame:
     t = templates(df.sparkSession).select(F.collect_list(F.struct("family", "template_pairs")).alias("_t"))
     joined = df.crossJoin(F.broadcast(t))  # one row
     usable = F.filter("_t", lambda x: x.family == F.col("family")) if own_family else F.col("_t")
-    share = F.transform(usable, lambda x: F.size(F.array_intersect(x.template_pairs, F.col("_pairs"))) / F.greatest(F.size(x.template_pairs), F.lit(1)))
+    share = let(pairs_of(F.col("terms")), lambda own: F.transform(
+        usable, lambda x: F.size(F.array_intersect(x.template_pairs, own)) / F.greatest(F.size(x.template_pairs), F.lit(1))))
     return joined.withColumn("similar", F.coalesce(F.array_max(share), F.lit(0.0))).drop("_t")
 
 
@@ -108,9 +115,8 @@ class LicenseModel:
         names = F.array(*[F.lit(x) for x in self.labels])
         known = F.slice(p, 1, len(self.labels))
         scored = scored.withColumn("family", F.element_at(names, F.array_position(known, F.array_max(known)).cast("int")))
-        none = F.element_at(p, len(self.labels) + 1)
-        odds = F.log(F.greatest(1 - none, F.lit(1e-12))) - F.log(F.greatest(none, F.lit(1e-12)))
-        return scored.withColumn("odds", odds).drop("_p", "features", "rawPrediction", "probability", "prediction", "terms")
+        odds = let(F.element_at(p, len(self.labels) + 1), lambda none: F.log(F.greatest(1 - none, F.lit(1e-12))) - F.log(F.greatest(none, F.lit(1e-12))))
+        return scored.withColumn("odds", odds).drop("_p", "features", "rawPrediction", "probability", "prediction")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds family and p_license (calibrated)."""
@@ -126,8 +132,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     plain = paragraphs(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     plain = similarity(with_terms(plain), own_family=False).where(F.col("similar") < SIMILAR)
-    negative = plain.select("paragraph", F.lit(float(len(labels))).alias("label"), F.pmod(F.xxhash64("paragraph"), F.lit(2)).cast("int").alias("part"), "_pairs", "terms")
-    rows = written(positive.select("paragraph", "label", "part", "_pairs", "terms").unionByName(negative), "license-training").coalesce(2)
+    negative = plain.select("paragraph", F.lit(float(len(labels))).alias("label"), F.pmod(F.xxhash64("paragraph"), F.lit(2)).cast("int").alias("part"), "terms")
+    rows = written(positive.select("paragraph", "label", "part", "terms").unionByName(negative), "license-training").coalesce(2)
     vocabulary = sorted(r.t for r in with_terms(spark.createDataFrame([(x[0],) for x in known], "paragraph string")).select(
         F.explode("terms").alias("t")).distinct().collect())  # of the framed templates: fixed by them
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features", binary=True)
@@ -146,7 +152,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
 def license_paragraphs(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, position, paragraph, family, p_license, similar: the paragraphs that hold a licence notice, by classifier and template."""
     found = model.predict(paragraphs(docs)).where(F.col("p_license") >= KNOWN)
-    return similarity(found, own_family=True).where(F.col("similar") >= SIMILAR).drop("_pairs")
+    return similarity(found, own_family=True).where(F.col("similar") >= SIMILAR).drop("terms")
 
 
 def license_scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
