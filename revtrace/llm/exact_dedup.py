@@ -63,9 +63,9 @@ def drop_copies(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     kept = index.admit(docs, batch).where("kept")
     once = kept.groupBy("digest", "doc_id").agg(F.count("*").alias("_rows"))
     keys = once.select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), "_rows")
-    found = docs.withColumn("_text_digest", digest(F.col("text"))).join(
-        keys, (F.col("_text_digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), digest(F.col("text")).alias("_text"))
+    found = rows.join(keys, (F.col("_text") == F.col("_digest")) & F.col("_doc").eqNullSafe(F.col("_id")))
     single = found.where("_rows = 1")
     if not once.where("_rows > 1").isEmpty():
         single = single.unionByName(found.where("_rows > 1").dropDuplicates(["_digest", "_id"]))
-    return single.select(*docs.columns)
+    return single.select("row.*")

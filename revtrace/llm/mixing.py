@@ -131,13 +131,15 @@ def taken_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFr
     one space. Documents that are not taken are gone. Rows that repeat an id and have the same text come out as often as one of them."""
     plan = mix(docs, weights).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes_whole", "part_from", "part_to", "part_wrap").where(
         "passes_whole > 0 or part_to > part_from or part_wrap > 0").dropDuplicates(["_id", "_size"])
-    d = docs.withColumn("_n", n_words(F.col("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    text = F.col("row.text")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), n_words(F.col("text")).alias("_n"))
+    d = d.join(plan, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
     # a part that covers all words is the text itself, as it is written
     whole = F.col("passes_whole") + ((F.col("part_to") - F.col("part_from")) == F.col("_size")).cast("long")
     rest = F.when((F.col("part_to") - F.col("part_from")) < F.col("_size"), F.col("part_to") - F.col("part_from")).otherwise(0)
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     piece = lambda begin, n: F.array_join(F.slice(words, (begin + 1).cast("int"), n.cast("int")), " ")
-    texts = F.concat(F.array_repeat(F.col("text"), whole.cast("int")),
+    texts = F.concat(F.array_repeat(text, whole.cast("int")),
                      F.when(rest > 0, F.array(piece(F.col("part_from"), rest))).otherwise(F.array().cast("array<string>")),
                      F.when(F.col("part_wrap") > 0, F.array(piece(F.lit(0), F.col("part_wrap")))).otherwise(F.array().cast("array<string>")))
-    return d.withColumn("_taken", F.explode(texts)).withColumn("text", F.col("_taken")).select(*docs.columns)
+    return d.withColumn("_taken", F.explode(texts)).select(F.col("row").withField("text", F.col("_taken")).alias("row")).select("row.*")

@@ -230,4 +230,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: the smallest id of each component."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"))
+    return rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("row.*")
