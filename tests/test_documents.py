@@ -63,10 +63,11 @@ def test_articles(spark, tmp_path):
     d.mkdir()
     (d / "preprint_v1.xml").write_text(xml)
     (d / "published_PMC1.xml").write_text("<broken")
-    dd, u = scans.read_jats(spark, str(d / "*.xml"))
+    dd, u, errors = scans.read_jats(spark, str(d / "*.xml"))
     assert [(r.kind, r.title, r.text) for r in u.orderBy("unit_no").collect()] == [
         ("abstract", "Abstract", "Background Since 2019."), ("section", "Body", "Loose."), ("section", "M", "own"), ("section", "M > S", "deep"), ("table", "Table 1", "Cap\na | 1")]
     assert [(r.paper_id, r.doc_id, r.title) for r in dd.collect()] == [("paper1", "preprint_v1", "A b")]
+    assert [(r.paper_id, r.doc_id, bool(r.error)) for r in errors.collect()] == [("paper1", "published", True)]
 
 
 def test_markup(spark):
