@@ -14,7 +14,7 @@ from ..schemas import CITES
 from .documents import contains_pairs
 
 PAIR = ["work_id", "target_id"]
-SCREEN_CAP, SCREEN_BATCH, PAGE, GROUP, GROUPS, CAPACITY = 2000, 20, 40, 5, 8, 120
+SCREEN_BATCH, PAGE, GROUP, GROUPS = 20, 40, 5, 8
 _STRINGS = "array<string>"
 
 
@@ -108,14 +108,15 @@ def incremental_hits(hits: DataFrame, judged: DataFrame, since: str | None) -> D
     return out if since is None else out.filter(F.col("date") >= since)
 
 
-def screening_plan(hits: DataFrame, cap: int = SCREEN_CAP, batch: int = SCREEN_BATCH) -> tuple[DataFrame, DataFrame]:
-    """Order of screening per target: citers of the preprint first, then date text, then id. The first `cap` are kept in
-    batches, the rest is counted. The rank filter lets Spark drop rows beyond the cap before the shuffle."""
+def screening_plan(hits: DataFrame, cap: int | None = None, batch: int = SCREEN_BATCH) -> tuple[DataFrame, DataFrame]:
+    """Order of screening per target, in batches: citers of the preprint first, then date text, then id. With a `cap` only the first
+    ones are kept and the rest is counted; the rank filter then lets Spark drop rows beyond the cap before the shuffle."""
     first = F.when(F.array_contains("versions", "preprint"), 0).otherwise(1)
     w = W.partitionBy("target_id").orderBy(first, F.coalesce("date", F.lit("")), "work_id")
-    plan = (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
-            .withColumn("batch", F.floor((F.col("rank") - 1) / batch)))
-    capped = hits.groupBy("target_id").agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("screen_capped"))
+    ranked = hits.withColumn("rank", F.row_number().over(w))
+    plan = (ranked if cap is None else ranked.filter(F.col("rank") <= cap)).withColumn("batch", F.floor((F.col("rank") - 1) / batch))
+    over = F.lit(0).cast("long") if cap is None else F.greatest(F.count("*") - cap, F.lit(0))
+    capped = hits.groupBy("target_id").agg(over.alias("screen_capped"))
     return plan, capped
 
 
@@ -129,16 +130,21 @@ def matched_references(refs: DataFrame, pairs: DataFrame, targets: DataFrame) ->
     by_doi = contains_pairs(dois, hay).join(dois, "needle").select("text_id", "target_id")
     titles = targets.filter("first_author <> '' AND title_fragment <> ''").select(
         "target_id", F.lower("first_author").alias("author"), F.substring(F.lower("title_fragment"), 1, 35).alias("needle"))
-    by_title = (contains_pairs(titles, hay).join(hay, "text_id").join(titles, "needle").filter(F.contains("hay", F.col("author")))
-                .select("text_id", "target_id"))
+    # a title start can be shared by many targets: its references meet the targets of their own work only
+    in_work = contains_pairs(titles, hay).join(hay, "text_id").select(F.col("text_id.work_id").alias("work_id"), "text_id", "hay", F.col("needle").alias("start"))
+    by_title = (in_work.join(pairs.select(*PAIR).distinct(), "work_id").join(titles, "target_id")
+                .filter((F.col("start") == F.col("needle")) & F.contains("hay", F.col("author"))).select("text_id", "target_id"))
     found = by_doi.unionByName(by_title).select("text_id.work_id", "text_id.ref_id", "target_id").distinct()
     return found.join(pairs.select(*PAIR), PAIR, "left_semi").select(*PAIR, "ref_id")
 
 
-def citing_sentences(refs: DataFrame, sents: DataFrame, pairs: DataFrame, targets: DataFrame, keep: int = 8) -> DataFrame:
+def citing_sentences(refs: DataFrame, sents: DataFrame, pairs: DataFrame, targets: DataFrame, keep: int | None = None,
+                     matched: DataFrame | None = None) -> DataFrame:
     """sents with ref_ids: sentences with a pointer to a matched reference; for pairs without one, sentences that name the
-    author. Each with its neighbours; all counted, the first ones kept."""
-    matched = matched_references(refs, pairs, targets)
+    author. Each with its neighbours; with `keep` only the first ones, all counted. matched: output of matched_references, if made
+    already."""
+    if matched is None:
+        matched = matched_references(refs, pairs, targets)
     pointing = sents.select("work_id", "pos", F.explode("ref_ids").alias("ref_id")).join(matched, ["work_id", "ref_id"]).select(*PAIR, "pos").distinct()
     rest = pairs.select(*PAIR).join(matched.select(*PAIR).distinct(), PAIR, "left_anti").join(
         targets.filter("first_author <> ''").select("target_id", "first_author"), "target_id")
@@ -147,7 +153,8 @@ def citing_sentences(refs: DataFrame, sents: DataFrame, pairs: DataFrame, target
     found = pointing.withColumn("reference_matched", F.lit(True)).unionByName(named.withColumn("reference_matched", F.lit(False)))
     w = W.partitionBy(*PAIR).orderBy("pos")
     n = found.groupBy(*PAIR).agg(F.count("*").alias("n_sentences"))
-    top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    ranked = found.withColumn("rank", F.row_number().over(w))
+    top = ranked if keep is None else ranked.filter(F.col("rank") <= keep)
     # neighbours by an equi-join on the three positions: no window over all sentences of a work
     around = top.withColumn("at", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)))
     text = sents.select("work_id", F.col("pos").alias("at"), "sentence")
@@ -155,21 +162,20 @@ def citing_sentences(refs: DataFrame, sents: DataFrame, pairs: DataFrame, target
         F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("s"))
     ctx = F.array_join(F.transform("s", lambda x: x["sentence"]), " ")
     own = F.get(F.filter("s", lambda x: x["at"] == F.col("pos")), F.lit(0))["sentence"]
-    return full.join(n, PAIR).select(*PAIR, "pos", "rank", "reference_matched", "n_sentences", F.substring(own, 1, 700).alias("sentence"),
-                                     F.substring(ctx, 1, 1400).alias("with_neighbours"))
+    return full.join(n, PAIR).select(*PAIR, "pos", "rank", "reference_matched", "n_sentences", own.alias("sentence"), ctx.alias("with_neighbours"))
 
 
 # ---- screening ---------------------------------------------------------------------------------------------------------------
 def screen_citers(hits: DataFrame, sents: DataFrame, rows: DataFrame | None, targets: DataFrame, cited: DataFrame | None = None,
-                  source: str = "prefetch", proposed_only: bool = False) -> tuple[DataFrame, DataFrame]:
+                  source: str = "prefetch", proposed_only: bool = False, matched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """hits(work_id, target_id, has_text, ...) -> candidates with up to three sentences and flags, and per target the
     counts screened, no_full_text, no_sentence. rows(work_id, pos, sentence, context) are table rows; cited is the output
-    of citing_sentences."""
+    of citing_sentences, matched that of matched_references: a reference can match without a sentence that points to it."""
     ruled = only_proposed(with_rules(targets)) if proposed_only else with_rules(targets)
     pairs = hits.filter("has_text").select(*PAIR)
     kept = quantity_sentences(pairs, sents, ruled).withColumn("kind", F.lit(0)).drop("context")
     if rows is not None:
-        shown = F.concat(F.col("sentence"), F.lit(" [table: "), F.substring(F.coalesce("context", F.lit("")), 1, 200), F.lit("]"))
+        shown = F.concat(F.col("sentence"), F.lit(" [table: "), F.coalesce("context", F.lit("")), F.lit("]"))
         r = quantity_sentences(pairs, rows, ruled).withColumn("sentence", shown).withColumn("kind", F.lit(1)).drop("context")
         kept = kept.unionByName(r)
     cur = ruled.select("target_id", F.slice(F.regexp_extract_all("current_claim", F.lit(r"(?U)\d+\.\d+"), F.lit(0)), 1, 2).alias("cur"))
@@ -179,15 +185,16 @@ def screen_citers(hits: DataFrame, sents: DataFrame, rows: DataFrame | None, tar
     w = W.partitionBy(*PAIR).orderBy("kind", "pos")
     ranked = kept.join(cur, "target_id").withColumn("rn", F.row_number().over(w))
     agg = ranked.groupBy(*PAIR).agg(
-        F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", F.substring("sentence", 1, 500).alias("sentence"))))).alias("s"),
+        F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", "sentence")))).alias("s"),
         F.bool_and(listy).alias("f2"), F.bool_or(both).alias("f3"))
     if cited is not None:
         pats = ruled.select("target_id", F.transform("rules", lambda r: r["pattern"]).alias("pats"))
-        att = cited.filter("reference_matched").join(pats, "target_id").groupBy(*PAIR).agg(F.lit(True).alias("matched"), F.bool_or(
+        att = cited.filter("reference_matched").join(pats, "target_id").groupBy(*PAIR).agg(F.bool_or(
             F.exists("pats", lambda p: F.regexp_like(F.col("with_neighbours"), p))).alias("attributed"))
         agg = agg.join(att, PAIR, "left")
     else:
-        agg = agg.withColumn("matched", F.lit(False)).withColumn("attributed", F.lit(False))
+        agg = agg.withColumn("attributed", F.lit(False))
+    agg = with_matched(agg, matched if matched is not None else None if cited is None else cited.filter("reference_matched"))
     flags = F.array_compact(F.array(F.when(~F.coalesce("attributed", F.lit(False)), "F1"), F.when(F.col("f2"), "F2"), F.when(F.col("f3"), "F3")))
     cands = agg.select(*PAIR, F.transform("s", lambda x: x["sentence"]).alias("sentences"), flags.alias("flags"),
                        F.coalesce("matched", F.lit(False)).alias("reference_matched"), F.lit(source).alias("source"))
@@ -198,6 +205,13 @@ def screen_citers(hits: DataFrame, sents: DataFrame, rows: DataFrame | None, tar
     return cands, counts
 
 
+def with_matched(pairs: DataFrame, matched: DataFrame | None) -> DataFrame:
+    """Adds matched: whether the pair has a row in `matched`."""
+    if matched is None:
+        return pairs.withColumn("matched", F.lit(False))
+    return pairs.join(matched.select(*PAIR, F.lit(True).alias("matched")).distinct(), PAIR, "left")
+
+
 def split_proposed(proposed: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """proposed(target_id, terms as comma-separated text): the spellings the search already covers (they contain a searched
     one), and the targets with the new ones added to `terms` and `proposed`."""
@@ -251,13 +265,14 @@ def overview(cands: DataFrame, verdicts: DataFrame, page: int = 1, only_unjudged
     return ranked.join(shown, "target_id").filter((F.col("rn") > (F.col("page") - 1) * size) & (F.col("rn") <= F.col("page") * size))
 
 
-def assign_groups(cands: DataFrame, sent: DataFrame, group: int = GROUP, groups: int = GROUPS, capacity: int = CAPACITY) -> DataFrame:
-    """Candidates never sent to a worker, in order: groups of five, at most eight groups a step, within the run's capacity."""
+def assign_groups(cands: DataFrame, sent: DataFrame, group: int = GROUP, groups: int = GROUPS, capacity: int | None = None) -> DataFrame:
+    """Candidates never sent to a worker, in order: groups of five, at most eight groups a step. A `capacity` ends the list."""
     used = sent.groupBy("target_id").agg(F.count("*").alias("used"))
     left = cands.join(sent.select(*PAIR), PAIR, "left_anti")
     w = W.partitionBy("target_id").orderBy("position")
-    ranked = left.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= capacity)
-    room = ranked.join(used, "target_id", "left").filter(F.col("rn") <= capacity - F.coalesce("used", F.lit(0)))
+    room = left.withColumn("rn", F.row_number().over(w))
+    if capacity is not None:
+        room = room.filter(F.col("rn") <= capacity).join(used, "target_id", "left").filter(F.col("rn") <= capacity - F.coalesce("used", F.lit(0)))
     return room.select(*PAIR, F.floor((F.col("rn") - 1) / (group * groups)).alias("step"),
                        F.pmod(F.floor((F.col("rn") - 1) / group), F.lit(groups)).alias("group"), "rn")
 
@@ -275,18 +290,19 @@ def dedupe_verdicts(verdicts: DataFrame, cands: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct(*rest), F.struct("group_no", "position")).alias("v")).select(*PAIR, "v.*"))
 
 
-def evidence(verdicts: DataFrame, cited: DataFrame, sents: DataFrame, texts: DataFrame, targets: DataFrame, keep: int = 4) -> DataFrame:
-    """Per verdict: whether a reference matched, up to four citing neighbourhoods, up to four sentences with a term, and
-    whether the worker's sentence is verbatim. texts(work_id, text)."""
-    ruled = targets.select("target_id", F.transform("terms", q.term_pattern).alias("pats"))
-    c = cited.filter(F.col("rank") <= keep).groupBy(*PAIR).agg(
-        F.bool_or("reference_matched").alias("reference_matched"),
-        F.array_sort(F.collect_list(F.struct("rank", "with_neighbours"))).alias("c"))
-    hits = (verdicts.select(*PAIR).distinct().join(sents.select("work_id", "pos", "sentence"), "work_id").join(ruled, "target_id")
-            .filter(F.exists("pats", lambda p: F.regexp_like(F.col("sentence"), p))))
+def evidence(verdicts: DataFrame, cited: DataFrame, sents: DataFrame, texts: DataFrame, targets: DataFrame, keep: int | None = None,
+             matched: DataFrame | None = None) -> DataFrame:
+    """Per verdict: whether a reference matched, the citing neighbourhoods, the sentences with a term (with `keep` so many of each),
+    and whether the worker's sentence is verbatim. texts(work_id, text); matched is the output of matched_references."""
+    shown = cited if keep is None else cited.filter(F.col("rank") <= keep)
+    c = shown.groupBy(*PAIR).agg(F.bool_or("reference_matched").alias("reference_matched"), F.array_sort(F.collect_list(F.struct("rank", "with_neighbours"))).alias("c"))
+    c = with_matched(verdicts.select(*PAIR).distinct().join(c, PAIR, "left"), matched if matched is not None else cited.filter("reference_matched"))
+    c = c.select(*PAIR, "c", F.coalesce("matched", F.lit(False)).alias("reference_matched"))
+    hits = match_terms(verdicts.select(*PAIR).distinct(), sents, with_rules(targets)).join(sents.select("work_id", "pos", "sentence"), ["work_id", "pos"])
     w = W.partitionBy(*PAIR).orderBy("pos")
-    top = hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).groupBy(*PAIR).agg(
-        F.array_sort(F.collect_list(F.struct("rn", F.substring("sentence", 1, 600).alias("s")))).alias("v"))
+    ranked = hits.withColumn("rn", F.row_number().over(w))
+    top = (ranked if keep is None else ranked.filter(F.col("rn") <= keep)).groupBy(*PAIR).agg(
+        F.array_sort(F.collect_list(F.struct("rn", F.col("sentence").alias("s")))).alias("v"))
     t = texts.join(verdicts.select("work_id").distinct(), "work_id", "left_semi").select(
         "work_id", norm(F.col("text")).alias("tn"), squash(F.col("text")).alias("ts"))
     qn = norm(F.col("sentence"))

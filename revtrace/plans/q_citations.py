@@ -142,14 +142,14 @@ CITING = BASE + """, lastpos AS (SELECT work_id, max(pos) AS last FROM sents GRO
 
 
 @Q.add("citing_sentences", CITING + """ SELECT n.work_id, n.target_id, n.pos, n.rank, n.n_sentences, string_agg(s.sentence, ' ' ORDER BY s.pos) AS ctx FROM n
-  JOIN sents s ON s.work_id = n.work_id AND s.pos BETWEEN n.pos - 1 AND n.pos + 1 WHERE n.rank <= 8 GROUP BY ALL""".replace("string_agg(s.sentence, ' ' ORDER BY s.pos) AS ctx", "substr(string_agg(s.sentence, ' ' ORDER BY s.pos), 1, 1400) AS ctx"))
+  JOIN sents s ON s.work_id = n.work_id AND s.pos BETWEEN n.pos - 1 AND n.pos + 1 GROUP BY ALL""")
 def citing_sentences(spark, sf):
     c = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), pairs(spark, sf), exact_targets(spark, sf))
     return c.select(*ci.PAIR, F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"), "n_sentences", F.col("with_neighbours").alias("ctx"))
 
 
 @Q.add("citer_screening", KEPT + """, rk AS (SELECT *, row_number() OVER (PARTITION BY work_id, target_id ORDER BY pos) AS rn FROM kept WHERE work_id % 10 <> 3)
-  SELECT work_id, target_id, string_agg(substr(sentence, 1, 500), '|' ORDER BY rn) FILTER (WHERE rn <= 3) AS sentences,
+  SELECT work_id, target_id, string_agg(sentence, '|' ORDER BY rn) FILTER (WHERE rn <= 3) AS sentences,
    bool_and(length(sentence) > 600 OR length(sentence) - length(replace(sentence, '|', '')) > 2 OR len(regexp_extract_all(sentence, '[0-9]+\\.[0-9]+')) > 6) AS f2, bool_or(contains(sentence, '6.4')) AS f3 FROM rk GROUP BY 1, 2""")
 def citer_screening(spark, sf):
     hits = pairs(spark, sf).withColumn("has_text", F.col("work_id") % 10 != 3)
@@ -166,15 +166,17 @@ def screening_counts(spark, sf):
 
 
 # Flag F1 with citing sentences: the last sentence of every work is its statement and points to its own reference
-@Q.add("candidate_flags", KEPT.replace(PATTERN_SQL, PATTERN_SQL) + CITING[len(BASE):] + """, ctx AS (SELECT n.work_id, n.target_id, n.pos, substr(string_agg(s.sentence, ' ' ORDER BY s.pos), 1, 1400) AS c FROM n
-   JOIN sents s ON s.work_id = n.work_id AND s.pos BETWEEN n.pos - 1 AND n.pos + 1 WHERE n.rank <= 8 GROUP BY 1, 2, 3),
+@Q.add("candidate_flags", KEPT.replace(PATTERN_SQL, PATTERN_SQL) + CITING[len(BASE):] + """, ctx AS (SELECT n.work_id, n.target_id, n.pos, string_agg(s.sentence, ' ' ORDER BY s.pos) AS c FROM n
+   JOIN sents s ON s.work_id = n.work_id AND s.pos BETWEEN n.pos - 1 AND n.pos + 1 GROUP BY 1, 2, 3),
   att AS (SELECT work_id, target_id, bool_or(len([x FOR x IN ps IF regexp_matches(c, x)]) > 0) AS a FROM ctx JOIN pats USING (target_id) GROUP BY 1, 2),
   kk AS (SELECT DISTINCT work_id, target_id FROM kept)
-  SELECT kk.work_id, kk.target_id, NOT coalesce(a, false) AS f1, att.work_id IS NOT NULL AS reference_matched FROM kk LEFT JOIN att ON att.work_id = kk.work_id AND att.target_id = kk.target_id""")
+  SELECT kk.work_id, kk.target_id, NOT coalesce(a, false) AS f1, r.work_id IS NOT NULL AS reference_matched FROM kk LEFT JOIN att ON att.work_id = kk.work_id AND att.target_id = kk.target_id
+   LEFT JOIN (SELECT DISTINCT work_id, target_id FROM r) r ON r.work_id = kk.work_id AND r.target_id = kk.target_id""")
 def candidate_flags(spark, sf):
-    cited = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), pairs(spark, sf), exact_targets(spark, sf))
+    matched = ci.matched_references(refs(spark, sf), pairs(spark, sf), exact_targets(spark, sf))
+    cited = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), pairs(spark, sf), exact_targets(spark, sf), matched=matched)
     hits = pairs(spark, sf).withColumn("has_text", F.lit(True))
-    c, _ = ci.screen_citers(hits, sents(spark, sf), None, targets(spark, sf), cited)
+    c, _ = ci.screen_citers(hits, sents(spark, sf), None, targets(spark, sf), cited, matched=matched)
     return c.select(*ci.PAIR, F.array_contains("flags", "F1").alias("f1"), "reference_matched")
 
 
@@ -188,7 +190,7 @@ def hits_view(spark, sf):
 
 
 @Q.add("screening_plan", HITS_SQL + """, r AS (SELECT target_id, work_id, row_number() OVER (PARTITION BY target_id ORDER BY v <> 'preprint', coalesce(strftime(d, '%Y-%m-%d'), ''), work_id) AS rank FROM hits)
-  SELECT target_id, work_id, rank, CAST(floor((rank - 1) / 20) AS BIGINT) AS batch FROM r WHERE rank <= 2000""")
+  SELECT target_id, work_id, rank, CAST(floor((rank - 1) / 20) AS BIGINT) AS batch FROM r""")
 def screening_plan(spark, sf):
     plan, _ = ci.screening_plan(hits_view(spark, sf))
     return plan.select("target_id", "work_id", F.col("rank").cast("long").alias("rank"), "batch")
@@ -196,7 +198,7 @@ def screening_plan(spark, sf):
 
 @Q.add("screening_capped", HITS_SQL + " SELECT target_id, greatest(count(*) - 2000, 0) AS screen_capped FROM hits GROUP BY 1")
 def screening_capped(spark, sf):
-    return ci.screening_plan(hits_view(spark, sf))[1]
+    return ci.screening_plan(hits_view(spark, sf), 2000)[1]
 
 
 @Q.add("incremental_hits", HITS_SQL + " SELECT target_id, work_id FROM hits WHERE v = 'published' AND strftime(d, '%Y-%m-%d') >= '1998-01-01'")
@@ -234,7 +236,7 @@ def candidate_overview(spark, sf):
 
 @Q.add("worker_groups", CANDS_SQL + """, s AS (SELECT target_id, count(*) AS used FROM cands WHERE role = 'background' AND cites = 'current' GROUP BY 1),
   r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY position) AS rn FROM cands WHERE NOT (role = 'background' AND cites = 'current'))
-  SELECT r.target_id, work_id, CAST(floor((rn - 1) / 40) AS BIGINT) AS step, CAST(floor((rn - 1) / 5) AS BIGINT) % 8 AS "group" FROM r LEFT JOIN s ON s.target_id = r.target_id WHERE rn <= 120 - coalesce(used, 0)""")
+  SELECT r.target_id, work_id, CAST(floor((rn - 1) / 40) AS BIGINT) AS step, CAST(floor((rn - 1) / 5) AS BIGINT) % 8 AS "group" FROM r""")
 def worker_groups(spark, sf):
     c = cands_view(spark, sf)
     return ci.assign_groups(c, c.filter("role = 'background' AND cites = 'current'")).select("target_id", "work_id", "step", "group")
@@ -266,16 +268,18 @@ def verdict_checks(spark, sf):
 
 
 @Q.add("verdict_evidence", BASE + CITING[len(BASE):] + f""", h AS (SELECT p.work_id, p.target_id, s.pos FROM pairs p JOIN pats USING (target_id) JOIN sents s ON s.work_id = p.work_id WHERE p.target_id % 8 IN (1, 5)
-    AND regexp_matches(s.sentence, ps[1])), hc AS (SELECT work_id, target_id, least(count(*), 4) AS n FROM h GROUP BY 1, 2), c AS (SELECT work_id, target_id, least(count(*), 4) AS n FROM f GROUP BY 1, 2)
-  SELECT p.work_id, p.target_id, coalesce(c.n, 0) AS n_citing, CASE WHEN p.target_id % 8 IN (1, 5) THEN coalesce(hc.n, 0) END AS n_value, p.work_id % 2 = 0 AS verbatim FROM pairs p
+    AND regexp_matches(s.sentence, ps[1])), hc AS (SELECT work_id, target_id, count(*) AS n FROM h GROUP BY 1, 2), c AS (SELECT work_id, target_id, count(*) AS n FROM f GROUP BY 1, 2)
+  SELECT p.work_id, p.target_id, coalesce(c.n, 0) AS n_citing, CASE WHEN p.target_id % 8 IN (1, 5) THEN coalesce(hc.n, 0) END AS n_value, p.work_id % 2 = 0 AS verbatim,
+   EXISTS (SELECT 1 FROM r WHERE r.work_id = p.work_id AND r.target_id = p.target_id) AS reference_matched FROM pairs p
    LEFT JOIN hc ON hc.work_id = p.work_id AND hc.target_id = p.target_id LEFT JOIN c ON c.work_id = p.work_id AND c.target_id = p.target_id""")
 def verdict_evidence(spark, sf):
     w = view(spark, sf, "works")
     p = pairs(spark, sf)
     v = p.join(w.select("work_id", F.when(F.col("work_id") % 2 == 0, F.concat(F.lit(" "), F.substring_index("text", ". ", -1))).otherwise("an invented sentence of no work").alias("sentence")), "work_id")
-    cited = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), p, exact_targets(spark, sf))
-    e = ci.evidence(v, cited, sents(spark, sf), w.select("work_id", "text"), targets(spark, sf))
-    return e.select(*ci.PAIR, F.size("sentences_citing_target").cast("long").alias("n_citing"),
+    matched = ci.matched_references(refs(spark, sf), p, exact_targets(spark, sf))
+    cited = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), p, exact_targets(spark, sf), matched=matched)
+    e = ci.evidence(v, cited, sents(spark, sf), w.select("work_id", "text"), targets(spark, sf), matched=matched)
+    return e.select(*ci.PAIR, "reference_matched", F.size("sentences_citing_target").cast("long").alias("n_citing"),
                     F.when((F.col("target_id") % 8).isin(1, 5), F.size("sentences_with_old_value").cast("long")).alias("n_value"), F.col("sentence_verbatim").alias("verbatim"))
 
 
