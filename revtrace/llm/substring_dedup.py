@@ -1,11 +1,11 @@
 """Removal of passages that repeat across documents: compressed FM-indexes per shard, searched backward for streamed passages.
 
-A window of WINDOW words is filed under its least 5-word shingle (leftmost of equal ones). Equal windows have equal shingles, so
+A window of WINDOW words is filed under its least 5-word shingle. Equal windows have equal shingles, so
 only shingles filed by two documents can matter, and a shard holds all occurrences of its shingles' windows. From the documents
 that have such shingles the passages around them go to the shingle's shard. The shard indexes its distinct passages and streams
 them through the index; where the matching statistics reach WINDOW, the smallest document of the match's range tells whether the
-window also starts in an earlier document. A shingle with very many passages is dealt out in blocks, and each pair of blocks has an
-index of its own.
+window also starts in an earlier document. A shingle with very many passages goes by its distinct ones, dealt out in blocks, and
+each pair of blocks has an index of its own.
 """
 from __future__ import annotations
 
@@ -25,6 +25,7 @@ from .near_dedup import _SALT
 WINDOW = 50
 SHINGLE = 5
 SHARD_PASSAGES = 4000
+PIECE = 60  # window starts of a streamed piece
 FAR = np.iinfo(np.int64).max
 
 
@@ -37,20 +38,19 @@ def filed(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     for k in range(SHINGLE):
         low += w.hash[k:n - SHINGLE + 1 + k] * _SALT[k]
     low = mix64(low)
-    at, span, width = np.arange(len(low)), 1, window - SHINGLE + 1
+    span, width = 1, window - SHINGLE + 1
     while span < width:
         step = min(span, width - span)
-        later = low[step:] < low[:-step]
-        low, at = np.where(later, low[step:], low[:-step]), np.where(later, at[step:], at[:-step])
+        low = np.minimum(low[step:], low[:-step])
         span += step
     # window j covers shingles j .. j + width - 1; it has to end in the text where it starts
     start = np.flatnonzero(w.doc[:n - window + 1] == w.doc[window - 1:])
     if not len(start):
         return none.view(np.uint64), none, none, none
-    place, doc = at[start], w.doc[start]
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
+    key, doc = low[start], w.doc[start]  # in periodic text the place moves with the window, the key does not
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
     runs = np.flatnonzero(new)
-    return low[start[runs]], doc[runs], start[runs] - w.first[doc[runs]], np.diff(np.append(runs, len(start)))
+    return key[runs], doc[runs], start[runs] - w.first[doc[runs]], np.diff(np.append(runs, len(start)))
 
 
 def marks(docs: DataFrame, window: int) -> DataFrame:
@@ -73,9 +73,9 @@ def sha(words: list[bytes]) -> tuple[bytes, str]:
 
 def cut_out(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
     """For documents without marks the final row (kind 0); for others their words (kind 2) and the marked passages (kind 1)."""
-    schema = "kind int, doc_id long, n_words long, kept_sha256 string, words binary, key long, blocks int, at int, passage binary"
+    schema = "kind int, doc_id long, n_words long, kept_sha256 string, words binary, key long, hot boolean, at int, passage binary"
     columns = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +92,7 @@ def cut_out(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
                 rows.append((2, doc_id, len(words), name, joined, None, None, None, None))
                 for m in found:
                     passage = b" ".join(words[m["at"]:m["at"] + m["windows"] + window - 1])
-                    rows.append((1, doc_id, None, None, None, m["key"], m["blocks"], m["at"], passage))
+                    rows.append((1, doc_id, None, None, None, m["key"], m["hot"], m["at"], passage))
                     size += len(passage)
                 size += len(joined)
                 if size > 8 << 20:
@@ -101,7 +101,7 @@ def cut_out(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
 
-    by_doc = marked.groupBy("doc_id").agg(F.collect_set(F.struct("key", "blocks", "at", "windows")).alias("marks"))
+    by_doc = marked.groupBy("doc_id").agg(F.collect_set(F.struct("key", "hot", "at", "windows")).alias("marks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(run, schema)
 
@@ -112,43 +112,65 @@ def spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def search_shard(doc_id: np.ndarray, at: np.ndarray, passages: list[bytes], window: int) -> list[tuple[int, int, int]]:
-    """(doc_id, from, to): words covered by windows that also start in a document with a smaller id among these passages."""
+def search_shard(owner_of: np.ndarray, passages: list[bytes], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of each passage's distinct text, and for each distinct text the smallest owner of the windows that start at its
+    words. The distinct passages are indexed, and streamed through the index."""
     ids: dict[bytes, int] = {}
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(p, len(number)) for p in passages])
     sequences = [np.array([ids.setdefault(x, len(ids) + 1) for x in p.split(b" ")], np.int64) for p in number]
     owner = np.full(len(number), FAR)
-    np.minimum.at(owner, which, doc_id)
+    np.minimum.at(owner, which, owner_of)
     index = FMIndex(sequences, owner, len(ids) + 1, window)
     least = index.least_owner(window)
-    earliest = [np.full(max(len(s) - window + 1, 0), FAR) for s in sequences]
-    flat_from = np.concatenate([[0], np.cumsum([len(e) for e in earliest])])
-    flat = np.full(flat_from[-1], FAR)
-    for k, position, length, low in index.stream(sequences, window):
+    cut = np.concatenate([[0], np.cumsum([max(len(s) - window + 1, 0) for s in sequences])])
+    flat = np.full(cut[-1], FAR)
+    # long passages are streamed in pieces that overlap by a window less one
+    pieces = [(k, a) for k, s in enumerate(sequences) for a in range(0, max(len(s) - window + 1, 0), PIECE)]
+    begin = np.array([cut[k] + a for k, a in pieces], np.int64)
+    for k, position, length, low in index.stream([sequences[k][a:a + PIECE + window - 1] for k, a in pieces], window):
         hit = length >= window
-        flat[flat_from[k[hit]] + position[hit]] = least[low[hit]]
-    out = []
-    for d, a, k in zip(doc_id.tolist(), at.tolist(), which.tolist()):
-        for x, y in spans(flat[flat_from[k]:flat_from[k + 1]] < d):
-            out.append((d, a + x, a + y + window - 1))
-    return out
-
-
-def repeated_intervals(passages: DataFrame, window: int, per_shard: int = SHARD_PASSAGES) -> DataFrame:
-    """(doc_id, from, to) of words to remove, from passages (key, blocks, doc_id, at, passage)."""
-    shards = max(1, passages.count() // per_shard + 1)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = passages.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", other)
-    dealt = dealt.select(F.when(F.col("blocks") == 1, F.pmod("key", F.lit(shards))).otherwise(-1).alias("shard"),
-                         F.when(F.col("blocks") > 1, F.col("key")).otherwise(0).alias("hot"),
-                         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "at", "passage")
+        flat[begin[k[hit]] + position[hit]] = least[low[hit]]
+    return which, [flat[x:y] for x, y in zip(cut, cut[1:])]
 
+
+def _of_members(passages: DataFrame, window: int, shards: int) -> DataFrame:
+    """Passages of shingles with few of them: many shingles to a shard."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = search_shard(g.doc_id.values, g["at"].values, g.passage.tolist(), window)
+        which, earliest = search_shard(g.doc_id.values, g.passage.tolist(), window)
+        found = [(d, a + x, a + y + window - 1) for d, a, k in zip(g.doc_id.tolist(), g["at"].tolist(), which.tolist()) for x, y in spans(earliest[k] < d)]
         return pd.DataFrame(found, columns=["doc_id", "from", "to"], dtype="int64")
 
-    return dealt.groupBy("shard", "hot", "i", "j").applyInPandas(run, "doc_id long, from long, to long")
+    dealt = passages.select(F.pmod("key", F.lit(shards)).alias("shard"), "doc_id", "at", "passage")
+    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, from long, to long")
+
+
+def _of_distinct(passages: DataFrame, window: int, per_shard: int) -> DataFrame:
+    """Passages of shingles with very many: distinct texts first, in blocks, each pair of blocks in an index of its own."""
+    named = passages.withColumn("h", F.xxhash64("passage")).withColumn("h2", F.xxhash64(F.lit(1), "passage"))
+    texts = written(named.groupBy("key", "h", "h2").agg(F.min("doc_id").alias("owner"), F.first("passage").alias("passage")), "hot-passages")
+    dealt = texts.join(texts.groupBy("key").agg(F.ceil(F.count("*") / per_shard).alias("blocks")), "key")
+    dealt = dealt.withColumn("block", F.pmod("h", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h", "h2", "owner", "passage")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        which, earliest = search_shard(g.owner.values, g.passage.tolist(), window)
+        found = []
+        for key, h, h2, k in zip(g.key.tolist(), g.h.tolist(), g.h2.tolist(), which.tolist()):
+            e = earliest[k]
+            cut = [0, *(np.flatnonzero(e[1:] != e[:-1]) + 1).tolist(), len(e)]
+            found += [(key, h, h2, x, y, int(e[x])) for x, y in zip(cut, cut[1:])]
+        return pd.DataFrame(found, columns=["key", "h", "h2", "x", "y", "earliest"], dtype="int64")
+
+    runs = dealt.groupBy("key", "i", "j").applyInPandas(run, "key long, h long, h2 long, x long, y long, earliest long")
+    return named.select("key", "h", "h2", "doc_id", "at").join(runs, ["key", "h", "h2"]).where("earliest < doc_id").select(
+        "doc_id", (F.col("at") + F.col("x")).alias("from"), (F.col("at") + F.col("y") + window - 1).alias("to"))
+
+
+def repeated_intervals(passages: DataFrame, window: int, per_shard: int) -> DataFrame:
+    """(doc_id, from, to) of words to remove, from passages (key, hot, doc_id, at, passage)."""
+    shards = passages.count() // per_shard + 1
+    return _of_members(passages.where("not hot"), window, shards).unionByName(_of_distinct(passages.where("hot"), window, per_shard))
 
 
 def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
@@ -174,7 +196,7 @@ def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, per_shard: int = SHARD_PASSAGES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space; null where nothing
     was removed).
 
@@ -184,9 +206,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select("doc_id", "text")
     all_marks = written(marks(docs, window), "marks")
     keys = all_marks.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    keys = keys.select("key", F.ceil(F.col("n") / SHARD_PASSAGES).cast("int").alias("blocks"))
+    keys = keys.select("key", (F.col("n") > per_shard).alias("hot"))
     parts = written(cut_out(docs, all_marks.join(keys, "key"), window), "passages")
-    passages = parts.where("kind = 1").select("key", "blocks", "doc_id", "at", "passage")
+    passages = parts.where("kind = 1").select("key", "hot", "doc_id", "at", "passage")
     touched = parts.where("kind = 2").select("doc_id", "n_words", "words")
     done = parts.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    return done.unionByName(remove(touched, written(repeated_intervals(passages, window), "intervals")))
+    return done.unionByName(remove(touched, written(repeated_intervals(passages, window, per_shard), "intervals")))
