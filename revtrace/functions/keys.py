@@ -106,11 +106,11 @@ def normalize_author_structs(c: Column) -> Column:
     return F.coalesce(F.filter(rows, lambda a: a["name"].isNotNull() & (a["name"] != "")), F.array().cast(AUTHOR_TYPE))
 
 
-def citing_authors(c: Column, keep: int = 20) -> Column:
-    """Author string of a citing work: split at commas before a capital, at most 20, e-mail always null."""
+def citing_authors(c: Column, keep: int | None = None) -> Column:
+    """Author string of a citing work: split at commas before a capital (with `keep` the first ones), e-mail always null."""
     text = F.regexp_replace(F.coalesce(c, F.lit("")), r"\.+$", "")
     names = F.filter(F.transform(F.split(text, r"(?U),\s*(?=[A-Z])"), strip), lambda n: n != "")
-    return F.transform(F.slice(names, 1, keep), lambda n: F.struct(
+    return F.transform(names if keep is None else F.slice(names, 1, keep), lambda n: F.struct(
         n.alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("email")))
 
 

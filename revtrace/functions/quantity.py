@@ -186,12 +186,13 @@ def _stated(t: Column) -> Column:
     return F.concat(ranges, single)
 
 
-def old_value_terms(old: Column, new: Column, k: int = 2) -> Column:
-    """Terms for the values of the old text whose numbers are not all in the new text; order kept, at most k."""
+def old_value_terms(old: Column, new: Column, k: int | None = None) -> Column:
+    """Terms for the values of the old text whose numbers are not all in the new text; order kept; with k the first ones."""
     kept = let(strip_noise(new), lambda t: F.concat(
         F.flatten(F.transform(_stated(t), lambda v: v["nums"])), numbers(t)))
     changed = let(kept, lambda have: F.filter(stated_values(old), lambda v: F.size(F.array_except(v["nums"], have)) > 0))
-    return F.slice(F.array_distinct(F.transform(changed, lambda v: v["term"])), 1, k)
+    terms = F.array_distinct(F.transform(changed, lambda v: v["term"]))
+    return terms if k is None else F.slice(terms, 1, k)
 
 
 def claim_values(c: Column) -> Column:

@@ -11,7 +11,6 @@ from ..functions.text import after, before, escape_regex, find_all, let, norm, s
 
 DOC = ["paper_id", "doc_id"]
 CHUNK_CHARS = 24_000
-SECTION_CHARS = 6_000
 CUT_MARK = " …[truncated]"
 # key grams per tier, from rare to every position of a text
 ANCHORS = [r"[bgkpvwy0-9].{11}", r".{8}", r".{3}", r"."]
@@ -60,21 +59,21 @@ def list_sections(units: DataFrame) -> DataFrame:
                     F.length(F.coalesce("text", F.lit(""))).alias("n_chars")))
 
 
-def _cut(c: Column, n: int = SECTION_CHARS) -> Column:
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n), F.lit(CUT_MARK)))
+def _cut(c: Column, n: int | None) -> Column:
+    return c if n is None else F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n), F.lit(CUT_MARK)))
 
 
-def get_table(units: DataFrame, requests: DataFrame) -> DataFrame:
+def get_table(units: DataFrame, requests: DataFrame, max_chars: int | None = None) -> DataFrame:
     """requests(paper_id, doc_id, index) -> label and text of the n-th table; null when out of range."""
     w = W.partitionBy(*DOC).orderBy("unit_no")
     wanted = requests.select(*DOC).distinct()
     tables = (units.filter("kind = 'table'").join(wanted, DOC, "left_semi")
               .select(*DOC, (F.row_number().over(w) - 1).alias("index"), F.col("title").alias("label"),
-                      _cut(F.col("text")).alias("text")))
+                      _cut(F.col("text"), max_chars).alias("text")))
     return requests.join(tables, [*DOC, "index"], "left")
 
 
-def read_section(units: DataFrame, requests: DataFrame) -> DataFrame:
+def read_section(units: DataFrame, requests: DataFrame, max_chars: int | None = None) -> DataFrame:
     """requests(request_id, paper_id, doc_id, title) -> the section: exact title, else the title contains the request,
     else it contains a word of it longer than three; first in document order. A miss lists the titles."""
     ask = F.lower(strip(F.col("asked")))
@@ -87,7 +86,7 @@ def read_section(units: DataFrame, requests: DataFrame) -> DataFrame:
     picked = F.min_by(F.struct("title", "text"), F.when(F.col("match_class").isNotNull(), F.struct("match_class", "unit_no")))
     got = pairs.groupBy("request_id", *DOC, "asked").agg(
         picked.alias("hit"), F.array_sort(F.collect_list(F.when(F.col("title").isNotNull(), F.struct("unit_no", "title")))).alias("all"))
-    return got.select("request_id", *DOC, "asked", F.col("hit.title").alias("section"), _cut(F.col("hit.text")).alias("text"),
+    return got.select("request_id", *DOC, "asked", F.col("hit.title").alias("section"), _cut(F.col("hit.text"), max_chars).alias("text"),
                       F.when(F.col("hit").isNull(), F.transform("all", lambda u: u["title"])).alias("available"))
 
 
@@ -113,16 +112,17 @@ def search_text(units: DataFrame, queries: DataFrame, max_snippets: int = 8, hal
     return asked.drop("pattern").join(found, "query_id", "left").withColumn("total_hits", F.coalesce("total_hits", F.lit(0)))
 
 
-def search_sentences(sents: DataFrame, queries: DataFrame, keep: int = 6, cut: int = 700) -> DataFrame:
+def search_sentences(sents: DataFrame, queries: DataFrame, keep: int | None = None) -> DataFrame:
     """sents(work_id, pos, sentence), queries(query_id, work_id, terms) -> sentences holding every comma-separated term
-    (literal, any case): all counted, the first ones returned."""
+    (literal, any case): all counted; with `keep` the first ones returned, else all."""
     terms = F.filter(F.transform(F.split("terms", ","), lambda t: F.lower(strip(t))), lambda t: t != "")
     hit = F.forall("wanted", lambda t: F.contains(F.lower("sentence"), t))
     pairs = queries.withColumn("wanted", terms).join(sents, "work_id").filter(hit)
     w = W.partitionBy("query_id").orderBy("pos")
-    top = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
+    ranked = pairs.withColumn("rn", F.row_number().over(w))
+    top = ranked if keep is None else ranked.filter(F.col("rn") <= keep)
     first = top.groupBy("query_id").agg(F.array_sort(F.collect_list(
-        F.struct("rn", F.substring("sentence", 1, cut).alias("sentence")))).alias("s"))
+        F.struct("rn", "sentence"))).alias("s"))
     n = pairs.groupBy("query_id").agg(F.count("*").alias("n_sentences"))
     return (queries.join(n, "query_id", "left").join(first, "query_id", "left")
             .select("query_id", "work_id", "terms", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"),
@@ -131,12 +131,16 @@ def search_sentences(sents: DataFrame, queries: DataFrame, keep: int = 6, cut: i
 
 def chunk_units(units: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     """Consecutive units of a document packed into chunks: a new one starts when the running size would pass the limit.
-    A block is stored up to the limit, its full length counts. One row per chunk with its text and unit count."""
-    sized = units.withColumn("block", _heading()).withColumn("size", F.length("block"))
+    A unit over the limit goes on over as many pieces of that size as it needs. One row per chunk with its text and unit count (a unit
+    counts in every chunk that has a piece of it)."""
+    whole = units.withColumn("block", _heading())
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.length("block") / limit) - 1))
+    pieces = whole.withColumn("piece", F.explode(starts)).withColumn("block", F.expr(f"substring(block, CAST(piece * {limit} AS INT) + 1, {limit})"))
+    sized = pieces.withColumn("unit_no", F.struct(F.col("unit_no").cast("int").alias("unit"), F.col("piece").cast("int").alias("piece"))).withColumn("size", F.length("block"))
     # the running size is a fold over a document's unit lengths (numbers only; the texts join back afterwards)
     lengths = sized.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("unit_no", "size"))).alias("us"))
     start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"),
-                     F.from_json(F.lit("[]"), "array<struct<unit_no:int,chunk:int>>").alias("out"))
+                     F.from_json(F.lit("[]"), "array<struct<unit_no:struct<unit:int,piece:int>,chunk:int>>").alias("out"))
 
     def step(acc: Column, u: Column) -> Column:
         fresh = (acc["n"] > 0) & (acc["size"] + u["size"] > limit)
@@ -144,13 +148,13 @@ def chunk_units(units: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
             (acc["chunk"] + f.cast("int")).alias("chunk"),
             (F.when(f, F.lit(0).cast("long")).otherwise(acc["size"]) + u["size"]).alias("size"),
             (F.when(f, F.lit(0)).otherwise(acc["n"]) + 1).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(u["unit_no"].cast("int").alias("unit_no"),
+            F.concat(acc["out"], F.array(F.struct(u["unit_no"].alias("unit_no"),
                                                   (acc["chunk"] + f.cast("int")).alias("chunk")))).alias("out")))
 
     placed = lengths.select(*DOC, F.inline(F.aggregate("us", start, step)["out"]))
-    part = F.struct("unit_no", F.substring("block", 1, limit).alias("block"))
+    part = F.struct("unit_no", "block")
     return (sized.join(placed, [*DOC, "unit_no"]).groupBy(*DOC, "chunk")
-            .agg(F.count("*").alias("n_units"), F.array_sort(F.collect_list(part)).alias("p"))
+            .agg(F.count_distinct("unit_no.unit").alias("n_units"), F.array_sort(F.collect_list(part)).alias("p"))
             .select(*DOC, "chunk", "n_units", F.array_join(F.transform("p", lambda x: x["block"]), "\n\n").alias("text")))
 
 

@@ -45,7 +45,7 @@ def parse_judgements(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
         "request_id", "candidate_no",
         F.when(F.col("j.refers").isin("yes", "possible", "no"), F.col("j.refers")).otherwise("no").alias("refers"),
         F.when(F.col("j.value_use").isin(*S.VALUE_USES), F.col("j.value_use")).otherwise("cannot_tell").alias("value_use"),
-        F.substring(F.coalesce("j.reason", F.lit("")), 1, 200).alias("reason"))
+        F.coalesce("j.reason", F.lit("")).alias("reason"))
     return out, p.filter(~usable | F.col("parsed").isNull()).select("request_id")
 
 
@@ -67,7 +67,7 @@ def build_targets(events: DataFrame, identities: DataFrame | None = None) -> Dat
         e = e.join(identities.select("paper_id", F.col("first_author").alias("_a"), F.col("title").alias("_t")), "paper_id", "left")
         author, title = F.coalesce(author, text(F.col("_a"))), F.coalesce(title, text(F.col("_t")))
     d = e.select("event_id", "paper_id", "preprint_doi", "published_doi", F.coalesce(author, F.lit("")).alias("first_author"),
-                 F.substring(F.coalesce(title, F.lit("")), 1, 60).alias("title_fragment"), F.posexplode("claim_diffs").alias("claim_diff_idx", "d"))
+                 F.coalesce(title, F.lit("")).alias("title_fragment"), F.posexplode("claim_diffs").alias("claim_diff_idx", "d"))
     d = d.filter(~F.coalesce(F.col("d.root_cause").isin(*S.UNTRACED_ROOT_CAUSES), F.lit(False)))
     d = d.withColumn("terms", old_value_terms(F.col("d.preprint_text"), F.col("d.published_text"))).filter(F.size("terms") > 0)
     return d.select(

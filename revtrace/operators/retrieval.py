@@ -21,7 +21,6 @@ from .records import build_targets
 STOP_WORDS = ("a an the of in on for and or to with from by at as is are among between during its their after into versus vs").split()
 RRF_K, DEPTH, TOP_EVENTS, MAX_EXACT, MAX_WEAK = 60, 100, 10, 5, 3
 TITLE_ACCEPT, TITLE_POSSIBLE, SHORT_PRECISION = 0.85, 0.6, 0.8
-MAX_SENTENCES, MAX_SENTENCE_CHARS, INDEX_CHARS, MAX_PUBLISHED_TARGETS = 20, 2000, 2000, 8
 BM25_K1, BM25_B = 1.2, 0.75
 # ---------------------------------------------------------------------------------------------------------------------------
 _STRINGS = "array<string>"
@@ -50,7 +49,7 @@ def build_change_index(events: DataFrame) -> DataFrame:
         F.nullif(F.lower(text("first_author")), F.lit("")).alias("first_author"),
         F.array_except("o", "n").alias("old_values"), F.array_except("n", "o").alias("new_values"), F.array_intersect("o", "n").alias("shared_values"),
         F.col("d.root_cause").alias("root_cause"), F.col("d.severity_tier").alias("severity_tier"),
-        F.substring(F.concat(prefix, "body"), 1, INDEX_CHARS).alias("text"), F.col("d.preprint_text").alias("preprint_text"),
+        F.concat(prefix, "body").alias("text"), F.col("d.preprint_text").alias("preprint_text"),
         F.col("d.published_text").alias("published_text"), F.col("d.change_description").alias("change_description"))
 
 
@@ -167,15 +166,17 @@ def best_per_event(ranked: DataFrame, k: int = TOP_EVENTS) -> DataFrame:
 
 
 # ---- exact candidates and hints ------------------------------------------------------------------------------------------------
-def prepare_sentences(sents: DataFrame, per_request: int = MAX_SENTENCES) -> tuple[DataFrame, DataFrame]:
-    """sents(request_id, pos, sentence): blank ones dropped, the first 20 of a request checked, each up to 2000 characters;
-    and per request how many were submitted and ignored."""
+def prepare_sentences(sents: DataFrame, per_request: int | None = None, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """sents(request_id, pos, sentence): blank ones dropped; with limits the first ones of a request are checked, each up to so many
+    characters. And per request how many were submitted and ignored."""
     s = sents.withColumn("sentence", strip(F.col("sentence"))).filter("sentence <> ''")
     w = W.partitionBy("request_id").orderBy("pos")
-    kept = s.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_request)
-    n = s.groupBy("request_id").agg(F.count("*").alias("n_submitted"), F.greatest(F.count("*") - per_request, F.lit(0)).alias("n_ignored"))
-    return kept.withColumn("truncated", F.length("sentence") > MAX_SENTENCE_CHARS).withColumn(
-        "sentence", F.substring("sentence", 1, MAX_SENTENCE_CHARS)).drop("rn"), n
+    kept = s if per_request is None else s.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_request).drop("rn")
+    ignored = F.lit(0).cast("long") if per_request is None else F.greatest(F.count("*") - per_request, F.lit(0))
+    n = s.groupBy("request_id").agg(F.count("*").alias("n_submitted"), ignored.alias("n_ignored"))
+    if max_chars is None:
+        return kept.withColumn("truncated", F.lit(False)), n
+    return kept.withColumn("truncated", F.length("sentence") > max_chars).withColumn("sentence", F.substring("sentence", 1, max_chars)), n
 
 
 def with_values(sents: DataFrame) -> DataFrame:
@@ -272,7 +273,7 @@ def sentence_results(sents: DataFrame, matches: DataFrame) -> DataFrame:
 def reference_lines(texts: DataFrame) -> DataFrame:
     """texts(request_id, text): one row per non-empty line with its DOI."""
     lines = texts.select("request_id", F.posexplode(F.filter(F.transform(F.split("text", r"\n+"), strip), lambda x: x != "")).alias("line_no", "full"))
-    return lines.select("request_id", "line_no", F.substring("full", 1, 400).alias("line"), doi_in(F.col("full")).alias("doi"))
+    return lines.select("request_id", "line_no", F.col("full").alias("line"), doi_in(F.col("full")).alias("doi"))
 
 
 def _library(events: DataFrame) -> DataFrame:
@@ -375,15 +376,17 @@ def unknown_preprints(reflists: DataFrame, events: DataFrame) -> DataFrame:
     return rows.join(_by_doi(events).select("doi"), "doi", "left_anti").select("work_id", "pos", "doi")
 
 
-def check_published(works: DataFrame, reflists: DataFrame, events: DataFrame, verdicts: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Works against the events they cite and those events' targets (at most eight per paper): no_traceable_value,
+def check_published(works: DataFrame, reflists: DataFrame, events: DataFrame, verdicts: DataFrame, texts: DataFrame,
+                    max_targets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Works against the events they cite and those events' targets (with a limit, so many per paper): no_traceable_value,
     not_judged, or judged with old and new text, sentence and whether it is verbatim; and per work the summary."""
     from .documents import verify_flat_quotes
     cited = cited_events(reflists, events).join(works.select("work_id"), "work_id", "left_semi")
     t = build_targets(events).select("event_id", "target_id", "claim_diff_idx", "old_claim", "current_claim")
     jobs = cited.join(t, "event_id", "left")
-    w = W.partitionBy("work_id").orderBy("event_id", F.asc_nulls_first("claim_diff_idx"))
-    jobs = jobs.withColumn("job", F.row_number().over(w)).filter(F.col("job") <= MAX_PUBLISHED_TARGETS)
+    if max_targets is not None:
+        w = W.partitionBy("work_id").orderBy("event_id", F.asc_nulls_first("claim_diff_idx"))
+        jobs = jobs.withColumn("job", F.row_number().over(w)).filter(F.col("job") <= max_targets).drop("job")
     v = verdicts.select("work_id", "target_id", "cites", "role", "sentence", F.lit(True).alias("judged"))
     j = jobs.join(v, ["work_id", "target_id"], "left").withColumn("quote", F.coalesce("sentence", F.lit("")))
     status = F.when(F.col("target_id").isNull(), "no_traceable_value").when(F.col("judged").isNull(), "not_judged").otherwise("judged")

@@ -131,12 +131,12 @@ def carry_over(new: DataFrame, old: DataFrame) -> DataFrame:
             .drop("_s", "_r", "_t"))
 
 
-def review_queue(events: DataFrame, citations: DataFrame, status: str, n_events: int = 500, n_citations: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Events newest first; citations by the priority word in alphabetical order, then newest scored, nulls last."""
-    ev = events.filter(F.col("review_status") == status).orderBy(F.desc_nulls_last("detected_at"), "event_id").limit(n_events)
+def review_queue(events: DataFrame, citations: DataFrame, status: str, n_events: int | None = None, n_citations: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events newest first; citations by the priority word in alphabetical order, then newest scored, nulls last. With limits, the first ones."""
+    ev = events.filter(F.col("review_status") == status).orderBy(F.desc_nulls_last("detected_at"), "event_id")
     ci = (citations.filter(F.col("review_status") == status)
-          .orderBy(F.asc_nulls_last("notify_priority"), F.desc_nulls_last("scored_at"), "affected_citation_id").limit(n_citations))
-    return ev, ci
+          .orderBy(F.asc_nulls_last("notify_priority"), F.desc_nulls_last("scored_at"), "affected_citation_id"))
+    return ev if n_events is None else ev.limit(n_events), ci if n_citations is None else ci.limit(n_citations)
 
 
 # ---- Human decisions ---------------------------------------------------------------------------------------------------
@@ -351,7 +351,7 @@ def render_notices(citations: DataFrame, events: DataFrame, drafts: DataFrame |
     holds = lambda name: F.contains(bare(F.col("_db")), bare(text(name)))
     use = F.coalesce((F.col("_ds") != "") & (F.col("_db") != "") & holds("_diff.preprint_text") & holds("_diff.published_text"), F.lit(False))
     return out.join(dr, "affected_citation_id", "left").select(
-        "affected_citation_id", F.when(use, F.substring("_ds", 1, 200)).otherwise(F.col("_subject")).alias("subject"),
+        "affected_citation_id", F.when(use, F.col("_ds")).otherwise(F.col("_subject")).alias("subject"),
         F.when(use, F.col("_db")).otherwise(F.col("_body")).alias("body"), use.alias("from_draft"))
 
 

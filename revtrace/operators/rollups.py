@@ -188,11 +188,11 @@ def run_progress(states: DataFrame) -> DataFrame:
                          F.coalesce("turns", F.lit(0)).alias("orchestrator_turns"), line.alias("line"))
 
 
-def run_summary(targets: DataFrame, results: DataFrame, max_targets: int = 3, max_alerts: int = 5) -> tuple[DataFrame, DataFrame]:
+def run_summary(targets: DataFrame, results: DataFrame, max_targets: int | None = None, max_alerts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """targets(event_id, target_id, target_no, candidates, judged), results(target_id, work_no, work_id, cites) -> per
-    event: targets, traced, skipped, candidates, judged, works relying on an old value; and the first of those to alert."""
+    event: targets, traced, skipped, candidates, judged, works relying on an old value; and those to alert. The limits, if given, leave out later targets and alerts."""
     w = W.partitionBy("event_id").orderBy("target_no")
-    t = targets.withColumn("_rn", F.row_number().over(w)).withColumn("traced", F.col("_rn") <= max_targets)
+    t = targets.withColumn("_rn", F.row_number().over(w)).withColumn("traced", F.lit(True) if max_targets is None else F.col("_rn") <= max_targets)
     relying = (results.filter(F.col("cites").isin("superseded", "indirect"))
                .join(t.filter("traced").select("event_id", "target_id", "target_no"), "target_id"))
     n = relying.groupBy("event_id").agg(F.count("*").alias("n_affected"))
@@ -201,5 +201,8 @@ def run_summary(targets: DataFrame, results: DataFrame, max_targets: int = 3, ma
         F.sum(F.when(F.col("traced"), F.col("candidates")).otherwise(0)).alias("candidates"),
         F.sum(F.when(F.col("traced"), F.col("judged")).otherwise(0)).alias("judged"))
     order = W.partitionBy("event_id").orderBy("target_no", "work_no")
-    alerts = relying.withColumn("lane", F.row_number().over(order) - 1).filter(F.col("lane") < max_alerts).select("event_id", "lane", "target_id", "work_id")
+    alerts = relying.withColumn("lane", F.row_number().over(order) - 1)
+    if max_alerts is not None:
+        alerts = alerts.filter(F.col("lane") < max_alerts)
+    alerts = alerts.select("event_id", "lane", "target_id", "work_id")
     return per.join(n, "event_id", "left").withColumn("n_affected", F.coalesce("n_affected", F.lit(0))), alerts

@@ -171,11 +171,11 @@ def sentence_summary(spark, sf):
 
 
 @Q.add("sentence_intake", """WITH s AS (SELECT doc_id % 30 AS request_id, row_number() OVER (PARTITION BY doc_id % 30 ORDER BY doc_id) AS rn, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS n FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')
-  SELECT request_id, count(*) AS n_submitted, greatest(count(*) - 20, 0) AS n_ignored, count(*) FILTER (WHERE rn <= 20 AND n > 2000) AS n_cut FROM s GROUP BY 1""")
+  SELECT request_id, count(*) AS n_submitted, 0 AS n_ignored, CAST(sum(n) AS BIGINT) AS n_chars FROM s GROUP BY 1""")
 def sentence_intake(spark, sf):
     kept, n = rt.prepare_sentences(load(spark, sf, "documents").select((F.col("doc_id") % 30).alias("request_id"), F.col("doc_id").alias("pos"), F.col("text").alias("sentence")))
-    cut = kept.groupBy("request_id").agg(F.count_if("truncated").alias("n_cut"))
-    return n.join(cut, "request_id").select("request_id", "n_submitted", "n_ignored", "n_cut")
+    size = kept.groupBy("request_id").agg(F.sum(F.length("sentence")).alias("n_chars"))
+    return n.join(size, "request_id").select("request_id", "n_submitted", "n_ignored", "n_chars")
 
 
 @Q.add("retrieval_scores", f"""WITH {FUSED_SQL}, qs AS (SELECT item_id AS query_id, (item_id * 7) % 50 AS event_id, item_id % 2 = 0 AS has_number FROM benchmark),
@@ -260,10 +260,10 @@ def unknown_preprints(spark, sf):
     return rt.unknown_preprints(reflists(spark, sf), statement_events(spark, sf)).select("work_id", "doi")
 
 
-@Q.add("published_paper_check", f"""WITH {CITED_SQL}, n AS (SELECT work_id, count(*) AS n FROM ce GROUP BY 1) SELECT doc_id AS work_id, coalesce(n.n, 0) AS n_library_preprints_cited FROM documents LEFT JOIN n ON n.work_id = doc_id WHERE coalesce(n.n, 0) <= 8""")
+@Q.add("published_paper_check", f"""WITH {CITED_SQL}, n AS (SELECT work_id, count(*) AS n FROM ce GROUP BY 1) SELECT doc_id AS work_id, coalesce(n.n, 0) AS n_library_preprints_cited FROM documents LEFT JOIN n ON n.work_id = doc_id""")
 def published_paper_check(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("work_id"), "text")
     e = statement_events(spark, sf)
     v = d.select("work_id", F.concat("work_id", F.lit("::1")).alias("target_id"), F.lit("superseded").alias("cites"), F.lit("background").alias("role"), F.substring("text", 3, 60).alias("sentence"))
     _, per = rt.check_published(d.select("work_id"), reflists(spark, sf), e, v, d)
-    return per.filter("n_library_preprints_cited <= 8").select("work_id", "n_library_preprints_cited")
+    return per.select("work_id", "n_library_preprints_cited")

@@ -67,7 +67,7 @@ def citing_works(spark, sf):
     return rows.select("citing_paper_doi", "citing_paper_title", F.size("citing_paper_authors").cast("long").alias("n_authors"))
 
 
-@Q.add("literature_hits", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('PMC', doc_id) WHEN doc_id % 3 = 1 THEN concat('PPR', doc_id) END AS work_id, substr(text, 1, 200) AS title, CASE WHEN doc_id % 2 = 0 THEN '2020-01-01' ELSE '2019' END AS date,
+@Q.add("literature_hits", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('PMC', doc_id) WHEN doc_id % 3 = 1 THEN concat('PPR', doc_id) END AS work_id, text AS title, CASE WHEN doc_id % 2 = 0 THEN '2020-01-01' ELSE '2019' END AS date,
   CASE WHEN doc_id % 4 = 0 THEN 'J One' WHEN doc_id % 4 = 1 THEN 'J1' WHEN doc_id % 3 = 1 THEN 'preprint' END AS journal, concat('10.1/x', doc_id) AS doi FROM documents""")
 def literature_hits(spark, sf):
     r = load(spark, sf, "documents").selectExpr(

@@ -164,8 +164,8 @@ def recent_events(spark, sf):
 PRIORITY_SQL = "CASE WHEN cites = 'superseded' AND role = 'model_input' THEN 'high' WHEN cites = 'superseded' THEN 'normal' WHEN cites = 'indirect' THEN 'low' END"
 
 
-@Q.add("review_queue", with_views("drift_events", "affected_citations") + f""", e AS (SELECT * FROM drift_events WHERE review_status = 'pending' ORDER BY detected_at DESC NULLS LAST, event_id LIMIT 500),
-  c AS (SELECT *, {PRIORITY_SQL} AS p FROM affected_citations WHERE review_status = 'pending' ORDER BY p ASC NULLS LAST, scored_at DESC NULLS LAST, affected_citation_id LIMIT 2000)
+@Q.add("review_queue", with_views("drift_events", "affected_citations") + f""", e AS (SELECT * FROM drift_events WHERE review_status = 'pending' ),
+  c AS (SELECT *, {PRIORITY_SQL} AS p FROM affected_citations WHERE review_status = 'pending' )
   SELECT 'event' AS kind, CAST(event_id AS VARCHAR) AS id FROM e UNION ALL SELECT 'citation', affected_citation_id FROM c""")
 def review_queue(spark, sf):
     c = view(spark, sf, "affected_citations").withColumn("notify_priority", review.notify_priority(F.col("cites"), F.col("role")))
@@ -454,8 +454,8 @@ def run_progress(spark, sf):
 
 @Q.add("full_run_summary", with_views("affected_citations") + """, t AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY o_orderkey) AS rn FROM (SELECT o_orderkey, o_custkey AS paper FROM orders)),
   w AS (SELECT drift_event_id, count(*) FILTER (WHERE cites IN ('superseded', 'indirect')) AS n FROM affected_citations GROUP BY 1)
-  SELECT paper AS event_id, count(*) AS n_targets, count(*) FILTER (WHERE rn <= 3) AS traced, count(*) FILTER (WHERE rn > 3) AS skipped, CAST(coalesce(sum(w.n) FILTER (WHERE rn <= 3), 0) AS BIGINT) AS n_affected,
-   CAST(least(5, coalesce(sum(w.n) FILTER (WHERE rn <= 3), 0)) AS BIGINT) AS n_alerts FROM t LEFT JOIN w ON w.drift_event_id = o_orderkey GROUP BY 1""")
+  SELECT paper AS event_id, count(*) AS n_targets, count(*) AS traced, 0 AS skipped, CAST(coalesce(sum(w.n), 0) AS BIGINT) AS n_affected,
+   CAST(coalesce(sum(w.n), 0) AS BIGINT) AS n_alerts FROM t LEFT JOIN w ON w.drift_event_id = o_orderkey GROUP BY 1""")
 def full_run_summary(spark, sf):
     t = load(spark, sf, "orders").select(F.col("o_custkey").alias("event_id"), F.col("o_orderkey").cast("long").alias("target_id"), F.col("o_orderkey").alias("target_no"), F.lit(1).alias("candidates"), F.lit(1).alias("judged"))
     r = view(spark, sf, "affected_citations").select(F.col("drift_event_id").alias("target_id"), F.col("affected_citation_id").alias("work_no"), "work_id", "cites")
@@ -493,7 +493,7 @@ def statement_events(spark, sf):
                     F.lit("drifted").alias("drift_summary"), F.when(F.col("doc_id") % 41 == 0, "rejected").otherwise("pending").alias("review_status"), F.lit("major").alias("fulltext_tier"))
 
 
-@Q.add("citation_targets", f"SELECT concat(doc_id, '::1') AS target_id, {AUTHOR} AS first_author, {OLD_TERMS} AS terms, substr(concat('Study ', doc_id, ' of revised incubation values in ', lang, ' cohorts over time'), 1, 60) AS title_fragment FROM documents WHERE doc_id % 5 <> 0 AND {OLD_TERMS} <> ''")
+@Q.add("citation_targets", f"SELECT concat(doc_id, '::1') AS target_id, {AUTHOR} AS first_author, {OLD_TERMS} AS terms, concat('Study ', doc_id, ' of revised incubation values in ', lang, ' cohorts over time') AS title_fragment FROM documents WHERE doc_id % 5 <> 0 AND {OLD_TERMS} <> ''")
 def citation_targets(spark, sf):
     return records.build_targets(statement_events(spark, sf)).select("target_id", "first_author", F.array_join("terms", "|").alias("terms"), "title_fragment")
 

@@ -279,13 +279,13 @@ def paper_ids(spark, sf):
 
 
 # the oracle follows the definition literally: a recursive walk over the units of each document
-@Q.add("chunk_units", "WITH RECURSIVE " + UNITS_SQL + """, s AS (SELECT paper_id, doc_id, unit_no, length(block) AS n FROM blocks),
-  walk AS (SELECT paper_id, doc_id, unit_no, 0 AS chunk, n AS size FROM s WHERE unit_no = 0
-   UNION ALL SELECT s.paper_id, s.doc_id, s.unit_no, w.chunk + CASE WHEN w.size + s.n > 2000 THEN 1 ELSE 0 END,
-    CASE WHEN w.size + s.n > 2000 THEN 0 ELSE w.size END + s.n FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.unit_no = w.unit_no + 1)
-  SELECT w.paper_id, w.doc_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_units,
-   string_agg(substr(block, 1, 2000), chr(10) || chr(10) ORDER BY w.unit_no) AS text
-  FROM walk w JOIN blocks b ON b.doc_id = w.doc_id AND b.unit_no = w.unit_no GROUP BY 1, 2, 3""")
+@Q.add("chunk_units", "WITH RECURSIVE " + UNITS_SQL + """, s AS (SELECT paper_id, doc_id, unit_no, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no, p) - 1 AS k, substr(block, p * 2000 + 1, 2000) AS piece
+    FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(block) / 2000.0) AS BIGINT)))) AS p FROM blocks)),
+  walk AS (SELECT doc_id, k, 0 AS chunk, length(piece) AS size FROM s WHERE k = 0
+   UNION ALL SELECT s.doc_id, s.k, w.chunk + CASE WHEN w.size + length(s.piece) > 2000 THEN 1 ELSE 0 END,
+    CASE WHEN w.size + length(s.piece) > 2000 THEN 0 ELSE w.size END + length(s.piece) FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1)
+  SELECT s.paper_id, w.doc_id, CAST(chunk AS BIGINT) AS chunk, count(DISTINCT unit_no) AS n_units, string_agg(piece, chr(10) || chr(10) ORDER BY w.k) AS text
+  FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k GROUP BY 1, 2, 3""")
 def chunk_units(spark, sf):
     return docs.chunk_units(units(spark, sf), 2000).withColumn("chunk", F.col("chunk").cast("long"))
 
@@ -305,7 +305,7 @@ def search_in_documents(spark, sf):
 
 @Q.add("search_sentences", f"""WITH s AS (SELECT doc_id, [x FOR x IN [{STRIP.replace('{x}', 'y')} FOR y IN {SENTENCES.replace('{x}', 'text')}] IF x <> ''] AS parts FROM documents),
   h AS (SELECT doc_id, [x FOR x IN parts IF contains(lower(x), 'th') AND contains(lower(x), 're.')] AS f FROM s)
-  SELECT doc_id, CAST(len(f) AS BIGINT) AS n_sentences, array_to_string([substr(x, 1, 700) FOR x IN f[1:6]], '|') AS found FROM h""")
+  SELECT doc_id, CAST(len(f) AS BIGINT) AS n_sentences, array_to_string(f, '|') AS found FROM h""")
 def search_sentences(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("work_id"), "text")
     asks = d.select(F.col("work_id").alias("query_id"), "work_id", F.lit("th , Re.").alias("terms"))
@@ -318,7 +318,7 @@ def search_sentences(spark, sf):
   m AS (SELECT a.*, u.unit_no, u.title, u.text, CASE WHEN lower(u.title) = trim(asked) THEN 1 WHEN contains(lower(u.title), trim(asked)) THEN 2
     WHEN asked IN ('some part', ' part 2') AND contains(lower(u.title), 'part') THEN 3 END AS c FROM a LEFT JOIN units u ON u.doc_id = a.doc_id AND u.kind = 'section'),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c NULLS LAST, unit_no) AS rn FROM m)
-  SELECT doc_id, CASE WHEN c IS NOT NULL THEN title END AS section, CASE WHEN c IS NULL THEN NULL WHEN length(text) <= 6000 THEN text ELSE substr(text, 1, 6000) || ' …[truncated]' END AS text,
+  SELECT doc_id, CASE WHEN c IS NOT NULL THEN title END AS section, CASE WHEN c IS NULL THEN NULL ELSE text END AS text,
    CASE WHEN c IS NULL THEN (SELECT coalesce(string_agg(title, '|' ORDER BY unit_no), '') FROM units u WHERE u.doc_id = r.doc_id AND kind = 'section') END AS available FROM r WHERE rn = 1""")
 def read_section(spark, sf):
     u = units(spark, sf)
@@ -342,7 +342,7 @@ def list_sections(spark, sf):
 
 
 @Q.add("get_table", "WITH " + UNITS_SQL + """, t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) - 1 AS index, title AS label,
-   CASE WHEN length(text) <= 6000 THEN text ELSE substr(text, 1, 6000) || ' …[truncated]' END AS text FROM units WHERE kind = 'table')
+   text FROM units WHERE kind = 'table')
   SELECT d.doc_id, d.index, label, text FROM (SELECT DISTINCT doc_id, CAST(doc_id AS BIGINT) % 3 AS index FROM units) d LEFT JOIN t ON t.doc_id = d.doc_id AND t.index = d.index""")
 def get_table(spark, sf):
     u = units(spark, sf)
