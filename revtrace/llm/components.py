@@ -22,12 +22,15 @@ def _small(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component): component is the smallest node reachable; only nodes with an edge, without the smallest itself."""
-    e = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    seen = mark(e)
     for _ in range(limit):
         e = written(_small(_large(e)).where("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        now = mark(e)
+        if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = tuple(now)
+        seen = now
     raise RuntimeError(f"components did not settle in {limit} rounds")

@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ BANDS = REGISTERS // ROWS
 EMPTY = 0xFFFF
 COLLISION = 0.1699 * 2.0 ** -MANTISSA  # chance that registers of different hashes agree, sets of like size
 SIGMAS = 6.0  # of the estimate, below the threshold, that a pair may lie and still be confirmed
-BLOCK = 1024
+BLOCK = 4096
 SMALL = 8 << 20
 
 _SALT = np.array([0x9AE16A3B2F90404F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -177,25 +176,43 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def across(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Likely pairs of different components in one bucket. members: key, rep, component. A bucket over BLOCK members is compared
-    block against block, each pair of blocks in a group of its own."""
+    block against block, each pair of blocks as a bucket of its own. Buckets stand one after another in a partition, their members
+    by size, so that a member's partners of like size follow it."""
     sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "key")
     blocks = sized.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = blocks.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "rep").join(
-        classes.select("rep", "n_shingles", "regs"), "rep")
+    bucket = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    rows = blocks.select(bucket.alias("bucket"), "block", (F.col("block") == F.col("other")).alias("same"), "component", "rep").join(
+        classes.select("rep", "n_shingles", "regs"), "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        bucket, block, same, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "block", "same", "component", "rep", "n_shingles"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        left, right, live, lag = [], [], np.arange(len(rep)), 0
+        while len(live):
+            lag += 1
+            live = live[live + lag < len(rep)]
+            live = live[(bucket[live] == bucket[live + lag]) & (100 * n[live] >= 75 * n[live + lag])]
+            test = live[(component[live] != component[live + lag]) & (same[live] | (block[live] != block[live + lag]))]
+            for part in (test[k:k + 4096] for k in range(0, len(test), 4096)):
+                ok = part[may_link(regs[part], regs[part + lag], n[part], n[part + lag])]
+                left.append(np.minimum(rep[ok], rep[ok + lag]))
+                right.append(np.maximum(rep[ok], rep[ok + lag]))
+        pair = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], ["a", "b"])
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        left, right = g[g.block == g.i.iloc[0]], g[g.block == g.j.iloc[0]]
-        x, y = (np.frombuffer(b"".join(s.regs), np.uint16).reshape(-1, REGISTERS) for s in (left, right))
-        found = []
-        for n in range(len(left)):
-            from_ = n + 1 if g.i.iloc[0] == g.j.iloc[0] else 0
-            ok = may_link(x[n], y[from_:], left.n_shingles.iloc[n], right.n_shingles.values[from_:]) & (right.component.values[from_:] != left.component.iloc[n])
-            found += [(left.rep.iloc[n], r) for r in right.rep.values[from_:][ok]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last bucket of a batch may go on in the next
+        for b in batches:
+            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            last = np.searchsorted(table.column("bucket").to_numpy(), table.column("bucket")[-1].as_py()) if len(table) else 0
+            if last:
+                yield compare(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None and len(rest):
+            yield compare(rest)
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,7 +236,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     more = written(across(written(labelled.join(mixed, "key"), "mixed"), classes), "pairs")
-    last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirmed(more, docs)))
+    last = first
+    if not more.isEmpty():
+        extra = written(confirmed(more, docs), "links")
+        if not extra.isEmpty():
+            last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
     of_class = classes.select("set_a", "set_b", "rep").join(last.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     found = named.join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
