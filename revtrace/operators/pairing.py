@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import normalize_doi, normalize_version, parse_date, version_num
 from ..functions.text import clean_text
+from ..sources.tables import visible
 
 
 def to_preprint_rows(feed: DataFrame, ingested_at: Column) -> DataFrame:
@@ -132,6 +133,13 @@ def event_bundle(events: DataFrame, claims: DataFrame, citations: DataFrame, not
     return out
 
 
+def event_parts(events: DataFrame, citations: DataFrame, notices: DataFrame, runs: DataFrame,
+                include_demo: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows behind the counts of event_bundle: visible citations, notices and runs of the visible events, with all their columns."""
+    ids = visible(events, include_demo).select(F.col("event_id").alias("drift_event_id")).distinct()
+    return tuple(visible(df, include_demo).join(ids, "drift_event_id", "left_semi") for df in (citations, notices, runs))
+
+
 def citation_detail(citations: DataFrame, events: DataFrame) -> DataFrame:
     """A citation with the change it concerns; both stay null when the event or the change is not there."""
     e = events.select(F.col("event_id").alias("drift_event_id"), "drift_summary", "claim_diffs")

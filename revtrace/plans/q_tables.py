@@ -272,6 +272,16 @@ def event_bundles(spark, sf):
     return b.select("event_id", F.array_join(F.transform("claims", lambda x: x["text"]), "|").alias("claims"), "n_citations", "n_notices", "n_runs")
 
 
+@Q.add("event_drill_down", with_views("drift_events", "affected_citations", "notification_log", "citation_runs") + f""", v AS (SELECT event_id FROM drift_events WHERE {VISIBLE})
+  SELECT drift_event_id AS event_id, 'citation' AS part, affected_citation_id AS id, cites AS state FROM affected_citations WHERE coalesce(review_status, '') <> 'rejected' AND coalesce(record_source, '') <> 'demo_seed' AND drift_event_id IN (SELECT event_id FROM v)
+  UNION ALL SELECT drift_event_id, 'notice', affected_citation_id, status FROM notification_log WHERE coalesce(record_source, '') <> 'demo_seed' AND drift_event_id IN (SELECT event_id FROM v)
+  UNION ALL SELECT drift_event_id, 'run', CAST(run_id AS VARCHAR), status FROM citation_runs WHERE drift_event_id IN (SELECT event_id FROM v)""")
+def event_drill_down(spark, sf):
+    c, n, r = pairing.event_parts(view(spark, sf, "drift_events"), view(spark, sf, "affected_citations"), view(spark, sf, "notification_log"), view(spark, sf, "citation_runs"))
+    part = lambda df, name, key, state: df.select(F.col("drift_event_id").alias("event_id"), F.lit(name).alias("part"), F.col(key).cast("string").alias("id"), F.col(state).alias("state"))
+    return part(c, "citation", "affected_citation_id", "cites").unionByName(part(n, "notice", "affected_citation_id", "status")).unionByName(part(r, "run", "run_id", "status"))
+
+
 @Q.add("pending_notifications", with_views("drift_events", "affected_citations", "notification_log") + """ SELECT affected_citation_id,
   CASE WHEN cites NOT IN ('superseded', 'indirect') THEN 'class is not notified' WHEN c.review_status = 'rejected' THEN 'citation rejected' WHEN e.event_id IS NULL THEN 'event not found'
    WHEN e.review_status = 'rejected' THEN 'event rejected' END AS gate_reason FROM affected_citations c LEFT JOIN drift_events e ON e.event_id = c.drift_event_id

@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ def update_where(df: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
 
 def pair_found(preprints: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """found(doi, published_doi): sets the published DOI and the final flag and moves ingested_at, so that the pair passes
-    a watermark again."""
-    patch = found.select("doi", "published_doi", F.lit(True).alias("is_final_preprint"), now.alias("ingested_at"))
+    a watermark again. Of several DOIs found for a preprint the smallest counts."""
+    one = found.groupBy("doi").agg(F.min("published_doi").alias("published_doi"))
+    patch = one.select("doi", "published_doi", F.lit(True).alias("is_final_preprint"), now.alias("ingested_at"))
     return update_where(preprints, patch, ["doi"])
 
 
@@ -36,19 +39,35 @@ def delete_keys(df: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame
 
 
 def copy_tables(spark: SparkSession, src: str, dst: str, names: list[str], keys: dict[str, list[str]] | None = None) -> DataFrame:
-    """Copy tables by key; a second run overwrites rows instead of adding them. Returns source and target counts."""
+    """Copy tables by key: source rows replace target rows of their key, other target rows stay; a table without a key is replaced
+    whole. Of source rows with one key one is kept. Returns source and target counts."""
     report = None
     for name in names:
-        rows = spark.read.parquet(os.path.join(src, name))
+        rows, target = spark.read.parquet(os.path.join(src, name)), os.path.join(dst, name)
         key = (keys or {}).get(name)
-        (rows.dropDuplicates(key) if key else rows).write.mode("overwrite").parquet(os.path.join(dst, name))
-        written = spark.read.parquet(os.path.join(dst, name))
+        kept = rows.dropDuplicates(key) if key else rows
+        old = _table_if_there(spark, target) if key else None
+        if old is not None:  # the target is read for its other rows, so the union is written beside it first
+            staged = os.path.join(dst, f"_staged-{uuid.uuid4().hex[:12]}")
+            kept.unionByName(delete_keys(old, rows, key), allowMissingColumns=True).write.parquet(staged)
+            kept = spark.read.parquet(staged)
+        kept.write.mode("overwrite").parquet(target)
+        written = spark.read.parquet(target)
         line = (rows.agg(F.count("*").alias("source_rows")).join(written.agg(F.count("*").alias("target_rows")))
                 .select(F.lit(name).alias("table_name"), "source_rows", "target_rows"))
         report = line if report is None else report.unionByName(line)
     return report
 
 
+def _table_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
 def keyset_page(df: DataFrame, cursor: tuple | None, n: int, cols: tuple[str, str] = ("ingested_at", "doi")) -> DataFrame:
     """The next n rows strictly after the cursor, ascending; the cursor for the next page is the last row."""
     a, b = cols

@@ -83,3 +83,14 @@ def test_keys(spark):
     import uuid
     got = d.limit(1).select(keys.event_id(F.lit("10.1/A"), F.lit("10.2/B"), "p:")).first()[0]
     assert got == str(uuid.uuid5(uuid.NAMESPACE_URL, "p:10.1/a:10.2/b"))
+
+
+def test_copy_keeps_other_rows_of_the_target(spark, tmp_path):
+    from revtrace.sources import tables
+    src, dst = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.createDataFrame([(1, "old"), (9, "stays")], "k int, v string").write.parquet(dst + "/t")
+    spark.createDataFrame([(1, "new"), (2, "two")], "k int, v string").write.parquet(src + "/t")
+    for _ in range(2):
+        r = tables.copy_tables(spark, src, dst, ["t"], {"t": ["k"]}).first()
+        assert (r.source_rows, r.target_rows) == (2, 3)
+    assert sorted(tuple(x) for x in spark.read.parquet(dst + "/t").collect()) == [(1, "new"), (2, "two"), (9, "stays")]
