@@ -10,4 +10,4 @@ from .quality import rate, train
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, rated by a model of the labelled ones."""
     docs = documents(spark, sf_dir)
-    return rate(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return rate(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).withColumnRenamed("selected", "kept")
