@@ -6,7 +6,8 @@
 2. Bands of ROWS registers are keys. In each bucket every class meets the bucket's smallest class. Pairs whose sizes or estimated
    similarity rule a link out go; the rest is confirmed on the full sets, and the links give first components.
 3. Only a bucket that still holds several components can hide a link. There all pairs across components are compared by sketch,
-   large buckets in blocks, and again confirmed on full sets. So a group of copies costs a pair for each member, not for each pair.
+   large buckets in blocks, and again confirmed on full sets. Large buckets come first with their likeliest pairs, which join the
+   copies of one text; then all pairs across what is left. So a group of copies costs a pair for each member, not for each pair.
 
 At similarity 0.75 a band of 4 equal registers has probability 0.316; all 48 miss with probability 1e-8.
 """
@@ -31,6 +32,7 @@ EMPTY = 0xFFFF
 COLLISION = 0.1699 * 2.0 ** -MANTISSA  # chance that registers of different hashes agree, sets of like size
 SIGMAS = 6.0  # of the estimate, below the threshold, that a pair may lie and still be confirmed
 BLOCK = 4096
+LARGE, LIKELY_SIGMAS = 64, 1.0  # buckets over LARGE members: their pairs with a high estimate come first
 SMALL = 8 << 20
 
 _SALT = np.array([0x9AE16A3B2F90404F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -101,6 +103,10 @@ def sketches(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n_shingles long, set_a long, set_b long, regs binary")
 
 
+def _keys(packed: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return mix64(mix64(packed) + band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def band_keys(classes: DataFrame) -> DataFrame:
     """(key, rep) for each band of a class with a register in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +115,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
                 continue
             regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
             packed = np.ascontiguousarray(regs).view(np.uint64).reshape(-1, BANDS)
-            keys = mix64(mix64(packed) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            keys = _keys(packed, np.arange(BANDS))
             row, band = np.nonzero(packed != np.uint64((1 << 64) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), b.column(0).take(pa.array(row))], ["key", "rep"])
 
@@ -124,9 +130,9 @@ def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (same - COLLISION * used) / used, used
 
 
-def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, sigmas: float = SIGMAS) -> np.ndarray:
     j, used = estimate(x, y)
-    near = j >= SIMILARITY - SIGMAS * np.sqrt(SIMILARITY * (1 - SIMILARITY) / used)
+    near = j >= SIMILARITY - sigmas * np.sqrt(SIMILARITY * (1 - SIMILARITY) / used)
     return near & (100 * np.minimum(nx, ny) >= 75 * np.maximum(nx, ny))
 
 
@@ -174,20 +180,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(100 * common >= 75 * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs of different components in one bucket. members: key, rep, component. A bucket over BLOCK members is compared
-    block against block, each pair of blocks as a bucket of its own. Buckets stand one after another in a partition, their members
-    by size, so that a member's partners of like size follow it."""
+def across(members: DataFrame, classes: DataFrame, sigmas: float) -> DataFrame:
+    """Likely pairs of different components in one bucket, each pair in the first bucket that it shares. members: key, rep, component.
+    A bucket over BLOCK members is compared block against block, each pair of blocks as a bucket of its own. Buckets stand one after
+    another in a partition, their members by size, so that a member's partners of like size follow it."""
     sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "key")
     blocks = sized.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     bucket = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    rows = blocks.select(bucket.alias("bucket"), "block", (F.col("block") == F.col("other")).alias("same"), "component", "rep").join(
+    rows = blocks.select(bucket.alias("bucket"), "key", "block", (F.col("block") == F.col("other")).alias("same"), "component", "rep").join(
         classes.select("rep", "n_shingles", "regs"), "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        bucket, block, same, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "block", "same", "component", "rep", "n_shingles"))
+        bucket, key, block, same, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "key", "block", "same", "component", "rep", "n_shingles"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        packed = np.ascontiguousarray(regs).view(np.uint64).reshape(-1, BANDS)
         left, right, live, lag = [], [], np.arange(len(rep)), 0
         while len(live):
             lag += 1
@@ -195,7 +202,10 @@ def across(members: DataFrame, classes: DataFrame) -> DataFrame:
             live = live[(bucket[live] == bucket[live + lag]) & (100 * n[live] >= 75 * n[live + lag])]
             test = live[(component[live] != component[live + lag]) & (same[live] | (block[live] != block[live + lag]))]
             for part in (test[k:k + 4096] for k in range(0, len(test), 4096)):
-                ok = part[may_link(regs[part], regs[part + lag], n[part], n[part + lag])]
+                ok = part[may_link(regs[part], regs[part + lag], n[part], n[part + lag], sigmas)]
+                shared = (packed[ok] == packed[ok + lag]) & (packed[ok] != np.uint64((1 << 64) - 1))
+                first = shared.argmax(1)
+                ok = ok[_keys(packed[ok, first], first).view(np.int64) == key[ok]]
                 left.append(np.minimum(rep[ok], rep[ok + lag]))
                 right.append(np.maximum(rep[ok], rep[ok + lag]))
         pair = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
@@ -233,14 +243,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = members.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     links = written(confirmed(written(likely(star, classes), "pairs"), docs), "links")
     first = components(links)
-    labelled = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    more = written(across(written(labelled.join(mixed, "key"), "mixed"), classes), "pairs")
     last = first
-    if not more.isEmpty():
-        extra = written(confirmed(more, docs), "links")
-        if not extra.isEmpty():
-            last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
+    for large, sigmas in ((LARGE, LIKELY_SIGMAS), (1, SIGMAS)):
+        found = last.withColumnRenamed("node", "rep")
+        labelled = members.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+        mixed = labelled.join(mixed.where((F.col("x") < F.col("y")) & (F.col("n") > large)).select("key"), "key")
+        more = written(across(written(mixed, "mixed"), classes, sigmas), "pairs")
+        if not more.isEmpty():
+            extra = written(confirmed(more, docs), "links")
+            if not extra.isEmpty():
+                last = components(last.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
     of_class = classes.select("set_a", "set_b", "rep").join(last.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     found = named.join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")

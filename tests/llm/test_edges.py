@@ -95,6 +95,7 @@ def test_near(spark, docs, empty):
 def test_near_links_across_bucket_leaders(spark, monkeypatch):
     """Chains of edits: links that do not touch a bucket's smallest class, compared in blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
     base = [f"w{i}" for i in range(60)]
     rows, at = [], 0
     for chain in range(3):
