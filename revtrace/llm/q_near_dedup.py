@@ -1,11 +1,21 @@
-"""op5_near_dedup. Tests hold it against brute force over all pairs."""
+"""op5_near_dedup and its SQL, which compares all pairs that share a shingle."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import LOWER, UPPER, documents
 from .near_dedup import near_duplicates
 
+SQL = fr"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM d, range(1, greatest(len(w) - 3, 2)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, five-word shingles, similarity 0.75."""

@@ -7,4 +7,5 @@ QUERIES = {"op1_quality": q_quality.query, "op2_license_scan": q_licenses.query,
            "op9_exact_dedup": q_exact_dedup.query, "op4_mix_sources": q_mixing.query, "op8_bpe": q_bpe.query,
            "op5_near_dedup": q_near_dedup.query, "op6_substring_dedup": q_substring_dedup.query,
            "op7_media_columns": q_media.query, "op10_lm_score": q_lm_scoring.query}
-ORACLES = {"op9_exact_dedup": q_exact_dedup.SQL, "op4_mix_sources": q_mixing.SQL}
+ORACLES = {"op9_exact_dedup": q_exact_dedup.SQL, "op4_mix_sources": q_mixing.SQL, "op5_near_dedup": q_near_dedup.SQL,
+           "op6_substring_dedup": q_substring_dedup.SQL}
