@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 LONG_BYTES = 256
-CACHE_WORDS = 600_000  # of a task; the cache starts anew when it is full
+CACHE_WORDS = 200_000  # of a task, about 60 MB; the cache starts anew when it is full
 CACHED_CHARS = 64
 NONE = 1 << 60
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
