@@ -2,14 +2,16 @@
 with templates, which confirms or rejects what the classifier says. DataFrame and MLlib transformers only.
 
 Trained on the templates below in varied framings, against paragraphs of a bounded sample of documents (SAMPLE_DOCS of them) that no
-template matches. Half of the rows fit the classifier, the other half calibrates the log-odds of "some licence".
+template matches. A paragraph is a line, or neighbouring lines joined, for notices that are broken over lines. Half of the rows fit the classifier, the other half calibrates the log-odds of "some licence".
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -58,6 +60,26 @@ KNOWN, SIMILAR = 0.5, 0.6  # least calibrated probability of a licence, least sh
 TOKEN = r"[^\x20\x09-\x0D.,;:!?()\[\]\"'“”]+"
 
 
+# what may stand before a line of a comment or a quotation
+LEADER = r"^[\x20\x09]*(?:<!--|/\*+|\*+/?|//+|#+|--+|;+|%+|>+)?[\x20\x09\x0D]*"
+
+
+def _template_words() -> tuple[int, list[str]]:
+    """The most words a template has, and words of which a text that is similar to any template has at least one."""
+    most, keys = 0, set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        w = re.findall(TOKEN, text.lower())
+        most, both = max(most, len(w)), set(zip(w, w[1:]))
+        for word in sorted(set(w), key=lambda x: (x not in keys, x in ("by", "under"), -len(x), x)):
+            if sum(not keys & set(b) for b in both) < SIMILAR * len(both):
+                break
+            keys.add(word)
+    return most, sorted(keys)
+
+
+MOST_WORDS, KEYS = _template_words()
+
+
 def words(text: Column) -> Column:
     """Words with A-Z in lower case, punctuation around them left out."""
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), F.lit(0))
@@ -84,6 +106,26 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("paragraph").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def joined_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, position, last, paragraph: two or more neighbouring lines without comment leaders, from each line on; as many as a template
+    needs that begins in the first one. Lines without words part them. Only where a word of KEYS stands."""
+    keys = F.array(*[F.lit(k) for k in KEYS])
+    plain = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, LEADER, ""))
+    line = lambda x: let(words(x), lambda w: F.struct(x.alias("t"), F.size(w).alias("n"), F.arrays_overlap(w, keys).alias("key")))
+    lines = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.transform(plain, line).alias("_all"))
+    # MOST_WORDS lines hold that many words; the next one may hold the end
+    after = lambda i: F.slice("_all", i + 1, F.lit(MOST_WORDS + 1))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: (F.get("_all", i).n > 0) & F.exists(after(i), lambda x: x.key))
+    starts = lines.select("doc_id", F.inline(F.transform(begins, lambda i: F.struct(i.alias("position"), after(i).alias("_next")))))
+    gap = F.array_position(F.transform("_next", lambda x: x.n == 0), F.lit(True)).cast("int")
+    starts = starts.withColumn("_next", F.when(gap > 0, F.slice("_next", F.lit(1), gap - 1)).otherwise(F.col("_next"))).where(F.size("_next") > 1)
+    ends = starts.select("doc_id", "position", "_next", F.explode(F.sequence(F.lit(2), F.size("_next"))).alias("_n"))
+    between = F.aggregate(F.slice("_next", F.lit(2), F.col("_n") - 2), F.lit(0), lambda a, x: a + x.n)
+    ends = ends.where((between < MOST_WORDS) & F.exists(F.slice("_next", F.lit(1), F.col("_n")), lambda x: x.key))
+    text = F.array_join(F.transform(F.slice("_next", F.lit(1), F.col("_n")), lambda x: x.t), " ")
+    return ends.select("doc_id", "position", (F.col("position") + F.col("_n") - 1).alias("last"), text.alias("paragraph"))
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """family, template, its distinct word pairs. A few dozen rows."""
     rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
@@ -150,13 +192,27 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
 
 
 def license_paragraphs(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """doc_id, position, paragraph, family, p_license, similar: the paragraphs that hold a licence notice, by classifier and template."""
-    found = model.predict(paragraphs(docs)).where(F.col("p_license") >= KNOWN)
-    return similarity(found, own_family=True).where(F.col("similar") >= SIMILAR).drop("terms")
+    """doc_id, position, last, paragraph, family, p_license, similar: the lines and joined lines that hold a licence notice, by classifier
+    and template. Of those that lie in one another, the most similar ones, and of these the shortest."""
+    marked = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text")  # rows may share an id
+    single = paragraphs(marked).select("doc_id", "position", F.col("position").alias("last"), "paragraph")
+    found = model.predict(single.unionByName(joined_lines(marked))).where(F.col("p_license") >= KNOWN)
+    found = similarity(found, own_family=True).where(F.col("similar") >= SIMILAR).drop("terms")
+    near = Window.partitionBy("doc_id").orderBy("position").rangeBetween(-MOST_WORDS, MOST_WORDS)  # in lines, each of a word or more
+    found = found.withColumn("_near", F.collect_set(F.struct("position", "last", "similar")).over(near))
+    position, last, similar = F.col("position"), F.col("last"), F.col("similar")
+
+    def better(x: Column) -> Column:
+        around, inside = (x.position <= position) & (x["last"] >= last), (x.position >= position) & (x["last"] <= last)
+        shorter = (x.similar == similar) & (x["last"] - x.position < last - position)
+        return (around | inside) & ((x.similar > similar) | shorter)
+
+    return found.where(~F.exists("_near", better)).drop("_near").withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 def license_scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """One row per row: doc_id, n_paragraphs, n_license, licenses (families, sorted, joined by commas), first_license (line number).
+    n_paragraphs counts lines that are not blank, n_license lines at which a notice begins.
 
     Null and empty texts have no paragraphs. Rows that repeat an id share what is found in any of them. A row without id is scanned
     like the others, all of them as one. An empty table gives no rows; further columns are not looked at. Texts are not shuffled.
