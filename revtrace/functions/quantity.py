@@ -487,6 +487,7 @@ def match_rules(terms: Column, unit: Column, proposed: Column) -> Column:
             r["term"].alias("term"),
             _pattern_of(v).alias("pattern"),
             _number_of(v).alias("number"),
+            F.when(v["kind"] == "words", v["a"]).alias("words"),
             r["numeric"].alias("numeric"),
             F.coalesce(r["own"], known).alias("want"),
             r["own"].isNotNull().alias("has_unit"),

@@ -4,16 +4,18 @@ Tables: targets(target_id, preprint_doi, published_doi, first_author, title_frag
 proposed, current_claim), pairs(target_id, work_id), sents(work_id, pos, sentence), refs(work_id, ref_id, ref_text)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import quantity as q
-from ..functions.text import MIN_QUOTE_CHARS, let, norm, squash, strip
+from ..functions.text import MIN_QUOTE_CHARS, norm, squash, strip
 from ..schemas import CITES
-from .documents import contains_pairs
+from ..session import written
+from .citing_scan import PAIR, scan_works
 
-PAIR = ["work_id", "target_id"]
 SCREEN_BATCH, PAGE, GROUP, GROUPS = 20, 40, 5, 8
 _STRINGS = "array<string>"
 
@@ -21,9 +23,10 @@ _STRINGS = "array<string>"
 # ---- values in sentences -------------------------------------------------------------------------------------------------
 def with_rules(targets: DataFrame) -> DataFrame:
     """Targets with what the sentence test needs: rules per term, old quantities, property pattern. Built once per target."""
-    for c, t in (("property_terms", _STRINGS), ("unit", "string"), ("proposed", _STRINGS)):
+    for c, t in (("terms", _STRINGS), ("property_terms", _STRINGS), ("unit", "string"), ("proposed", _STRINGS)):
         if c not in targets.columns:
             targets = targets.withColumn(c, F.lit(None).cast(t))
+    targets = targets.withColumn("terms", F.coalesce("terms", F.array().cast(_STRINGS)))
     return (targets.withColumn("rules", q.match_rules(F.col("terms"), F.col("unit"), F.col("proposed")))
             .withColumn("wanted", q.old_quantities(F.col("terms"), F.col("proposed")))
             .withColumn("prop", q.property_pattern(F.col("property_terms"))))
@@ -35,33 +38,14 @@ def only_proposed(ruled: DataFrame) -> DataFrame:
 
 
 def match_terms(pairs: DataFrame, sents: DataFrame, ruled: DataFrame) -> DataFrame:
-    """Sentences of a citing work that hold a term of the target in any spelling: (work_id, target_id, pos).
-
-    Works and targets meet in an equi-join on (work, normalised number); only narrow posting rows are shuffled for it.
-    The tolerant pattern then runs on the sentences that survive. Terms without a number key (a thousands group, free
-    text) are looked for in the works of their own pairs only."""
-    rules = ruled.select("target_id", F.explode("rules").alias("r")).select("target_id", "r.number", "r.pattern")
-    postings = sents.filter(F.col("sentence").rlike(r"(?U)\d")).select(
-        "work_id", "pos", F.explode(q.posting_numbers(F.col("sentence"))).alias("number"))
-    keyed = pairs.select(*PAIR).join(rules.filter("number IS NOT NULL"), "target_id")
-    near = postings.join(keyed, ["work_id", "number"]).select(*PAIR, "pos", "pattern")
-    hit = F.regexp_like(F.col("sentence"), F.col("pattern"))
-    by_number = near.join(sents.select("work_id", "pos", "sentence"), ["work_id", "pos"]).filter(hit)
-    worded = pairs.select(*PAIR).join(rules.filter("number IS NULL"), "target_id")
-    by_words = worded.join(sents.select("work_id", "pos", "sentence"), "work_id").filter(hit)
-    return by_number.select(*PAIR, "pos").unionByName(by_words.select(*PAIR, "pos")).distinct()
+    """Sentences of a citing work that hold a term of the target in any spelling: (work_id, target_id, pos)."""
+    return scan_works(pairs, ruled, sents).filter("value").select(*PAIR, "pos").distinct()
 
 
 def quantity_sentences(pairs: DataFrame, sents: DataFrame, ruled: DataFrame) -> DataFrame:
     """The matched sentences that hold the old value as the target's quantity. sents may carry a `context` (the header of
     a table row), which counts for the measured property."""
-    if "context" not in sents.columns:
-        sents = sents.withColumn("context", F.lit(None).cast("string"))
-    cands = match_terms(pairs, sents, ruled)
-    full = cands.join(sents.select("work_id", "pos", "sentence", "context"), ["work_id", "pos"]).join(
-        ruled.select("target_id", "rules", "wanted", "prop"), "target_id")
-    keep = q.holds_quantity(F.col("sentence"), F.col("context"), F.col("rules"), F.col("wanted"), F.col("prop"))
-    return full.filter(keep).select(*PAIR, "pos", "sentence", "context")
+    return scan_works(pairs, ruled, sents).filter("holds").select(*PAIR, "pos", "sentence", "context")
 
 
 # ---- who cites -------------------------------------------------------------------------------------------------------------
@@ -121,64 +105,43 @@ def screening_plan(hits: DataFrame, cap: int | None = None, batch: int = SCREEN_
 
 
 # ---- sentences that cite ----------------------------------------------------------------------------------------------------
-def matched_references(refs: DataFrame, pairs: DataFrame, targets: DataFrame) -> DataFrame:
-    """References of a work that are the target: they hold one of its DOIs, or its author and the start of its title.
-    DOIs and title starts find their references by gram key, so the references and the targets of a work are never paired
-    off against each other."""
-    hay = refs.select(F.struct("work_id", "ref_id").alias("text_id"), F.lower("ref_text").alias("hay"))
-    dois = targets.select("target_id", F.explode(F.array(F.lower("preprint_doi"), F.lower("published_doi"))).alias("needle")).filter("needle <> ''")
-    by_doi = contains_pairs(dois, hay).join(dois, "needle").select("text_id", "target_id")
-    titles = targets.filter("first_author <> '' AND title_fragment <> ''").select(
-        "target_id", F.lower("first_author").alias("author"), F.substring(F.lower("title_fragment"), 1, 35).alias("needle"))
-    # a title start can be shared by many targets: its references meet the targets of their own work only
-    in_work = contains_pairs(titles, hay).join(hay, "text_id").select(F.col("text_id.work_id").alias("work_id"), "text_id", "hay", F.col("needle").alias("start"))
-    by_title = (in_work.join(pairs.select(*PAIR).distinct(), "work_id").join(titles, "target_id")
-                .filter((F.col("start") == F.col("needle")) & F.contains("hay", F.col("author"))).select("text_id", "target_id"))
-    found = by_doi.unionByName(by_title).select("text_id.work_id", "text_id.ref_id", "target_id").distinct()
-    return found.join(pairs.select(*PAIR), PAIR, "left_semi").select(*PAIR, "ref_id")
+def scanned(pairs: DataFrame, targets: DataFrame, sents: DataFrame | None = None, refs: DataFrame | None = None, rows: DataFrame | None = None,
+            proposed_only: bool = False) -> DataFrame:
+    """scan_works as a table: what the operators below share (their argument `found`)."""
+    ruled = with_rules(targets)
+    return written(scan_works(pairs, only_proposed(ruled) if proposed_only else ruled, sents, refs, rows), "citing-scan")
+
+
+def matched_references(refs: DataFrame, pairs: DataFrame, targets: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """References of a work that are the target: they hold one of its DOIs, or its author and the start of its title."""
+    found = scan_works(pairs, with_rules(targets), refs=refs) if found is None else found
+    return found.filter("step = 1").select(*PAIR, "ref_id").distinct()
 
 
 def citing_sentences(refs: DataFrame, sents: DataFrame, pairs: DataFrame, targets: DataFrame, keep: int | None = None,
-                     matched: DataFrame | None = None) -> DataFrame:
+                     found: DataFrame | None = None) -> DataFrame:
     """sents with ref_ids: sentences with a pointer to a matched reference; for pairs without one, sentences that name the
-    author. Each with its neighbours; with `keep` only the first ones, all counted. matched: output of matched_references, if made
-    already."""
-    if matched is None:
-        matched = matched_references(refs, pairs, targets)
-    pointing = sents.select("work_id", "pos", F.explode("ref_ids").alias("ref_id")).join(matched, ["work_id", "ref_id"]).select(*PAIR, "pos").distinct()
-    rest = pairs.select(*PAIR).join(matched.select(*PAIR).distinct(), PAIR, "left_anti").join(
-        targets.filter("first_author <> ''").select("target_id", "first_author"), "target_id")
-    named = rest.join(sents.select("work_id", "pos", "sentence"), "work_id").filter(F.contains("sentence", F.col("first_author"))).filter(
-        F.regexp_like("sentence", F.concat(F.lit(r"(?U)\b\Q"), F.col("first_author"), F.lit(r"\E\b")))).select(*PAIR, "pos")
-    found = pointing.withColumn("reference_matched", F.lit(True)).unionByName(named.withColumn("reference_matched", F.lit(False)))
-    w = W.partitionBy(*PAIR).orderBy("pos")
-    n = found.groupBy(*PAIR).agg(F.count("*").alias("n_sentences"))
-    ranked = found.withColumn("rank", F.row_number().over(w))
+    author. Each with its neighbours; with `keep` only the first ones, all counted."""
+    found = scanned(pairs, targets, sents, refs) if found is None else found
+    here = found.filter("step = 2 AND (pointer OR named)").select(
+        *PAIR, "pos", F.col("pointer").alias("reference_matched"), "sentence", "with_neighbours")
+    n = here.groupBy(*PAIR).agg(F.count("*").alias("n_sentences"))
+    ranked = here.withColumn("rank", F.row_number().over(W.partitionBy(*PAIR).orderBy("pos")))
     top = ranked if keep is None else ranked.filter(F.col("rank") <= keep)
-    # neighbours by an equi-join on the three positions: no window over all sentences of a work
-    around = top.withColumn("at", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)))
-    text = sents.select("work_id", F.col("pos").alias("at"), "sentence")
-    full = around.join(text, ["work_id", "at"]).groupBy(*PAIR, "pos", "rank", "reference_matched").agg(
-        F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("s"))
-    ctx = F.array_join(F.transform("s", lambda x: x["sentence"]), " ")
-    own = F.get(F.filter("s", lambda x: x["at"] == F.col("pos")), F.lit(0))["sentence"]
-    return full.join(n, PAIR).select(*PAIR, "pos", "rank", "reference_matched", "n_sentences", own.alias("sentence"), ctx.alias("with_neighbours"))
+    return top.join(n, PAIR).select(*PAIR, "pos", "rank", "reference_matched", "n_sentences", "sentence", "with_neighbours")
 
 
 # ---- screening ---------------------------------------------------------------------------------------------------------------
-def screen_citers(hits: DataFrame, sents: DataFrame, rows: DataFrame | None, targets: DataFrame, cited: DataFrame | None = None,
-                  source: str = "prefetch", proposed_only: bool = False, matched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def screen_citers(hits: DataFrame, sents: DataFrame, rows: DataFrame | None, targets: DataFrame, refs: DataFrame | None = None,
+                  source: str = "prefetch", proposed_only: bool = False, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """hits(work_id, target_id, has_text, ...) -> candidates with up to three sentences and flags, and per target the
-    counts screened, no_full_text, no_sentence. rows(work_id, pos, sentence, context) are table rows; cited is the output
-    of citing_sentences, matched that of matched_references: a reference can match without a sentence that points to it."""
-    ruled = only_proposed(with_rules(targets)) if proposed_only else with_rules(targets)
-    pairs = hits.filter("has_text").select(*PAIR)
-    kept = quantity_sentences(pairs, sents, ruled).withColumn("kind", F.lit(0)).drop("context")
-    if rows is not None:
-        shown = F.concat(F.col("sentence"), F.lit(" [table: "), F.coalesce("context", F.lit("")), F.lit("]"))
-        r = quantity_sentences(pairs, rows, ruled).withColumn("sentence", shown).withColumn("kind", F.lit(1)).drop("context")
-        kept = kept.unionByName(r)
-    cur = ruled.select("target_id", F.slice(F.regexp_extract_all("current_claim", F.lit(r"(?U)\d+\.\d+"), F.lit(0)), 1, 2).alias("cur"))
+    counts screened, no_full_text, no_sentence. rows(work_id, pos, sentence, context) are table rows; refs(work_id, ref_id, ref_text)
+    with pointers in sents.ref_ids tell which values are attributed: a reference can match without a sentence that points to it."""
+    if found is None:
+        found = scanned(hits.filter("has_text"), targets, sents, refs, rows, proposed_only)
+    shown = F.when(F.col("step") == 3, F.concat(F.col("sentence"), F.lit(" [table: "), F.coalesce("context", F.lit("")), F.lit("]"))).otherwise(F.col("sentence"))
+    kept = found.filter("holds").select(*PAIR, "pos", shown.alias("sentence"), F.col("step").alias("kind"))
+    cur = targets.select("target_id", F.slice(F.regexp_extract_all("current_claim", F.lit(r"(?U)\d+\.\d+"), F.lit(0)), 1, 2).alias("cur"))
     s = F.col("sentence")
     listy = (F.length(s) > 600) | (F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit(""))) > 2) | (F.regexp_count(s, F.lit(r"(?U)\d+\.\d+")) > 6)
     both = (F.size("cur") > 0) & F.forall("cur", lambda c: F.contains(F.col("sentence"), c))
@@ -187,14 +150,8 @@ def screen_citers(hits: DataFrame, sents: DataFrame, rows: DataFrame | None, tar
     agg = ranked.groupBy(*PAIR).agg(
         F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", "sentence")))).alias("s"),
         F.bool_and(listy).alias("f2"), F.bool_or(both).alias("f3"))
-    if cited is not None:
-        pats = ruled.select("target_id", F.transform("rules", lambda r: r["pattern"]).alias("pats"))
-        att = cited.filter("reference_matched").join(pats, "target_id").groupBy(*PAIR).agg(F.bool_or(
-            F.exists("pats", lambda p: F.regexp_like(F.col("with_neighbours"), p))).alias("attributed"))
-        agg = agg.join(att, PAIR, "left")
-    else:
-        agg = agg.withColumn("attributed", F.lit(False))
-    agg = with_matched(agg, matched if matched is not None else None if cited is None else cited.filter("reference_matched"))
+    facts = found.groupBy(*PAIR).agg(F.bool_or("attributed").alias("attributed"), F.bool_or(F.col("step") == 1).alias("matched"))
+    agg = agg.join(facts, PAIR, "left")
     flags = F.array_compact(F.array(F.when(~F.coalesce("attributed", F.lit(False)), "F1"), F.when(F.col("f2"), "F2"), F.when(F.col("f3"), "F3")))
     cands = agg.select(*PAIR, F.transform("s", lambda x: x["sentence"]).alias("sentences"), flags.alias("flags"),
                        F.coalesce("matched", F.lit(False)).alias("reference_matched"), F.lit(source).alias("source"))
@@ -205,13 +162,6 @@ def screen_citers(hits: DataFrame, sents: DataFrame, rows: DataFrame | None, tar
     return cands, counts
 
 
-def with_matched(pairs: DataFrame, matched: DataFrame | None) -> DataFrame:
-    """Adds matched: whether the pair has a row in `matched`."""
-    if matched is None:
-        return pairs.withColumn("matched", F.lit(False))
-    return pairs.join(matched.select(*PAIR, F.lit(True).alias("matched")).distinct(), PAIR, "left")
-
-
 def split_proposed(proposed: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """proposed(target_id, terms as comma-separated text): the spellings the search already covers (they contain a searched
     one), and the targets with the new ones added to `terms` and `proposed`."""
@@ -237,18 +187,25 @@ def search_more(proposed: DataFrame, targets: DataFrame, hits: DataFrame, sents:
 
 def follow_chain(citing: DataFrame, relays: DataFrame, sents: DataFrame, targets: DataFrame, known: DataFrame, hops: int = 2) -> DataFrame:
     """citing(work_id, cited_work): citers of a relaying work that hold the value, hop by hop, known works left out. Each
-    row keeps the relay it came from as its source; the first hop (then the smallest relay) wins."""
-    ruled = with_rules(targets)
-    seen, frontier, out = known.select(*PAIR).distinct(), relays.select("target_id", F.col("work_id").alias("cited_work")).distinct(), None
+    row keeps the relay it came from as its source; the first hop (then the smallest relay) wins.
+
+    Each hop starts from a table of what the hop before has found and leaves out a table of what is known, so a plan holds one hop
+    however many there are; only the texts of the works asked for are read. It ends early when a hop finds nothing."""
+    ruled = written(with_rules(targets), "chain-rules")
+    citing = written(citing.select("work_id", "cited_work"), "chain-citing")
+    seen = written(known.select(*PAIR).distinct(), "chain-known")
+    frontier, out = relays.select("target_id", F.col("work_id").alias("cited_work")).distinct(), []
     for hop in range(1, hops + 1):
-        step = (citing.join(frontier, "cited_work").join(seen, PAIR, "left_anti")
-                .groupBy(*PAIR).agg(F.min("cited_work").alias("relay")))
-        hold = quantity_sentences(step.select(*PAIR), sents, ruled).select(*PAIR).distinct()
-        got = step.join(hold, PAIR).select(*PAIR, F.lit(hop).alias("hop"), F.concat(F.lit("chain:"), F.col("relay").cast("string")).alias("source"))
-        out = got if out is None else out.unionByName(got)
-        seen = seen.unionByName(got.select(*PAIR))
+        step = written(citing.join(frontier, "cited_work").join(seen, PAIR, "left_anti").groupBy(*PAIR).agg(F.min("cited_work").alias("relay")), "chain-step")
+        texts = sents.join(step.select("work_id").distinct(), "work_id", "left_semi")
+        hold = scan_works(step, ruled, texts).filter("holds").select(*PAIR).distinct()
+        got = written(step.join(hold, PAIR).select(*PAIR, F.lit(hop).alias("hop"), F.concat(F.lit("chain:"), F.col("relay").cast("string")).alias("source")), "chain-hop")
+        out.append(got)
+        if hop == hops or got.isEmpty():
+            break
+        seen = written(seen.unionByName(got.select(*PAIR)), "chain-known")
         frontier = got.select("target_id", F.col("work_id").alias("cited_work"))
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
 # ---- verdicts ------------------------------------------------------------------------------------------------------------------
@@ -290,15 +247,15 @@ def dedupe_verdicts(verdicts: DataFrame, cands: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct(*rest), F.struct("group_no", "position")).alias("v")).select(*PAIR, "v.*"))
 
 
-def evidence(verdicts: DataFrame, cited: DataFrame, sents: DataFrame, texts: DataFrame, targets: DataFrame, keep: int | None = None,
-             matched: DataFrame | None = None) -> DataFrame:
+def evidence(verdicts: DataFrame, refs: DataFrame, sents: DataFrame, texts: DataFrame, targets: DataFrame, keep: int | None = None,
+             found: DataFrame | None = None) -> DataFrame:
     """Per verdict: whether a reference matched, the citing neighbourhoods, the sentences with a term (with `keep` so many of each),
-    and whether the worker's sentence is verbatim. texts(work_id, text); matched is the output of matched_references."""
-    shown = cited if keep is None else cited.filter(F.col("rank") <= keep)
-    c = shown.groupBy(*PAIR).agg(F.bool_or("reference_matched").alias("reference_matched"), F.array_sort(F.collect_list(F.struct("rank", "with_neighbours"))).alias("c"))
-    c = with_matched(verdicts.select(*PAIR).distinct().join(c, PAIR, "left"), matched if matched is not None else cited.filter("reference_matched"))
-    c = c.select(*PAIR, "c", F.coalesce("matched", F.lit(False)).alias("reference_matched"))
-    hits = match_terms(verdicts.select(*PAIR).distinct(), sents, with_rules(targets)).join(sents.select("work_id", "pos", "sentence"), ["work_id", "pos"])
+    and whether the worker's sentence is verbatim. texts(work_id, text)."""
+    found = scanned(verdicts, targets, sents, refs) if found is None else found
+    cited = citing_sentences(refs, sents, verdicts, targets, keep, found)
+    c = cited.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("rank", "with_neighbours"))).alias("c"))
+    c = found.filter("step = 1").select(*PAIR).distinct().withColumn("reference_matched", F.lit(True)).join(c, PAIR, "full")
+    hits = found.filter("step = 2 AND value")
     w = W.partitionBy(*PAIR).orderBy("pos")
     ranked = hits.withColumn("rn", F.row_number().over(w))
     top = (ranked if keep is None else ranked.filter(F.col("rn") <= keep)).groupBy(*PAIR).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import quantity
 from ..functions.text import sentence_array
 from ..operators import citations as ci
+from ..session import written
 from .book import Book
 from .q_text import KEY, OLD_TERMS, RAW, SENTENCES, STRIP, norm_sql, squash_sql
 from .views import load, view, with_views
@@ -32,7 +33,7 @@ PAIRS_SQL = "pairs AS (SELECT DISTINCT work_id, CAST(regexp_extract(cited_doi, '
 
 
 def pairs(spark, sf):
-    return view(spark, sf, "cites").select("work_id", F.regexp_extract("cited_doi", r"(\d+)$", 1).cast("long").alias("target_id")).distinct()
+    return cited_pairs(view(spark, sf, "cites"))
 
 
 # The old value of target k as a pattern without look-around: the characters around a number are captured instead.
@@ -111,22 +112,26 @@ def quantity_sentences(spark, sf):
 CITED_SQL = """, lastpos AS (SELECT work_id, max(pos) AS pos FROM sents GROUP BY 1)"""
 
 
-def refs(spark, sf):
-    c = view(spark, sf, "cites").filter("cited_doi LIKE '10.1101/%'")
+def refs(cites):
     n = F.regexp_extract("cited_doi", r"(\d+)$", 1).cast("long")
-    return c.filter(n != F.col("work_id")).unionByName(c.filter(n == F.col("work_id")).filter("work_id % 4 <> 1")).select(
+    return cites.filter("cited_doi LIKE '10.1101/%'").filter((n != F.col("work_id")) | (F.col("work_id") % 4 != 1)).select(
         "work_id", F.concat(F.lit("B"), n).alias("ref_id"), F.concat(F.lit("Someone A. A study. doi:"), F.col("cited_doi"), F.lit(";")).alias("ref_text"))
 
 
 def pointed(spark, sf):
-    s = sents(spark, sf)
-    last = s.groupBy("work_id").agg(F.max("pos").alias("last"))
+    """Sentences with pointers: the last one to the work's own reference, every fifth one to that of half its number."""
+    parts = view(spark, sf, "works").select("work_id", sentence_array(F.col("text")).alias("parts"))
+    s = parts.select("work_id", (F.size("parts") - 1).alias("last"), F.posexplode("parts").alias("pos", "sentence"))
     own = F.concat(F.lit("B"), F.col("work_id"))
     half = F.concat(F.lit("B"), F.floor(F.col("work_id") / 2))
-    return s.join(last, "work_id").select("work_id", "pos", "sentence", F.array_compact(F.array(
+    return s.select("work_id", "pos", "sentence", F.array_compact(F.array(
         F.when(F.col("pos") == F.col("last"), own), F.when(F.col("pos") % 5 == 1, half))).alias("ref_ids"))
 
 
+def cited_pairs(cites):
+    return cites.select("work_id", F.regexp_extract("cited_doi", r"(\d+)$", 1).cast("long").alias("target_id")).distinct()
+
+
 def exact_targets(spark, sf):
     """Targets whose DOI text ends the reference, so that no DOI is a prefix of another one."""
     return targets(spark, sf).withColumn("preprint_doi", F.concat("preprint_doi", F.lit(";")))
@@ -144,7 +149,8 @@ CITING = BASE + """, lastpos AS (SELECT work_id, max(pos) AS last FROM sents GRO
 @Q.add("citing_sentences", CITING + """ SELECT n.work_id, n.target_id, n.pos, n.rank, n.n_sentences, string_agg(s.sentence, ' ' ORDER BY s.pos) AS ctx FROM n
   JOIN sents s ON s.work_id = n.work_id AND s.pos BETWEEN n.pos - 1 AND n.pos + 1 GROUP BY ALL""")
 def citing_sentences(spark, sf):
-    c = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), pairs(spark, sf), exact_targets(spark, sf))
+    cites = written(view(spark, sf, "cites"), "cites")
+    c = ci.citing_sentences(refs(cites), pointed(spark, sf), cited_pairs(cites), exact_targets(spark, sf))
     return c.select(*ci.PAIR, F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"), "n_sentences", F.col("with_neighbours").alias("ctx"))
 
 
@@ -173,10 +179,9 @@ def screening_counts(spark, sf):
   SELECT kk.work_id, kk.target_id, NOT coalesce(a, false) AS f1, r.work_id IS NOT NULL AS reference_matched FROM kk LEFT JOIN att ON att.work_id = kk.work_id AND att.target_id = kk.target_id
    LEFT JOIN (SELECT DISTINCT work_id, target_id FROM r) r ON r.work_id = kk.work_id AND r.target_id = kk.target_id""")
 def candidate_flags(spark, sf):
-    matched = ci.matched_references(refs(spark, sf), pairs(spark, sf), exact_targets(spark, sf))
-    cited = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), pairs(spark, sf), exact_targets(spark, sf), matched=matched)
-    hits = pairs(spark, sf).withColumn("has_text", F.lit(True))
-    c, _ = ci.screen_citers(hits, sents(spark, sf), None, targets(spark, sf), cited, matched=matched)
+    cites = written(view(spark, sf, "cites"), "cites")
+    hits = cited_pairs(cites).withColumn("has_text", F.lit(True))
+    c, _ = ci.screen_citers(hits, pointed(spark, sf), None, exact_targets(spark, sf), refs(cites))
     return c.select(*ci.PAIR, F.array_contains("flags", "F1").alias("f1"), "reference_matched")
 
 
@@ -267,20 +272,21 @@ def verdict_checks(spark, sf):
     return ci.apply_checks(v, k).select("target_id", "work_id", "cites", F.col("verdict_before_verification.cites").alias("was"), "sentence", F.col("verification.reason").alias("reason"))
 
 
-@Q.add("verdict_evidence", BASE + CITING[len(BASE):] + f""", h AS (SELECT p.work_id, p.target_id, s.pos FROM pairs p JOIN pats USING (target_id) JOIN sents s ON s.work_id = p.work_id WHERE p.target_id % 8 IN (1, 5)
-    AND regexp_matches(s.sentence, ps[1])), hc AS (SELECT work_id, target_id, count(*) AS n FROM h GROUP BY 1, 2), c AS (SELECT work_id, target_id, count(*) AS n FROM f GROUP BY 1, 2)
-  SELECT p.work_id, p.target_id, coalesce(c.n, 0) AS n_citing, CASE WHEN p.target_id % 8 IN (1, 5) THEN coalesce(hc.n, 0) END AS n_value, p.work_id % 2 = 0 AS verbatim,
+@Q.add("verdict_evidence", MATCH + CITING[len(BASE):] + """, hc AS (SELECT work_id, target_id, count(*) AS n, md5(string_agg(sentence, '|' ORDER BY pos)) AS shown FROM hits GROUP BY 1, 2),
+  near AS (SELECT f.work_id, f.target_id, f.pos, string_agg(s.sentence, ' ' ORDER BY s.pos) AS ctx FROM f JOIN sents s ON s.work_id = f.work_id AND s.pos BETWEEN f.pos - 1 AND f.pos + 1 GROUP BY ALL),
+  c AS (SELECT work_id, target_id, count(*) AS n, md5(string_agg(ctx, '|' ORDER BY pos)) AS shown FROM near GROUP BY 1, 2)
+  SELECT p.work_id, p.target_id, coalesce(c.n, 0) AS n_citing, coalesce(c.shown, md5('')) AS citing_md5, coalesce(hc.n, 0) AS n_value, coalesce(hc.shown, md5('')) AS value_md5, p.work_id % 2 = 0 AS verbatim,
    EXISTS (SELECT 1 FROM r WHERE r.work_id = p.work_id AND r.target_id = p.target_id) AS reference_matched FROM pairs p
    LEFT JOIN hc ON hc.work_id = p.work_id AND hc.target_id = p.target_id LEFT JOIN c ON c.work_id = p.work_id AND c.target_id = p.target_id""")
 def verdict_evidence(spark, sf):
-    w = view(spark, sf, "works")
-    p = pairs(spark, sf)
-    v = p.join(w.select("work_id", F.when(F.col("work_id") % 2 == 0, F.concat(F.lit(" "), F.substring_index("text", ". ", -1))).otherwise("an invented sentence of no work").alias("sentence")), "work_id")
-    matched = ci.matched_references(refs(spark, sf), p, exact_targets(spark, sf))
-    cited = ci.citing_sentences(refs(spark, sf), pointed(spark, sf), p, exact_targets(spark, sf), matched=matched)
-    e = ci.evidence(v, cited, sents(spark, sf), w.select("work_id", "text"), targets(spark, sf), matched=matched)
-    return e.select(*ci.PAIR, "reference_matched", F.size("sentences_citing_target").cast("long").alias("n_citing"),
-                    F.when((F.col("target_id") % 8).isin(1, 5), F.size("sentences_with_old_value").cast("long")).alias("n_value"), F.col("sentence_verbatim").alias("verbatim"))
+    w = view(spark, sf, "works").select("work_id", "text")
+    cites = written(view(spark, sf, "cites"), "cites")
+    v = cited_pairs(cites).join(w.select("work_id", F.when(F.col("work_id") % 2 == 0, F.concat(F.lit(" "), F.substring_index("text", ". ", -1))).otherwise("an invented sentence of no work").alias("sentence")), "work_id")
+    v = written(v, "verdicts")
+    e = ci.evidence(v, refs(cites), pointed(spark, sf), w, exact_targets(spark, sf))
+    return e.select(*ci.PAIR, "reference_matched", F.size("sentences_citing_target").cast("long").alias("n_citing"), F.md5(F.array_join("sentences_citing_target", "|")).alias("citing_md5"),
+                    F.size("sentences_with_old_value").cast("long").alias("n_value"), F.md5(F.array_join("sentences_with_old_value", "|")).alias("value_md5"),
+                    F.col("sentence_verbatim").alias("verbatim"))
 
 
 @Q.add("search_again", "SELECT doc_id AS work_id, doc_id AS target_id, 'search_more:75 out of 148' AS source FROM documents WHERE doc_id % 8 = 7 AND doc_id % 97 = 75")

@@ -40,9 +40,8 @@ VIEWS: dict[str, str] = {
   concat('20', lpad(CAST(doc_id % 24 AS {{str}}), 2, '0')) AS date,
   concat(text, '. ', {statement('doc_id')}) AS text FROM documents""",
     # who cites whose versions
-    "cites": """SELECT doc_id AS work_id, concat('10.1101/', doc_id) AS cited_doi FROM documents
-  UNION ALL SELECT doc_id, concat('10.1016/p', doc_id) FROM documents
-  UNION ALL SELECT doc_id, concat('10.1101/', CAST(floor(doc_id / 2) AS BIGINT)) FROM documents""",
+    "cites": """SELECT doc_id AS work_id, {each}concat('10.1101/', doc_id), concat('10.1016/p', doc_id),
+  concat('10.1101/', CAST(floor(doc_id / 2) AS BIGINT)){end} AS cited_doi FROM documents""",
     "drift_events": """SELECT CAST(o_orderkey AS BIGINT) AS event_id, concat('10.1101/', o_orderkey) AS preprint_doi,
   concat('10.1016/p', o_orderkey) AS published_doi, o_custkey AS paper_no, o_totalprice / 600000.0 AS materiality_score,
   o_orderdate AS detected_at,
@@ -100,7 +99,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain view as a DataFrame over the given tables."""
-    sql = VIEWS[name].replace("{str}", "STRING")
+    sql = VIEWS[name].replace("{str}", "STRING").replace("{each}", "explode(array(").replace("{end}", "))")
     used = [t for t in TABLES if f" {t}" in sql]
     for t in used:
         load(spark, sf_dir, t).createOrReplaceTempView(t)
@@ -109,4 +108,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(*names: str) -> str:
     """The same views as a WITH clause for the oracle."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].replace('{str}', 'VARCHAR')})" for n in names)
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].replace('{str}', 'VARCHAR').replace('{each}', 'unnest([').replace('{end}', '])')})" for n in names)

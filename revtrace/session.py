@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the checkpoint folder: computed once, read by column, and there if an executor is lost."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Text work is bound by CPU: an input with fewer splits than the cluster has cores is dealt out to all of them. A large
     input has more splits than cores and is left alone."""
