@@ -22,14 +22,15 @@ _STRINGS = "array<string>"
 
 # ---- values in sentences -------------------------------------------------------------------------------------------------
 def with_rules(targets: DataFrame) -> DataFrame:
-    """Targets with what the sentence test needs: rules per term, old quantities, property pattern. Built once per target."""
+    """Targets with what the sentence test needs: rules per term, old quantities, property pattern. Built once per target, and kept as
+    a table: the scan needs them in front of the text and behind it."""
     for c, t in (("terms", _STRINGS), ("property_terms", _STRINGS), ("unit", "string"), ("proposed", _STRINGS)):
         if c not in targets.columns:
             targets = targets.withColumn(c, F.lit(None).cast(t))
     targets = targets.withColumn("terms", F.coalesce("terms", F.array().cast(_STRINGS)))
-    return (targets.withColumn("rules", q.match_rules(F.col("terms"), F.col("unit"), F.col("proposed")))
-            .withColumn("wanted", q.old_quantities(F.col("terms"), F.col("proposed")))
-            .withColumn("prop", q.property_pattern(F.col("property_terms"))))
+    return written(targets.select(
+        "*", q.match_rules(F.col("terms"), F.col("unit"), F.col("proposed")).alias("rules"), q.old_quantities(F.col("terms"), F.col("proposed")).alias("wanted"),
+        q.property_pattern(F.col("property_terms")).alias("prop")), "target-rules")
 
 
 def only_proposed(ruled: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def follow_chain(citing: DataFrame, relays: DataFrame, sents: DataFrame, targets
 
     Each hop starts from a table of what the hop before has found and leaves out a table of what is known, so a plan holds one hop
     however many there are; only the texts of the works asked for are read. It ends early when a hop finds nothing."""
-    ruled = written(with_rules(targets), "chain-rules")
+    ruled = with_rules(targets)
     citing = written(citing.select("work_id", "cited_work"), "chain-citing")
     seen = written(known.select(*PAIR).distinct(), "chain-known")
     frontier, out = relays.select("target_id", F.col("work_id").alias("cited_work")).distinct(), []
