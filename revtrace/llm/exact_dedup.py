@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +22,23 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Table (digest, keep_id, batch) in `path`; `buckets` is fixed when the folder is made."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.buckets = spark, buckets
+    """Table (digest, keep_id, batch) in `path`. The number of buckets is fixed when the folder is made, kept in it, and read again by
+    whoever opens it later, in whatever session; asking for another number is an error. One writer at a time: a second one that appends
+    at the same moment would not see the first one's digests."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark = spark
+        about = f"{path.rstrip('/')}/_about"  # a name that Spark does not take for data
+        try:
+            self.buckets = spark.read.schema("buckets int").json(about).first().buckets
+        except AnalysisException:  # no such folder yet
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(about)
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"the index in {path} has {self.buckets} buckets, not {buckets}")
         self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
-                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -55,7 +66,7 @@ class DigestIndex:
 
 def new_index(spark: SparkSession) -> DigestIndex:
     """An empty index in the shared folder, with as many buckets as the session has shuffle partitions."""
-    return DigestIndex(spark, fresh_path(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return DigestIndex(spark, fresh_path(spark, "digest-index"))
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:

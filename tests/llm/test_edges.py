@@ -53,6 +53,23 @@ def test_index_across_batches(spark):
     assert index.table().count() == 3
 
 
+def test_index_opened_with_other_settings(spark, tmp_path):
+    """The number of buckets stays that of the folder: known texts are known in a session with other settings too."""
+    path, before = str(tmp_path / "index"), spark.conf.get("spark.sql.shuffle.partitions")
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    assert index.admit(docs, "1").where("kept").count() == 400
+    try:
+        spark.sql(f"DROP TABLE {index.name}")  # as in a session whose catalog does not know it
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == 4 and again.admit(docs, "2").where("kept").count() == 0 and again.table().count() == 400
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, 7)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def components_by_force(rows):
     sets, keys = {}, []
     for d, t in rows:
@@ -283,4 +300,4 @@ def test_lines(docs, empty):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
