@@ -1,30 +1,44 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
 
-A line within EDITS edits of another keeps at least one of its EDITS + 1 segments. Each distinct line files its segments under
-(length, segment number, content), and probes the substrings where a segment of a line up to EDITS shorter can stand (the positions
-that a match's left and right parts leave open). Pairs that meet have their equal ends cut off and are verified by a banded
-bit-parallel edit distance: one word of 2 * EDITS + 2 bits of vertical differences, moved along the diagonal.
+Two lines are linked if they are within the edits that the shorter one allows: none below 8 characters, one from 8, two from 20. A line
+within e edits of another keeps at least one of its e + 1 segments. Each distinct line files its segments under (length, segment number,
+content), and probes the substrings where a segment of a line up to e shorter can stand (the positions that a match's left and right
+parts leave open). A segment that very many lines share is split by letter counts: two edits change at most four of them by one, so of
+five groups of letters one has the same counts in both lines, and only lines that share a segment and such a group meet. Pairs that
+meet have their equal ends cut off and are verified by a banded bit-parallel edit distance: one word of 2 * e + 2 bits of vertical
+differences, moved along the diagonal.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..session import broadcast_if_small
 from .common import written
 
-EDITS = 2
-LEAST_CHARS = 20  # shorter lines are linked when equal
+FROM_CHARS = {1: 8, 2: 20}  # edits that a line of so many characters allows
+EDITS = max(FROM_CHARS)
 BLANKS = "\x20\x09\x0A\x0B\x0C\x0D"
 LETTERS = "aeinorstlduh"  # counted modulo 32; an edit changes their counts by two at most
+GROUPS = 2 * EDITS + 1  # of letters, one of which has the same counts in lines within EDITS edits
+HEAVY = 200  # lines filed under one key, beyond which the key is split by groups of letters
 BLOCK = 16
 SMALL = 8 << 20
 
 
+def edits_of(n: Column) -> Column:
+    """Edits that a line of n characters allows."""
+    out = F.lit(0)
+    for edits, least in sorted(FROM_CHARS.items()):
+        out = F.when(n >= least, edits).otherwise(out)
+    return out
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, position, line: lines that are not blank, without blanks around them."""
-    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    """doc_id, text_key, position, line: lines that are not blank, without blanks around them. text_key tells apart texts under one id."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
     return cut.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
@@ -42,26 +56,28 @@ def _key(line: Column, length: Column, i: int, at: Column, size: Column) -> Colu
     return F.xxhash64(length, F.lit(i), F.substring(line, at, size))
 
 
-def segment_keys(line: Column, n: Column, edits: int) -> Column:
+def segment_keys(line: Column, n: Column) -> Column:
     """Keys under which a line is filed."""
-    found = []
-    for i in range(edits + 1):
-        start, size = _segment(n, edits, i)
-        found.append(_key(line, n, i, start, size))
-    return F.array(*found)
+    out = F.array().cast("array<bigint>")
+    for edits, least in sorted(FROM_CHARS.items()):
+        keys = [_key(line, n, i, *_segment(n, edits, i)) for i in range(edits + 1)]
+        out = F.when(n >= least, F.array(*keys)).otherwise(out)
+    return out
 
 
-def probe_keys(line: Column, n: Column, edits: int, least: int) -> Column:
-    """Keys of the substrings at which segments of a line of n - edits .. n characters can stand."""
+def probe_keys(line: Column, n: Column) -> Column:
+    """Keys of the substrings at which segments of a line of up to its edits fewer characters can stand."""
     found = []
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for i in range(edits + 1):
-            start, size = _segment(length, edits, i)
-            for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                at = start + off
-                inside = (at >= 1) & (at + size - 1 <= n) & (length >= least)
-                found.append(F.when(inside, _key(line, length, i, at, size)))
+    for edits, least in FROM_CHARS.items():
+        most = FROM_CHARS.get(edits + 1)
+        for shorter in range(edits + 1):
+            length = n - shorter
+            fits = (length >= least) & (length < most) if most else length >= least
+            for i in range(edits + 1):
+                start, size = _segment(length, edits, i)
+                for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
+                    at = start + off
+                    found.append(F.when(fits & (at >= 1) & (at + size - 1 <= n), _key(line, length, i, at, size)))
     return F.array_compact(F.array(*found))
 
 
@@ -83,14 +99,30 @@ def counts_differ(a: Column, b: Column) -> Column:
     return total
 
 
-def candidates(distinct: DataFrame, edits: int, least: int) -> DataFrame:
-    """(a, b), a < b: ids of distinct lines that share a segment and whose letters could be reached by `edits` edits. distinct: id, line, counts."""
-    long_ = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= least)
-    filed = long_.select("id", F.col("counts").alias("c"), F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    asked = long_.select(F.col("id").alias("other"), F.col("counts").alias("d"),
-                         F.explode(probe_keys(F.col("line"), F.col("n"), edits, least)).alias("key"))
-    met = filed.join(asked, (filed.key == asked.key) & (F.col("id") != F.col("other")) & (counts_differ(F.col("c"), F.col("d")) <= 2 * edits))
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def group_keys(key: Column, counts: Column) -> Column:
+    """The keys that a heavy key is split into: by group, the counts of its letters."""
+    found = []
+    for g in range(GROUPS):
+        mask = sum(31 << (5 * k) for k in range(len(LETTERS)) if k % GROUPS == g)
+        found.append(F.xxhash64(key, F.lit(g), counts.bitwiseAND(F.lit(mask))))
+    return F.array(*found)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: ids of distinct lines that share a segment and whose letters could be reached by the edits they allow.
+    distinct: id, line, counts."""
+    long_ = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= min(FROM_CHARS.values()))
+    filed = written(long_.select("id", F.col("counts").alias("c"), F.explode(segment_keys(F.col("line"), F.col("n"))).alias("key")), "line-filed")
+    asked = written(long_.select(F.col("id").alias("other"), F.col("counts").alias("d"), F.col("n").alias("m"),
+                                 F.explode(probe_keys(F.col("line"), F.col("n"))).alias("key")), "line-asked")
+    heavy = written(filed.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "line-heavy")
+    near = counts_differ(F.col("c"), F.col("d")) <= 2 * edits_of(F.col("m"))
+    pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+    few = broadcast_if_small(heavy, 8, SMALL)
+    light = filed.join(few, "key", "left_anti").join(asked, "key").where((F.col("id") != F.col("other")) & near).select(*pair)
+    split = lambda df, c: df.join(few, "key", "left_semi").withColumn("part", F.explode(group_keys(F.col("key"), F.col(c)))).drop("key")
+    rest = split(filed, "c").join(split(asked, "d"), "part").where((F.col("id") != F.col("other")) & near).select(*pair)
+    return light.unionByName(rest).distinct()
 
 
 def _common_blocks(x: Column, y: Column) -> Column:
@@ -165,55 +197,77 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.withColumn("distance", found)
 
 
-def line_links(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b, distance): ids of distinct lines within `edits` edits."""
-    pairs = written(candidates(distinct, edits, least), "line-pairs")
+def line_links(distinct: DataFrame) -> DataFrame:
+    """(a, b, distance): ids of distinct lines within the edits that the shorter one allows."""
+    pairs = written(candidates(distinct), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(distinct.select("id", "line").join(broadcast_if_small(ids, 16, SMALL), "id", "left_semi"), "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return within(both, edits).where(F.col("distance") <= edits).select("a", "b", "distance")
+    allowed = edits_of(F.least(F.char_length("x"), F.char_length("y")))
+    return within(both, EDITS).where(F.col("distance") <= allowed).select("a", "b", "distance")
+
+
+def _numbered(rows: DataFrame, docs: DataFrame, *within_row: str) -> DataFrame:
+    """Adds copy: 0, and 1, 2, ... on further rows of docs with the same id and text. Only such rows are shuffled for it."""
+    repeated = docs.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key")).count().where("count > 1").select("_id", "_key")
+    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_key"] == F.col("_key"))
+    once = rows.join(repeated, same, "left_anti").withColumn("copy", F.lit(0))
+    order = W.partitionBy("doc_id", "text_key", *within_row).orderBy(F.lit(0))
+    return once.unionByName(rows.join(repeated, same, "left_semi").withColumn("copy", F.row_number().over(order) - 1))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, position, id, links, kept) of all lines that are not blank, and the links (a, b, distance).
+def line_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (doc_id, text_key, copy, position, id, links, near_doc_id, kept) of all lines that are not blank, and the links (a, b,
+    distance) between distinct texts.
 
-    A line goes if its text, or a text within `edits` edits of it, stands in a document with a smaller id or earlier in its own; else
-    it is kept. Lines under `least` characters are compared for equality only. links: other texts within reach. A null text has no
-    lines. A null id counts as larger than all others. Rows that repeat a document repeat its lines: one of each is kept, or none.
-    Distinct texts are told apart by a 64-bit hash.
+    A line goes if its text, or a text linked with it, stands in a document with a smaller id or earlier in its own; else it is kept.
+    links: other texts linked with it; near_doc_id: the smallest id of a document that holds one of them. A null text has no lines. A null
+    id counts as larger than all others. Different texts under one id stand one after the other, by text_key. Of rows that repeat an id
+    and its text the first keeps what is new, the others (copy > 0) keep nothing. Very long lines are compared whole. Further columns are
+    not looked at. Distinct texts are told apart by a 64-bit hash, texts under one id too.
     """
-    all_lines = lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_lines = lines(docs)
     distinct = written(all_lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line", letter_counts(F.col("line")).alias("counts")), "lines")
-    links = written(line_links(distinct, edits, least), "line-links")
+    links = written(line_links(distinct), "line-links")
     # the place of each text's first occurrence
-    spots = written(all_lines.select("doc_id", "position", F.xxhash64("line").alias("id")), "line-spots")
-    first = spots.groupBy("id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "position")).alias("first"))
+    spots = written(_numbered(all_lines.select("doc_id", "text_key", "position", F.xxhash64("line").alias("id")), docs, "position"), "line-spots")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text_key", "copy", "position")
+    first = spots.groupBy("id").agg(F.min(place).alias("first"))
     sides = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    place = first.select(F.col("id").alias("other"), F.col("first").alias("earliest"))
-    near = sides.join(place, "other").groupBy("id").agg(F.count("*").alias("links"), F.min("earliest").alias("near_first"))
+    earliest = first.select(F.col("id").alias("other"), F.col("first").alias("earliest"))
+    near = sides.join(earliest, "other").groupBy("id").agg(F.count("*").alias("links"), F.min("earliest").alias("near_first"))
     known = written(first.join(near, "id", "left").select("id", "first", F.coalesce("links", F.lit(0)).alias("links"), "near_first"), "line-known")
     # a text that many lines repeat: its row is joined by broadcast, a line in a hundred at most
     heavy = F.broadcast(spots.groupBy("id").count().where(F.col("count") > spots.count() / 100).select("id").join(known, "id"))
     seen = spots.join(heavy, "id").unionByName(spots.join(heavy, "id", "left_anti").join(known, "id"))
-    here = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "position")
-    stays = (here == F.col("first")) & (F.col("near_first").isNull() | (F.col("first") < F.col("near_first")))
-    return seen.select("doc_id", "position", "id", "links", stays.alias("kept")), links
+    stays = (place == F.col("first")) & (F.col("near_first").isNull() | (F.col("first") < F.col("near_first")))
+    near_id = F.nullif(F.col("near_first.doc_id"), F.lit((1 << 63) - 1))
+    return seen.select("doc_id", "text_key", "copy", "position", "id", "links", near_id.alias("near_doc_id"), stays.alias("kept")), links
 
 
 def without_copies(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """The documents with the lines that go cut out; blank lines stay."""
-    gone = occurrences.where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("position").alias("_gone"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"))
-    found = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left")
-    left = F.filter(F.split("row.text", "\n"), lambda x, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    """The documents with the lines that go cut out; blank lines stay. Each row loses its own lines only, also where ids repeat."""
+    gone = occurrences.where("not kept").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("copy").alias("_c")).agg(
+        F.collect_set("position").alias("_gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    rows = _numbered(rows, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")) & (F.col("copy") == F.col("_c")), "left")
+    parts = F.split("row.text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(let(parts, lambda p: F.array_join(F.transform(stay, lambda k: F.get(p, k)), "\n")))
     return found.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def per_document(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_linked (lines with a near text)."""
-    counts = occurrences.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count("*").alias("n_lines"), F.sum((~F.col("kept")).cast("long")).alias("n_removed"), F.sum((F.col("links") > 0).cast("long")).alias("n_linked"))
-    return docs.select("doc_id").join(counts, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        "doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_removed", "n_linked")])
+    """One row per row of docs: doc_id, n_lines, n_removed, n_linked (lines linked with another text), and lines in order: position,
+    line_id, links, near_doc_id (see line_dedup), kept."""
+    one = F.struct("position", F.col("id").alias("line_id"), "links", "near_doc_id", "kept")
+    counts = occurrences.groupBy("doc_id", "text_key", "copy").agg(
+        F.count("*").alias("n_lines"), F.sum((~F.col("kept")).cast("long")).alias("n_removed"), F.sum((F.col("links") > 0).cast("long")).alias("n_linked"),
+        F.array_sort(F.collect_list(one)).alias("lines"))
+    none = docs.where(F.forall(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) == "")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_lines", "n_removed", "n_linked")])
+    return counts.select("doc_id", "n_lines", "n_removed", "n_linked", "lines").unionByName(
+        none.withColumn("lines", F.array().cast(counts.schema["lines"].dataType)))

@@ -1,4 +1,4 @@
-"""op3_line_dedup. Tests hold it against brute force over all pairs of lines of like length."""
+"""op3_line_dedup. Tests hold it against the edit distance of all pairs of lines."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,7 +8,8 @@ from .line_dedup import line_dedup, per_document
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of all documents, two edits: how many lines of each document go, and how many have a near text."""
+    """All lines of all documents: how many of each document go, how many have a near text, and for each line its id, its links, the
+    smallest id of a document with a near text, and whether it stays."""
     docs = documents(spark, sf_dir)
     occurrences, _ = line_dedup(docs)
     return per_document(docs, occurrences)

@@ -291,9 +291,11 @@ def test_lines(docs, empty):
     got = {r.doc_id: r for r in line_dedup.per_document(docs, occurrences).collect()}
     assert (got[17].n_lines, got[17].n_removed, got[17].n_linked) == (2, 0, 1)
     assert (got[18].n_lines, got[18].n_removed, got[18].n_linked) == (3, 2, 1)
+    assert got[18].lines[0].near_doc_id == 17 and [x.position for x in got[18].lines] == [0, 2, 3]
     assert (got[19].n_lines, got[19].n_removed) == (3, 3) and (got[5].n_lines, got[7].n_lines) == (0, 0)
     kept = {r.doc_id: r.text for r in line_dedup.without_copies(docs, occurrences).collect()}
     assert kept[18] == "\nshort" and kept[5] is None and kept[1] == texts()[0][1]
+    assert line_dedup.per_document(docs, occurrences).count() == len(texts())
     occurrences, _ = line_dedup.line_dedup(empty)
     assert line_dedup.per_document(empty, occurrences).count() == 0
 
