@@ -5,9 +5,11 @@
    same set become one class.
 2. Bands of ROWS registers are keys. In each bucket every class meets the bucket's smallest class. Pairs whose sizes or estimated
    similarity rule a link out go; the rest is confirmed on the full sets, and the links give first components.
-3. Only a bucket that still holds several components can hide a link. There all pairs across components are compared by sketch,
-   large buckets in blocks, and again confirmed on full sets. Large buckets come first with their likeliest pairs, which join the
-   copies of one text; then all pairs across what is left. So a group of copies costs a pair for each member, not for each pair.
+3. Only a bucket whose other classes still lie in several components can hide a link. There all pairs across components are compared
+   by sketch, and of those that could be links a spanning forest of the components, strongest estimates first, is confirmed on full
+   sets. A bucket that withheld pairs comes again with the components that were joined, and with four times as many pairs of two
+   components that still stand apart, until it withholds none. So every pair that could be a link between components is confirmed,
+   and a group of copies costs about a pair for each member, not for each pair.
 
 At similarity 0.75 a band of 4 equal registers has probability 0.316; all 48 miss with probability 1e-8.
 """
@@ -32,7 +34,7 @@ EMPTY = 0xFFFF
 COLLISION = 0.1699 * 2.0 ** -MANTISSA  # chance that registers of different hashes agree, sets of like size
 SIGMAS = 6.0  # of the estimate, below the threshold, that a pair may lie and still be confirmed
 BLOCK = 4096
-LARGE, LIKELY_SIGMAS = 64, 1.0  # buckets over LARGE members: their pairs with a high estimate come first
+MORE = 4  # times as many pairs of two components are confirmed in each further round
 SMALL = 8 << 20
 
 _SALT = np.array([0x9AE16A3B2F90404F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -130,10 +132,11 @@ def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (same - COLLISION * used) / used, used
 
 
-def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, sigmas: float = SIGMAS) -> np.ndarray:
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether sizes and sketches allow a link, the estimate)."""
     j, used = estimate(x, y)
-    near = j >= SIMILARITY - sigmas * np.sqrt(SIMILARITY * (1 - SIMILARITY) / used)
-    return near & (100 * np.minimum(nx, ny) >= 75 * np.maximum(nx, ny))
+    near = j >= SIMILARITY - SIGMAS * np.sqrt(SIMILARITY * (1 - SIMILARITY) / used)
+    return near & (100 * np.minimum(nx, ny) >= 75 * np.maximum(nx, ny)), j
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-                keep = may_link(x, y, b.column(2).to_numpy(), b.column(3).to_numpy())
+                keep, _ = may_link(x, y, b.column(2).to_numpy(), b.column(3).to_numpy())
                 yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
@@ -180,36 +183,95 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(100 * common >= 75 * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def across(members: DataFrame, classes: DataFrame, sigmas: float) -> DataFrame:
-    """Likely pairs of different components in one bucket, each pair in the first bucket that it shares. members: key, rep, component.
-    A bucket over BLOCK members is compared block against block, each pair of blocks as a bucket of its own. Buckets stand one after
-    another in a partition, their members by size, so that a member's partners of like size follow it."""
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "key")
-    blocks = sized.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    bucket = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    rows = blocks.select(bucket.alias("bucket"), "key", "block", (F.col("block") == F.col("other")).alias("same"), "component", "rep").join(
-        classes.select("rep", "n_shingles", "regs"), "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
+def forest(bucket: np.ndarray, x: np.ndarray, y: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Numbers of the edges (x, y: components within a bucket) of a spanning forest of each bucket, strongest edges first."""
+    nodes, flat = np.unique(np.stack([np.concatenate([bucket, bucket]), np.concatenate([x, y])]), axis=1, return_inverse=True)
+    flat = flat.reshape(-1)
+    u, v = flat[:len(x)], flat[len(x):]
+    order = np.argsort(-strength, kind="stable")
+    u, v = u[order], v[order]
+    label, taken, live = np.arange(nodes.shape[1]), [], np.arange(len(u))
+    while len(live):
+        live = live[label[u[live]] != label[v[live]]]
+        if not len(live):
+            break
+        best = np.full(len(label), len(u))  # of each component, its strongest edge out
+        for end in (u, v):
+            np.minimum.at(best, label[end[live]], live)
+        chosen = np.unique(best[best < len(u)])
+        taken.append(chosen)
+        while True:  # the joined components take the smallest label
+            a, b = label[u[chosen]], label[v[chosen]]
+            low = label.copy()
+            np.minimum.at(low, np.concatenate([a, b]), np.concatenate([np.minimum(a, b)] * 2))
+            low = low[low]
+            if np.array_equal(low[label], label):
+                break
+            label = low[label]
+    return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
+
+
+def strongest(group: np.ndarray, strength: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the `most` strongest entries of each group."""
+    order = np.lexsort((-strength, group))
+    start = np.flatnonzero(np.diff(group[order], prepend=~group[order[:1]])) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+    return order[place < most]
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """members(key, rep, component) with bucket and home. A bucket over BLOCK members is dealt to blocks; the members of its most frequent
+    component, which need not meet each other, stand in one block each, the others in all."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("most")).where(F.col("n") > BLOCK)
+    large = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    places = F.when(F.col("component") == F.col("most"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    split = large.withColumn("block", F.explode(places)).select(
+        "key", "rep", "component", F.xxhash64("key", "block").alias("bucket"), (F.col("block") == F.col("own")).alias("home"))
+    whole = members.join(sizes, "key", "left_anti").select("key", "rep", "component", F.col("key").alias("bucket"), F.lit(True).alias("home"))
+    return whole.unionByName(split)
+
+
+def across(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Of the pairs of different components in one bucket that could be links, each pair in the first bucket that it shares: (a, b) of a
+    spanning forest, with `most` also the strongest of each two components; and (key) of the buckets that withhold others. members:
+    key, rep, component. Buckets stand one after another in a partition, their members by size, so that a member's partners of like
+    size follow it."""
+    rows = in_blocks(members).join(classes.select("rep", "n_shingles", "regs"), "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        bucket, key, block, same, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "key", "block", "same", "component", "rep", "n_shingles"))
+        bucket, key, home, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "key", "home", "component", "rep", "n_shingles"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         packed = np.ascontiguousarray(regs).view(np.uint64).reshape(-1, BANDS)
-        left, right, live, lag = [], [], np.arange(len(rep)), 0
+        left, right, strength, live, lag = [], [], [], np.arange(len(rep)), 0
         while len(live):
             lag += 1
             live = live[live + lag < len(rep)]
             live = live[(bucket[live] == bucket[live + lag]) & (100 * n[live] >= 75 * n[live + lag])]
-            test = live[(component[live] != component[live + lag]) & (same[live] | (block[live] != block[live + lag]))]
+            test = live[(component[live] != component[live + lag]) & (home[live] | home[live + lag])]
             for part in (test[k:k + 4096] for k in range(0, len(test), 4096)):
-                ok = part[may_link(regs[part], regs[part + lag], n[part], n[part + lag], sigmas)]
+                near, j = may_link(regs[part], regs[part + lag], n[part], n[part + lag])
+                ok, j = part[near], j[near]
                 shared = (packed[ok] == packed[ok + lag]) & (packed[ok] != np.uint64((1 << 64) - 1))
                 first = shared.argmax(1)
-                ok = ok[_keys(packed[ok, first], first).view(np.int64) == key[ok]]
-                left.append(np.minimum(rep[ok], rep[ok + lag]))
-                right.append(np.maximum(rep[ok], rep[ok + lag]))
-        pair = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], ["a", "b"])
+                own = _keys(packed[ok, first], first).view(np.int64) == key[ok]
+                left.append(ok[own])
+                right.append(ok[own] + lag)
+                strength.append(j[own])
+        left, right = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
+        strength = np.concatenate(strength) if strength else np.zeros(0)
+        take = forest(bucket[left], component[left], component[right], strength)
+        if most:
+            low, high = np.minimum(component[left], component[right]), np.maximum(component[left], component[right])
+            _, group = np.unique(np.stack([bucket[left], low, high]), axis=1, return_inverse=True)
+            take = np.union1d(take, strongest(group.reshape(-1), strength, most))
+        held = np.ones(len(left), bool)
+        held[take] = False
+        more = np.unique(key[left[held]])
+        a, b = np.minimum(rep[left[take]], rep[right[take]]), np.maximum(rep[left[take]], rep[right[take]])
+        none = [None] * len(more)
+        return pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *none], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()),
+                                           pa.array([*[None] * len(a), *more.tolist()], pa.int64())], ["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the last bucket of a batch may go on in the next
@@ -222,7 +284,7 @@ def across(members: DataFrame, classes: DataFrame, sigmas: float) -> DataFrame:
         if rest is not None and len(rest):
             yield compare(rest)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, key long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -237,23 +299,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = written(named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("c")).select(
         "set_a", "set_b", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n_shingles"), F.col("c.regs").alias("regs")), "classes")
-    keys = band_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    members = written(keys.join(shared, "key"), "buckets")
-    star = members.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    links = written(confirmed(written(likely(star, classes), "pairs"), docs), "links")
-    first = components(links)
-    last = first
-    for large, sigmas in ((LARGE, LIKELY_SIGMAS), (1, SIGMAS)):
+    keys = band_keys(classes).repartition("key")  # one shuffle for both uses
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high")
+    members = written(keys.join(shared.select("key", "low", "n"), "key").where("rep <> low"), "buckets")
+    star = written(members.select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "near-star")
+    last = components(written(confirmed(written(likely(star, classes), "pairs"), docs), "links"))
+    rest, tested, most = members.where("n > 2").select("key", "rep"), star, 0  # the smallest of a bucket has met all others
+    while True:
         found = last.withColumnRenamed("node", "rep")
-        labelled = members.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-        mixed = labelled.join(mixed.where((F.col("x") < F.col("y")) & (F.col("n") > large)).select("key"), "key")
-        more = written(across(written(mixed, "mixed"), classes, sigmas), "pairs")
-        if not more.isEmpty():
-            extra = written(confirmed(more, docs), "links")
+        labelled = rest.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        mixed = written(labelled.join(mixed, "key"), "mixed")
+        out = written(across(mixed, classes, most), "near-forest")
+        pairs = written(out.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            extra = written(confirmed(pairs, docs), "links")
             if not extra.isEmpty():
                 last = components(last.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
+        more = out.where("key is not null").select("key").distinct()
+        if more.isEmpty():
+            break
+        rest, tested, most = written(mixed.select("key", "rep").join(more, "key", "left_semi"), "buckets"), tested.unionByName(pairs), max(1, most * MORE)
     of_class = classes.select("set_a", "set_b", "rep").join(last.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     found = named.join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")

@@ -112,7 +112,6 @@ def test_near(spark, docs, empty):
 def test_near_links_across_bucket_leaders(spark, monkeypatch):
     """Chains of edits: links that do not touch a bucket's smallest class, compared in blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "LARGE", 3)
     base = [f"w{i}" for i in range(60)]
     rows, at = [], 0
     for chain in range(3):
@@ -303,3 +302,42 @@ def test_lines(docs, empty):
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+
+
+def test_forest():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = 200
+        bucket, x, y = rng.integers(0, 3, n), rng.integers(0, 15, n), rng.integers(0, 15, n)
+        keep = x != y
+        bucket, x, y, j = bucket[keep], x[keep], y[keep], rng.random(keep.sum())
+        take = near_dedup.forest(bucket, x, y, j)
+        want, parent = set(), {}  # Kruskal
+
+        def find(v):
+            while parent.setdefault(v, v) != v:
+                v = parent[v]
+            return v
+
+        for i in np.argsort(-j, kind="stable"):
+            a, b = find((bucket[i], x[i])), find((bucket[i], y[i]))
+            if a != b:
+                parent[a] = b
+                want.add(i)
+        assert set(take.tolist()) == want and len(take) == len(want)
+
+
+def test_near_copies_that_fall_short(spark, monkeypatch):
+    """Pairs under the threshold are confirmed in growing numbers until none that could be a link is left."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(30):
+        w = list(base)
+        for k in range(3 + i % 2):
+            w[(i * 7 + k * 23) % 80] = f"n{i}_{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == components_by_force(rows)
