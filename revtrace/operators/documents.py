@@ -3,9 +3,13 @@
 A unit table has the columns paper_id, doc_id, unit_no, kind (abstract, section, table), title, text."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import after, before, escape_regex, find_all, let, norm, sentence_array, squash, strip, MIN_QUOTE_CHARS
 
@@ -13,6 +17,7 @@ DOC = ["paper_id", "doc_id"]
 CHUNK_CHARS = 24_000
 CUT_MARK = " …[truncated]"
 # key grams per tier, from rare to every position of a text
+AUTOMATON_CHARS = 1 << 20  # of all needles together, about 100 MB in a Python worker
 ANCHORS = [r"[bgkpvwy0-9].{11}", r".{8}", r".{3}", r"."]
 
 
@@ -137,21 +142,24 @@ def chunk_units(units: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.length("block") / limit) - 1))
     pieces = whole.withColumn("piece", F.explode(starts)).withColumn("block", F.expr(f"substring(block, CAST(piece * {limit} AS INT) + 1, {limit})"))
     sized = pieces.withColumn("unit_no", F.struct(F.col("unit_no").cast("int").alias("unit"), F.col("piece").cast("int").alias("piece"))).withColumn("size", F.length("block"))
-    # the running size is a fold over a document's unit lengths (numbers only; the texts join back afterwards)
-    lengths = sized.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("unit_no", "size"))).alias("us"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"),
-                     F.from_json(F.lit("[]"), "array<struct<unit_no:struct<unit:int,piece:int>,chunk:int>>").alias("out"))
-
-    def step(acc: Column, u: Column) -> Column:
-        fresh = (acc["n"] > 0) & (acc["size"] + u["size"] > limit)
-        return let(fresh, lambda f: F.struct(
-            (acc["chunk"] + f.cast("int")).alias("chunk"),
-            (F.when(f, F.lit(0).cast("long")).otherwise(acc["size"]) + u["size"]).alias("size"),
-            (F.when(f, F.lit(0)).otherwise(acc["n"]) + 1).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(u["unit_no"].alias("unit_no"),
-                                                  (acc["chunk"] + f.cast("int")).alias("chunk")))).alias("out")))
-
-    placed = lengths.select(*DOC, F.inline(F.aggregate("us", start, step)["out"]))
+    # the running size passes over a document's unit lengths in order (numbers only; the texts join back afterwards)
+    lengths = sized.select(*DOC, "unit_no", "size").repartition(*DOC).sortWithinPartitions(*DOC, "unit_no")
+    schema = T.StructType([*lengths.drop("size").schema.fields, T.StructField("chunk", T.IntegerType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, chunk, filled, n = None, 0, 0, 0
+        for b in batches:
+            chunks = []
+            for *here, size in zip(*(b.column(c).to_pylist() for c in (*DOC, "size"))):
+                if here != doc:
+                    doc, chunk, filled, n = here, 0, 0, 0
+                if n and filled + size > limit:
+                    chunk, filled, n = chunk + 1, 0, 0
+                filled, n = filled + size, n + 1
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*DOC, "unit_no")), pa.array(chunks, pa.int32())], [*DOC, "unit_no", "chunk"])
+
+    placed = lengths.mapInArrow(pack, schema)
     part = F.struct("unit_no", "block")
     return (sized.join(placed, [*DOC, "unit_no"]).groupBy(*DOC, "chunk")
             .agg(F.count_distinct("unit_no.unit").alias("n_units"), F.array_sort(F.collect_list(part)).alias("p"))
@@ -193,16 +201,49 @@ def _grams(c: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)(?=({pattern}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
 
-def contains_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """needles(needle), texts(text_id, hay) -> (needle, text_id) of every text that contains a needle.
+def contains_pairs(needles: DataFrame, texts: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """needles(needle), texts(text_id, hay) -> (needle, text_id) of every text that contains a needle; equal needles are searched once,
+    a null or empty needle never.
+
+    Needles whose letters together stay within `automaton_chars` become one automaton, and every text is read once, without a shuffle.
+    More needles meet the texts in a join on the grams that they share."""
+    sought = needles.select("needle").filter(F.length("needle") > 0).distinct()
+    if (sought.agg(F.sum(F.length("needle"))).first()[0] or 0) <= automaton_chars:
+        return _by_automaton([r.needle for r in sought.collect()], texts)
+    return _by_grams(sought, texts)
+
+
+def _by_automaton(sought: list[str], texts: DataFrame) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(sought)
+    schema = T.StructType([T.StructField("needle", T.StringType()), texts.schema["text_id"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for needle in shared.value:
+            automaton.add_word(needle, needle)
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            at, found = [], []
+            for i, hay in enumerate(b.column(1)):
+                if len(automaton) and (text := hay.as_py()):
+                    hits = {needle for _, needle in automaton.iter(text)}
+                    found.extend(hits)
+                    at.extend([i] * len(hits))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(0).take(pa.array(at, pa.int64()))], ["needle", "text_id"])
+
+    return texts.select("text_id", "hay").mapInArrow(run, schema)
+
 
-    Needles and texts meet in an equi-join on the hash of one gram of the needle and `contains` decides on the pairs left.
+def _by_grams(sought: DataFrame, texts: DataFrame) -> DataFrame:
+    """Needles and texts meet in an equi-join on the hash of one gram of the needle and `contains` decides on the pairs left.
     Whether a gram is a key depends on its own characters only, so a text that contains the needle has the key as well and
     no match is lost. The first tier keys only grams that start with a rarer character (about one position in eight);
     needles without such a gram, and short ones, take a denser tier, which is computed only when there are any. Of a
     needle's grams the one that fewest needles have is used, so a phrase common to many needles is no hot key."""
     tier = F.coalesce(*[F.when(F.col("needle").rlike(f"(?s){p}"), F.lit(i)) for i, p in enumerate(ANCHORS)])
-    sought = needles.select("needle").filter(F.length("needle") > 0).distinct().withColumn("tier", tier)
+    sought = sought.withColumn("tier", tier)
     hay = texts.select("text_id", "hay")
     pairs = None
     for i in sorted(sought.agg(F.collect_set("tier")).first()[0]) or [0]:  # at most one number per tier

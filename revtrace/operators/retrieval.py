@@ -2,10 +2,6 @@
 candidates, hints, and matching of reference lists."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,27 +9,22 @@ from pyspark.sql import functions as F
 from ..functions.keys import DOI_PATTERN, doi_in
 from ..functions.quantity import claim_values, old_or_new
 from ..functions.text import content_words, let, strip
-from ..session import BROADCAST_BYTES, broadcast_if_small, steady_unions
+from ..session import broadcast_if_small, steady_unions
 from .documents import contains_pairs
+from .ranking import bm25, vector_rank
 from .records import build_targets
 
 # ---- Fixed values ------------------------------------------------------------------------------------------------------
 STOP_WORDS = ("a an the of in on for and or to with from by at as is are among between during its their after into versus vs").split()
 RRF_K, DEPTH, TOP_EVENTS, MAX_EXACT, MAX_WEAK = 60, 100, 10, 5, 3
 TITLE_ACCEPT, TITLE_POSSIBLE, SHORT_PRECISION = 0.85, 0.6, 0.8
-BM25_K1, BM25_B = 1.2, 0.75
 # ---------------------------------------------------------------------------------------------------------------------------
 _STRINGS = "array<string>"
 
 
-def tokens(c: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 # ---- the index of changes -------------------------------------------------------------------------------------------------
 def build_change_index(events: DataFrame) -> DataFrame:
-    """One row per change with text: author and title in front, cut to 2000; values only in the old text, only in the new
+    """One row per change with text: author and title in front; values only in the old text, only in the new
     one, and in both. Rejected events and events without a tier are left out."""
     e = events.filter(~F.col("review_status").eqNullSafe(F.lit("rejected")) & F.col("fulltext_tier").isNotNull())
     d = e.select("event_id", "paper_id", "preprint_doi", "published_doi", "first_author", "preprint_title", F.posexplode("claim_diffs").alias("claim_diff_idx", "d"))
@@ -53,95 +44,7 @@ def build_change_index(events: DataFrame) -> DataFrame:
         F.col("d.published_text").alias("published_text"), F.col("d.change_description").alias("change_description"))
 
 
-# ---- ranking ----------------------------------------------------------------------------------------------------------------
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    """Best k per query; Spark cuts every partition to k rows per query before the shuffle."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _best_rows(doc_ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int, zero: bool) -> pd.DataFrame:
-    """Rows of a batch that can be among the best k of a query: scores has one row per document and one column per query.
-    Ties with the k-th score stay, the final ranking decides between them."""
-    keep = np.ones(scores.shape, dtype=bool) if zero else scores > 0
-    if len(doc_ids) > k:
-        keep &= scores >= np.partition(scores, len(doc_ids) - k, axis=0)[len(doc_ids) - k]
-    row, col = np.nonzero(keep)
-    return pd.DataFrame({"query_id": qids[col], "doc_id": doc_ids[row], "score": scores[row, col]})
-
-
-def _blocks(queries: DataFrame, row_bytes: int, limit: int) -> list[DataFrame]:
-    """The queries in blocks whose matrix stays within the limit; one block when all fit."""
-    n = max(1, -(-queries.count() * row_bytes // limit))
-    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int = DEPTH, places: int = 6, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """queries(query_id, text), docs(doc_id, text) -> (query_id, doc_id, score, rank) by BM25, k1 = 1.2, b = 0.75.
-
-    Document frequencies of the query terms are one aggregation. The term weights of a block of queries (of a checked size)
-    are then broadcast as a matrix; each document batch is scored with one product and gives up only its best k rows per
-    query, so documents and scored pairs are never shuffled. Further blocks are further passes."""
-    d = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    n_docs, avg_len = d.agg(F.count("*"), F.avg(F.size("t"))).first()
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = broadcast_if_small(q.select("term").distinct(), 64)
-    df = (d.select(F.explode(F.array_distinct("t")).alias("term")).join(vocabulary, "term", "left_semi")
-          .groupBy("term").agg(F.count("*").alias("df")))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
-    out = None
-    for block in _blocks(queries, 8 * 1024, block_bytes):
-        w = weights.join(block.select("query_id"), "query_id", "left_semi").toPandas()
-        qids, terms = pd.unique(w["query_id"]), pd.Index(pd.unique(w["term"]))
-        m = np.zeros((len(terms), len(qids)))
-        m[terms.get_indexer(w["term"]), pd.Index(qids).get_indexer(w["query_id"])] = w["w"]
-        shared = queries.sparkSession.sparkContext.broadcast((qids, terms, m))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids, terms, m = shared.value
-            for pdf in batches:
-                for part in (pdf[i:i + 512] for i in range(0, len(pdf) if len(qids) else 0, 512)):
-                    size = part["t"].map(len).to_numpy()
-                    col = terms.get_indexer(np.concatenate(part["t"].to_list()))
-                    cell = np.repeat(np.arange(len(part)), size)[col >= 0] * len(terms) + col[col >= 0]
-                    tf = np.bincount(cell, minlength=len(part) * len(terms)).reshape(len(part), -1)
-                    length = BM25_K1 * (1 - BM25_B + BM25_B * size[:, None] / avg_len)
-                    scores = np.round((tf * (BM25_K1 + 1) / (tf + length)) @ m, places)
-                    yield _best_rows(part["doc_id"].to_numpy(), scores, qids, k, zero=False)
-
-        got = d.mapInPandas(best, schema)
-        out = got if out is None else out.unionByName(got)
-    return _top(out, k).select("query_id", "doc_id", "score", "rank")
-
-
-def vector_rank(queries: DataFrame, docs: DataFrame, k: int = DEPTH, places: int = 6, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """queries(query_id, embedding), docs(doc_id, embedding) -> exact cosine ranking, by the same batch product as bm25."""
-    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
-    out = None
-    for block in _blocks(queries, 8 * dim, block_bytes):
-        rows = block.select("query_id", "embedding").toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit_rows(rows["embedding"])))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids, m = shared.value
-            for pdf in batches:
-                if not pdf.empty and len(qids):
-                    scores = np.round(_unit_rows(pdf["embedding"]) @ m.T, places)
-                    yield _best_rows(pdf["doc_id"].to_numpy(), scores, qids, k, zero=True)
-
-        got = docs.select("doc_id", "embedding").mapInPandas(best, schema)
-        out = got if out is None else out.unionByName(got)
-    return _top(out, k)
-
-
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-
+# ---- fusion -----------------------------------------------------------------------------------------------------------------
 def rrf(rankings: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of named rankings(query_id, doc_id, rank, score), in the given order of precedence: the sum of
     1 / (k + rank), raw scores kept; ties by first appearance."""

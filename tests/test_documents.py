@@ -43,8 +43,25 @@ def test_contains_pairs_equals_full_comparison(spark):
     needles = {h[i:i + n] for h in hays for i, n in ((5, 20), (0, 9), (3, 4), (2, 1), (7, 40)) if h[i:i + n]} | {"zzzzzzzzzzzzzzzzzz", "y"}
     n = spark.createDataFrame([(x,) for x in needles], "needle string")
     t = spark.createDataFrame(list(enumerate(hays)), "text_id int, hay string")
-    got = {(r.needle, r.text_id) for r in docs.contains_pairs(n, t).collect()}
-    assert got == {(x, i) for x in needles for i, h in enumerate(hays) if x in h}
+    for chars in (0, 1 << 20):  # by grams, by an automaton
+        got = {(r.needle, r.text_id) for r in docs.contains_pairs(n, t, chars).collect()}
+        assert got == {(x, i) for x in needles for i, h in enumerate(hays) if x in h}
+    assert docs.contains_pairs(n.limit(0), t).count() == 0
+
+
+def test_chunks_of_a_long_document(spark):
+    """Linear in the units: 60,000 of them in one document, packed as a plain loop packs them."""
+    sizes = [(i * 37) % 90 for i in range(60_000)]
+    u = spark.createDataFrame([("p", "d", i, "section", "T", "x" * n) for i, n in enumerate(sizes)], "paper_id string, doc_id string, unit_no int, kind string, title string, text string")
+    want, filled, n = [0], 0, 0
+    for s in sizes:
+        s += len("## T\n")
+        if n and filled + s > 500:
+            want.append(0)
+            filled, n = 0, 0
+        filled, n = filled + s, n + 1
+        want[-1] += 1
+    assert [r.n_units for r in docs.chunk_units(u, 500).orderBy("chunk").collect()] == want
 
 
 def test_search_and_sections(spark):
