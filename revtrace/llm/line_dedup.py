@@ -109,19 +109,24 @@ def group_keys(key: Column, counts: Column) -> Column:
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: ids of distinct lines that share a segment and whose letters could be reached by the edits they allow.
-    distinct: id, line, counts."""
+    """(a, b), a < b: ids of distinct lines that share a segment, and under heavy segments the counts of a group of letters too.
+    distinct: id, line."""
     long_ = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= min(FROM_CHARS.values()))
-    filed = written(long_.select("id", F.col("counts").alias("c"), F.explode(segment_keys(F.col("line"), F.col("n"))).alias("key")), "line-filed")
-    asked = written(long_.select(F.col("id").alias("other"), F.col("counts").alias("d"), F.col("n").alias("m"),
-                                 F.explode(probe_keys(F.col("line"), F.col("n"))).alias("key")), "line-asked")
+    filed = long_.select("id", F.explode(segment_keys(F.col("line"), F.col("n"))).alias("key"))
+    asked = long_.select(F.col("id").alias("other"), F.explode(probe_keys(F.col("line"), F.col("n"))).alias("key"))
     heavy = written(filed.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "line-heavy")
-    near = counts_differ(F.col("c"), F.col("d")) <= 2 * edits_of(F.col("m"))
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+    if heavy.isEmpty():
+        return filed.join(asked, "key").where("id <> other").select(*pair).distinct()
     few = broadcast_if_small(heavy, 8, SMALL)
-    light = filed.join(few, "key", "left_anti").join(asked, "key").where((F.col("id") != F.col("other")) & near).select(*pair)
-    split = lambda df, c: df.join(few, "key", "left_semi").withColumn("part", F.explode(group_keys(F.col("key"), F.col(c)))).drop("key")
-    rest = split(filed, "c").join(split(asked, "d"), "part").where((F.col("id") != F.col("other")) & near).select(*pair)
+    light = filed.join(few, "key", "left_anti").join(asked, "key").where("id <> other").select(*pair)
+
+    def split(df: DataFrame, c: str) -> DataFrame:
+        rows = df.join(few, "key", "left_semi").join(distinct.select(F.col("id").alias(c), "line"), c)
+        return rows.select(c, letter_counts(F.col("line")).alias(f"counts_{c}"), "key").withColumn("part", F.explode(group_keys(F.col("key"), F.col(f"counts_{c}")))).drop("key")
+
+    near = counts_differ(F.col("counts_id"), F.col("counts_other")) <= 2 * EDITS
+    rest = split(filed, "id").join(split(asked, "other"), "part").where((F.col("id") != F.col("other")) & near).select(*pair)
     return light.unionByName(rest).distinct()
 
 
@@ -205,6 +210,7 @@ def line_links(distinct: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     allowed = edits_of(F.least(F.char_length("x"), F.char_length("y")))
+    both = both.where(counts_differ(letter_counts(F.col("x")), letter_counts(F.col("y"))) <= 2 * allowed)
     return within(both, EDITS).where(F.col("distance") <= allowed).select("a", "b", "distance")
 
 
@@ -229,7 +235,7 @@ def line_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_lines = lines(docs)
-    distinct = written(all_lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line", letter_counts(F.col("line")).alias("counts")), "lines")
+    distinct = written(all_lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line"), "lines")
     links = written(line_links(distinct), "line-links")
     # the place of each text's first occurrence
     spots = written(_numbered(all_lines.select("doc_id", "text_key", "position", F.xxhash64("line").alias("id")), docs, "position"), "line-spots")
