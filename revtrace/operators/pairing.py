@@ -10,15 +10,15 @@ from ..functions.text import clean_text
 from ..sources.tables import visible
 
 
-def to_preprint_rows(feed: DataFrame, ingested_at: Column) -> DataFrame:
+def to_preprint_rows(feed: DataFrame, ingested_at: Column, keep: list[str] | None = None) -> DataFrame:
     """feed(doi, source, version, published_doi, title, abstract, conclusion, authors, posted_date) -> preprint records;
-    the final flag says that a published DOI is known."""
+    the final flag says that a published DOI is known. keep: further columns that stay."""
     pub = normalize_doi(F.col("published_doi"))
     return feed.select(
         normalize_doi(F.col("doi")).alias("doi"), "source", normalize_version(F.col("version")).alias("version"),
         pub.isNotNull().alias("is_final_preprint"), pub.alias("published_doi"), clean_text(F.col("title")).alias("title"),
         clean_text(F.col("abstract")).alias("abstract"), clean_text(F.col("conclusion")).alias("conclusion"), "authors",
-        parse_date(F.col("posted_date")).alias("posted_date"), ingested_at.alias("ingested_at"))
+        parse_date(F.col("posted_date")).alias("posted_date"), ingested_at.alias("ingested_at"), *(keep or []))
 
 
 def to_published_rows(works: DataFrame, source: Column, ingested_at: Column) -> DataFrame:

@@ -138,6 +138,21 @@ def dispatch_outcomes(spark, sf):
     return dispatch.dispatch_batch(requests(spark, sf), ev, st, none, 300).select("request_no", "outcome")
 
 
+@Q.add("dispatch_stream", "WITH " + DISPATCH_SQL + " SELECT CAST(no AS BIGINT) AS request_no, CASE WHEN last IS NOT NULL AND no > last THEN 'paused_budget_exhausted' ELSE outcome END AS outcome FROM c, k")
+def dispatch_stream(spark, sf):
+    """The same requests in five files, in order, one for each micro-batch."""
+    c = load(spark, sf, "customer")
+    ev = c.filter("c_custkey % 4 = 1").select(F.concat(F.lit("10.1101/"), "c_custkey").alias("preprint_doi"), F.concat(F.lit("10.1016/P"), "c_custkey").alias("published_doi"))
+    st = c.filter("c_custkey % 6 = 2").select(F.concat(F.lit("10.1101/"), "c_custkey").alias("preprint_doi"), F.lit("not_published_yet").alias("status"))
+    r, src, out = requests(spark, sf), folder(spark, "requests"), folder(spark, "outcomes")
+    top = r.agg(F.max("request_no")).first()[0]
+    for i in range(5):
+        r.filter((F.col("request_no") > top * i // 5) & (F.col("request_no") <= top * (i + 1) // 5)).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    dispatch.dispatch_stream(s, ev, st, out, folder(spark, "ckpt"), 300).awaitTermination()
+    return spark.read.option("basePath", out).parquet(out).select("request_no", "outcome")
+
+
 @Q.add("pair_stream", with_views("preprints") + " SELECT row_no, doi FROM preprints WHERE published_doi IS NOT NULL AND is_final_preprint AND version <> 'published' AND record_source IS DISTINCT FROM 'demo_seed'")
 def pair_stream(spark, sf):
     src, out = folder(spark, "preprints"), folder(spark, "pairs")
@@ -177,6 +192,23 @@ def event_tail(spark, sf):
     return events.tail(e, F.col("user_id") == 8, 100).select("event_id", "event_type")
 
 
+# every user is a stream of envelopes; users that are multiples of three go on after event 100
+@Q.add("tail_stream", "SELECT event_id, user_id, event_type FROM events WHERE user_id % 3 <> 0 OR event_id > 100")
+def tail_stream(spark, sf):
+    src, out = folder(spark, "envelopes"), folder(spark, "tail")
+    e = load(spark, sf, "events").select(F.col("event_id").cast("long").alias("event_seq"), F.col("user_id").cast("long").alias("user_id"), "event_type", F.lit("notifier").alias("agent_id"))
+    top = e.agg(F.max("event_seq")).first()[0]
+    for i in range(3):  # in order, the middle part twice
+        part = e.filter((F.col("event_seq") > top * i // 3) & (F.col("event_seq") <= top * (i + 1) // 3)) if i else e.filter(F.col("event_seq") <= top // 3)
+        for _ in range(1 + (i == 1)):
+            part.coalesce(1).write.mode("append").parquet(src)
+    resume = e.filter("user_id % 3 = 0").select("user_id").distinct().withColumn("after_seq", F.lit(100).cast("long"))
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    t = events.tail_stream(s, "user_id", resume)
+    t.writeStream.format("parquet").option("checkpointLocation", folder(spark, "ckpt")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(t.schema).parquet(out).select(F.col("event_seq").alias("event_id"), "user_id", "event_type")
+
+
 # sessions of steps per run; the last step of a run only counts once the watermark has passed it
 @Q.add("stale_runs", """WITH s AS (SELECT user_id AS run_id, ts, event_type, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
   g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts) AS n FROM s), x AS (SELECT run_id, max(ts) AS last_step, arg_max(event_type, ts) AS phase FROM g GROUP BY run_id, n)

@@ -56,22 +56,22 @@ def dispatch_batch(requests: DataFrame, events: DataFrame, analysable: DataFrame
 
 
 def dispatch_stream(requests: DataFrame, events: DataFrame, analysable: DataFrame, out: str, checkpoint: str, budget: int | None):
-    """Outcome log of a stream of requests. Each micro-batch writes its own folder, so a repeated batch replaces itself;
-    the pairs already counted are read back from the earlier folders."""
+    """Outcome log of a stream of requests, a folder for each micro-batch, so a repeated batch replaces itself. Beside it stands the
+    table of the pairs that have used the budget, a version for each batch, made from the version before: at most as many pairs as the
+    budget allows, so a batch costs the same however many came before. Without a budget there is nothing to keep."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = _earlier(spark, out, batch_id)
-        dispatch_batch(batch, events, analysable, earlier, budget).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        used = spark.createDataFrame([], "pair_key string") if batch_id == 0 or budget is None else spark.read.parquet(_used(out, batch_id - 1))
+        dispatch_batch(batch, events, analysable, used, budget).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if budget is not None:
+            new = spark.read.parquet(f"{out}/batch={batch_id}").filter("outcome = 'enqueued'").select("pair_key")
+            used.unionByName(new).distinct().coalesce(1).write.mode("overwrite").parquet(_used(out, batch_id))
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _earlier(spark, out: str, batch_id: int) -> DataFrame:
-    empty = spark.createDataFrame([], "pair_key string")
-    if batch_id == 0:
-        return empty
-    log = spark.read.option("basePath", out).parquet(*[f"{out}/batch={b}" for b in range(batch_id)])
-    return log.filter("outcome = 'enqueued'").select("pair_key").distinct()
+def _used(out: str, batch_id: int) -> str:
+    return f"{out}/_used/version={batch_id}"  # a name that Spark does not take for data of the log
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

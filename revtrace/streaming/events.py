@@ -1,8 +1,12 @@
 """Agent events as a stream of envelopes, resumable reads, and runs that have stopped."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import let, strip
 
@@ -33,12 +37,13 @@ def _envelope(kind: Column, order: Column, payload: Column) -> list[Column]:
             F.col("invocation_id"), _iso(F.col("timestamp")).alias("timestamp"), payload.alias("payload")]
 
 
-def started(events: DataFrame) -> DataFrame:
-    """One started envelope per agent and invocation: the first event seen. On a stream this is keyed state that Spark
-    keeps; in a batch the lowest event number counts."""
+def started(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """One started envelope per agent and invocation: the first event seen. On a stream this is keyed state that Spark keeps until
+    the watermark is `late` past an invocation's first event; in a batch the lowest event number counts."""
     e = _known(events)
     if e.isStreaming:
-        first = e.dropDuplicates(["author", "invocation_id"])
+        timed = e.withColumn("seen_at", F.timestamp_seconds("timestamp")).withWatermark("seen_at", late)
+        first = timed.dropDuplicatesWithinWatermark(["author", "invocation_id"]).drop("seen_at")
     else:
         rest = [c for c in e.columns if c not in ("author", "invocation_id")]
         first = e.groupBy("author", "invocation_id").agg(F.min_by(F.struct(*rest), F.col("event_no")).alias("f")).select("author", "invocation_id", "f.*")
@@ -106,9 +111,9 @@ def details(events: DataFrame) -> DataFrame:
     return bad.unionByName(good)
 
 
-def translate_events(events: DataFrame) -> DataFrame:
+def translate_events(events: DataFrame, late: str = "1 day") -> DataFrame:
     """events(event_no, author, invocation_id, timestamp in seconds, error_code, error_message, parts) -> envelopes."""
-    return started(events).unionByName(details(events))
+    return started(events, late).unionByName(details(events))
 
 
 def tail(events: DataFrame, key: Column, after_seq: int, n: int = 200) -> DataFrame:
@@ -116,6 +121,32 @@ def tail(events: DataFrame, key: Column, after_seq: int, n: int = 200) -> DataFr
     return events.filter(key & (F.col("event_seq") > after_seq)).orderBy("event_seq").limit(n)
 
 
+def tail_stream(events: DataFrame, key: str, resume: DataFrame | None = None) -> DataFrame:
+    """The tail of every stream of envelopes as a streaming query: of each key the envelopes past its resume point, in order, each once.
+
+    resume(key, after_seq): where a subscriber goes on; without a row it starts at the beginning. The cursor of a key is state that Spark
+    keeps in the query's checkpoint, one number, so a restart goes on where it stopped, and an envelope that lands twice is passed once.
+    An envelope that lands behind the cursor is left out, as in the batch read. event_seq must not be null."""
+    if resume is not None:
+        events = events.join(resume.select(key, "after_seq"), key, "left")
+    else:
+        events = events.withColumn("after_seq", F.lit(None).cast("long"))
+    out = events.drop("after_seq").schema
+
+    def advance(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("event_seq", kind="stable").drop_duplicates("event_seq")
+        if state.exists:
+            cursor = state.get[0]
+        else:
+            after = rows["after_seq"].dropna()
+            cursor = int(after.iloc[0]) if len(after) else -(1 << 62)
+        fresh = rows[rows["event_seq"] > cursor]
+        state.update((int(fresh["event_seq"].iloc[-1]) if len(fresh) else cursor,))
+        yield fresh[out.names]
+
+    return events.groupBy(key).applyInPandasWithState(advance, out, "cursor long", "append", GroupStateTimeout.NoTimeout)
+
+
 def stale_runs_stream(steps: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
     """steps(run_id, step_at, phase): a run with no step for the given time can be claimed again. A session window per run
     closes exactly then, so Spark keeps the timers; finished runs are left out."""

@@ -1,4 +1,8 @@
-"""Continuous ingest of feed files into a keyed table."""
+"""Continuous ingest of feed files into a keyed table.
+
+The table is kept in buckets by key. A micro-batch rewrites the buckets that it touches, into a folder of its own, and writes a manifest
+that names the folder of every bucket; the manifest of a batch is made from the one before. So a batch costs what it touches, a repeated
+batch makes the same folder and manifest again, and readers see a whole batch or nothing of it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,26 +11,58 @@ from pyspark.sql import functions as F
 from ..functions.keys import normalize_authors
 from ..operators.pairing import to_preprint_rows
 from ..sources.scans import FEED_SCHEMA, feed_rows
-from ..sources.tables import upsert
 
 KEYS = ["doi", "version"]
+BUCKETS = 16
+PLACE = ["file_time", "file_path", "record_no"]
 
 
-def ingest_stream(spark: SparkSession, path: str, source: str, sink: str, checkpoint: str, multi_line: bool = True):
-    """Feed files -> preprint records, appended per micro-batch under sink/batch=N. A repeated batch replaces its own folder.
-    `latest` gives the keyed table; nothing is rewritten per batch."""
-    pages = spark.readStream.schema(FEED_SCHEMA).option("multiLine", multi_line).option("maxFilesPerTrigger", 64).json(path)
+def ingest_stream(spark: SparkSession, path: str, source: str, sink: str, checkpoint: str, multi_line: bool = True, buckets: int = BUCKETS):
+    """Feed files -> preprint records, the last record of a key wins: by batch, then by the file's time and name, then by its place in the
+    file. Records without DOI are left out. `latest` reads the table."""
+    pages = spark.readStream.schema(FEED_SCHEMA).option("multiLine", multi_line).option("maxFilesPerTrigger", 64).json(path).select(
+        "collection", F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file_path"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = to_preprint_rows(
-            feed_rows(batch, source).withColumn("conclusion", F.lit(None).cast("string")).withColumn("authors", normalize_authors(F.col("authors"))),
-            F.current_timestamp())
-        rows.filter("doi IS NOT NULL").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        records = feed_rows(batch, source, PLACE[:2]).withColumn("conclusion", F.lit(None).cast("string")).withColumn("authors", normalize_authors(F.col("authors")))
+        rows = to_preprint_rows(records, F.current_timestamp(), PLACE).filter("doi IS NOT NULL")
+        upsert_batch(rows, sink, batch_id, buckets)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_batch(rows: DataFrame, sink: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Batches must come in order, a repeated one with the same rows. rows: records with PLACE."""
+    spark = rows.sparkSession
+    values = [c for c in rows.columns if c not in PLACE]
+    last = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*values), F.struct(*PLACE)).alias("r")).select("r.*")
+    fresh = f"{sink}/_fresh/batch={batch_id}"  # names with _ are not taken for data
+    last.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")).write.mode("overwrite").parquet(fresh)
+    new = spark.read.parquet(fresh)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    before = _manifest(spark, sink, batch_id - 1) if batch_id else {}
+    kept = [_folder(sink, before[b], b) for b in touched if b in before]
+    merged = new
+    if kept:
+        old = spark.read.parquet(*kept).withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
+        merged = old.join(new, [F.coalesce(old[k], F.lit("")) == F.coalesce(new[k], F.lit("")) for k in KEYS], "left_anti").unionByName(new)
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/data/batch={batch_id}")
+    rows = [(b, n) for b, n in {**before, **{b: batch_id for b in touched}}.items()]
+    spark.createDataFrame(rows, "bucket int, written long").coalesce(1).write.mode("overwrite").parquet(f"{sink}/_manifest/batch={batch_id}")
+
+
+def _folder(sink: str, batch_id: int, bucket: int) -> str:
+    return f"{sink}/data/batch={batch_id}/bucket={bucket}"
+
+
+def _manifest(spark: SparkSession, sink: str, batch_id: int) -> dict[int, int]:
+    """The batch that wrote each bucket, as of a batch."""
+    return {r.bucket: r.written for r in spark.read.parquet(f"{sink}/_manifest/batch={batch_id}").collect()}
+
+
 def latest(spark: SparkSession, sink: str) -> DataFrame:
-    """The keyed table of an ingest log: the last batch per key wins."""
-    log = spark.read.option("basePath", sink).parquet(sink)
-    return upsert(log.limit(0), log, KEYS, ["batch", "ingested_at"])
+    """The keyed table as of the last whole batch: a read of its buckets."""
+    every = spark.read.parquet(f"{sink}/_manifest")
+    now = _manifest(spark, sink, every.agg(F.max("batch")).first()[0] or 0) if "batch" in every.columns else {}
+    paths = [_folder(sink, n, b) for b, n in now.items()]
+    return spark.read.parquet(*paths) if paths else spark.read.parquet(f"{sink}/_fresh").drop("bucket", "batch")

@@ -29,6 +29,44 @@ def test_ingest_in_two_runs(spark, tmp_path):
     assert r == {"10.1101/a": ("new", True, "v1"), "10.1101/b": ("t", False, "v1")}
 
 
+def test_upsert_by_bucket(spark, tmp_path):
+    """Later places win within a batch, untouched buckets stay where they are, a repeated batch changes nothing."""
+    sink = str(tmp_path / "table")
+    row = lambda doi, title, file, place: (doi, "v1", title, file, place)
+    frame = lambda rows: spark.createDataFrame(rows, "doi string, version string, title string, file_path string, record_no int").withColumn("file_time", F.lit(0).cast("timestamp"))
+    first = frame([row(f"d{i}", "old", "a", i) for i in range(50)])
+    second = frame([row("d7", "late", "b", 2), row("d7", "early", "b", 1), row("d7", "other file", "a", 9), row("new", "x", "b", 3)])
+    read = lambda: sorted((r.doi, r.title) for r in ingest.latest(spark, sink).collect())
+    ingest.upsert_batch(first, sink, 0, 8)
+    assert len(read()) == 50
+    for _ in range(2):
+        ingest.upsert_batch(second, sink, 1, 8)
+        assert read() == sorted([(f"d{i}", "late" if i == 7 else "old") for i in range(50)] + [("new", "x")])
+    ingest.upsert_batch(first.limit(0), sink, 2, 8)
+    assert len(read()) == 51 and len({n for n in ingest._manifest(spark, sink, 2).values()}) == 2
+
+
+def test_tail_goes_on_after_a_restart(spark, tmp_path):
+    src, out, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
+    rows = [(k, n, "agent.completed" if n == 9 else "agent.tool_call", "memory_synthesizer") for k in ("a", "b") for n in range(10)]
+    schema = "drift_event_id string, event_seq long, event_type string, agent_id string"
+    resume = spark.createDataFrame([("b", 4)], "drift_event_id string, after_seq long")
+
+    def run():
+        s = events.tail_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), "drift_event_id", resume)
+        s.writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r.drift_event_id, r.event_seq) for r in spark.read.schema(schema).parquet(out).collect())
+
+    land = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    land([r for r in rows if r[1] < 4])
+    assert run() == [("a", n) for n in range(4)]
+    land([r for r in rows if 2 <= r[1] < 8])  # two of them a second time
+    assert run() == [("a", n) for n in range(8)] + [("b", n) for n in range(5, 8)]
+    land(rows)
+    batch = sorted((k, r.event_seq) for k, after in (("a", -1), ("b", 4)) for r in events.tail(spark.createDataFrame(rows, schema), F.col("drift_event_id") == k, after).collect())
+    assert run() == batch
+
+
 def test_dispatch_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"10.1101/{i % 7}", f"10.1/{i % 7}", i == 9) for i in range(20)]
     req = spark.createDataFrame(rows, "request_no bigint, preprint_doi string, published_doi string, force boolean")
