@@ -6,9 +6,9 @@
 2. Bands of ROWS registers are keys. In each bucket every class meets the bucket's smallest class. Pairs whose sizes or estimated
    similarity rule a link out go; the rest is confirmed on the full sets, and the links give first components.
 3. Only a bucket whose other classes still lie in several components can hide a link. There all pairs across components are compared
-   by sketch, and of those that could be links a spanning forest of the components, strongest estimates first, is confirmed on full
-   sets. A bucket that withheld pairs comes again with the components that were joined, and with four times as many pairs of two
-   components that still stand apart, until it withholds none. So every pair that could be a link between components is confirmed,
+   by sketch. Those that could be links are confirmed on full sets, all of them where they are few for the bucket's members, else a
+   spanning forest of the components, strongest estimates first. A bucket that withheld pairs comes again with the components that were
+   joined, and with many times more pairs of two components that still stand apart, until it withholds none. So every pair that could be a link between components is confirmed,
    and a group of copies costs about a pair for each member, not for each pair.
 
 At similarity 0.75 a band of 4 equal registers has probability 0.316; all 48 miss with probability 1e-8.
@@ -34,7 +34,8 @@ EMPTY = 0xFFFF
 COLLISION = 0.1699 * 2.0 ** -MANTISSA  # chance that registers of different hashes agree, sets of like size
 SIGMAS = 6.0  # of the estimate, below the threshold, that a pair may lie and still be confirmed
 BLOCK = 4096
-MORE = 4  # times as many pairs of two components are confirmed in each further round
+FEW = 8  # pairs for each member, up to which a bucket gives all its pairs at once
+MORE = 16  # times as many pairs of two components are confirmed in each further round
 SMALL = 8 << 20
 
 _SALT = np.array([0x9AE16A3B2F90404F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -233,8 +234,8 @@ def in_blocks(members: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Of the pairs of different components in one bucket that could be links, each pair in the first bucket that it shares: (a, b) of a
-    spanning forest, with `most` also the strongest of each two components; and (key) of the buckets that withhold others. members:
+    """Of the pairs of different components in one bucket that could be links, each pair in the first bucket that it shares: (a, b) of all
+    where they are few, else of a spanning forest, with `most` also the strongest of each two components; and (key) of the buckets that withhold others. members:
     key, rep, component. Buckets stand one after another in a partition, their members by size, so that a member's partners of like
     size follow it."""
     rows = in_blocks(members).join(classes.select("rep", "n_shingles", "regs"), "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
@@ -260,7 +261,9 @@ def across(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
                 strength.append(j[own])
         left, right = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
         strength = np.concatenate(strength) if strength else np.zeros(0)
-        take = forest(bucket[left], component[left], component[right], strength)
+        names, of = np.unique(bucket, return_inverse=True)
+        few = np.bincount(of[left], minlength=len(names)) <= FEW * np.bincount(of, minlength=len(names))
+        take = np.union1d(np.flatnonzero(few[of[left]]), forest(bucket[left], component[left], component[right], strength))
         if most:
             low, high = np.minimum(component[left], component[right]), np.maximum(component[left], component[right])
             _, group = np.unique(np.stack([bucket[left], low, high]), axis=1, return_inverse=True)
