@@ -39,8 +39,7 @@ def feed_pages(spark, sf):
 @Q.add("version_feed", with_views("preprints") + " SELECT doi, substr(version, 2) AS version, lower(published_doi) AS published_doi, type FROM preprints")
 def version_feed(spark, sf):
     path = land(spark, feed_pages(spark, sf).repartition(8), "feed")
-    pages = spark.read.schema(scans.FEED_SCHEMA).json(path)
-    rows = scans.feed_rows(pages, "biorxiv").filter("doi IS NOT NULL").dropDuplicates(["doi", "version"])
+    rows, _ = scans.read_version_feed(spark, path, "biorxiv", multi_line=False)
     return rows.select("doi", "version", "published_doi", "type")
 
 
@@ -147,7 +146,7 @@ def dispatch_stream(spark, sf):
     r, src, out = requests(spark, sf), folder(spark, "requests"), folder(spark, "outcomes")
     top = r.agg(F.max("request_no")).first()[0]
     for i in range(5):
-        r.filter((F.col("request_no") > top * i // 5) & (F.col("request_no") <= top * (i + 1) // 5)).coalesce(1).write.mode("append").parquet(src)
+        r.filter((F.col("request_no") > (top * i // 5 if i else -1)) & (F.col("request_no") <= top * (i + 1) // 5)).coalesce(1).write.mode("append").parquet(src)
     s = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(src)
     dispatch.dispatch_stream(s, ev, st, out, folder(spark, "ckpt"), 300).awaitTermination()
     return spark.read.option("basePath", out).parquet(out).select("request_no", "outcome")

@@ -359,8 +359,10 @@ def find_quotes(spark, sf):
     return docs.find_quotes(quotes, texts).select(F.col("text_id").alias("doc_id"), F.col("quote_id").alias("item_id"))
 
 
-EVIDENCE_SQL = """quotes AS (SELECT source AS paper_id, CAST(doc_id AS VARCHAR) AS doc_id, 0 AS k, substr(text, 5 + doc_id % 40, 90) AS quote FROM documents
-  UNION ALL SELECT d.source, CAST(d.doc_id AS VARCHAR), 1, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"""
+# each document's own quote from a place anywhere in its text, and one of all benchmark passages
+PLACE = "CAST(1 + doc_id * 7919 % greatest(1, length(text) - 90) AS INT)"
+EVIDENCE_SQL = f"""quotes AS (SELECT source AS paper_id, CAST(doc_id AS VARCHAR) AS doc_id, 0 AS k, substr(text, {PLACE}, 90) AS quote FROM documents
+  UNION ALL SELECT d.source, CAST(d.doc_id AS VARCHAR), 1, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 VERIFIED_SQL = "WITH " + UNITS_SQL + ", " + EVIDENCE_SQL + f""", f AS (SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY unit_no) AS full_text FROM blocks GROUP BY doc_id),
   fn AS (SELECT doc_id, {norm_sql('full_text')} AS dn, {squash_sql('full_text')} AS ds FROM f),
   un AS (SELECT doc_id, unit_no, shown, {norm_sql('text')} AS t FROM blocks),
@@ -372,9 +374,9 @@ VERIFIED_SQL = "WITH " + UNITS_SQL + ", " + EVIDENCE_SQL + f""", f AS (SELECT do
 def evidence(spark, sf):
     d = load(spark, sf, "documents")
     own = d.select(F.col("source").alias("paper_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("k"),
-                   F.expr("substring(text, 5 + doc_id % 40, 90)").alias("quote"))
+                   F.expr(f"substring(text, {PLACE}, 90)").alias("quote"))
     b = load(spark, sf, "benchmark").withColumnRenamed("text", "quote")
-    other = d.join(b, b.item_id == d.doc_id % 40).select(
+    other = d.join(b, b.item_id == d.doc_id % b.count()).select(
         F.col("source").alias("paper_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("k"), "quote")
     return own.unionByName(other)
 
@@ -387,11 +389,11 @@ def quote_verification(spark, sf):
 
 
 @Q.add("flat_quote_verification", with_views("works") + f""" SELECT w.work_id, length({norm_sql('b.text')}) >= 15 AND (contains({norm_sql('w.text')}, {norm_sql('b.text')})
-   OR contains({squash_sql('w.text')}, {squash_sql('b.text')})) AS verified FROM works w JOIN benchmark b ON b.item_id = w.work_id % 40""")
+   OR contains({squash_sql('w.text')}, {squash_sql('b.text')})) AS verified FROM works w JOIN benchmark b ON b.item_id = w.work_id % (SELECT count(*) FROM benchmark)""")
 def flat_quote_verification(spark, sf):
     b = load(spark, sf, "benchmark")
     w = view(spark, sf, "works")
-    quotes = w.join(b, b.item_id == w.work_id % 40).select("work_id", b.text.alias("quote"))
+    quotes = w.join(b, b.item_id == w.work_id % b.count()).select("work_id", b.text.alias("quote"))
     return docs.verify_flat_quotes(quotes, w.select("work_id", "text")).select("work_id", "verified")
 
 
