@@ -181,7 +181,7 @@ def screening_counts(spark, sf):
 def candidate_flags(spark, sf):
     cites = written(view(spark, sf, "cites"), "cites")
     hits = cited_pairs(cites).withColumn("has_text", F.lit(True))
-    c, _ = ci.screen_citers(hits, pointed(spark, sf), None, exact_targets(spark, sf), refs(cites))
+    c, _ = ci.screen_citers(hits, pointed(spark, sf), None, written(exact_targets(spark, sf), "targets"), refs(cites))
     return c.select(*ci.PAIR, F.array_contains("flags", "F1").alias("f1"), "reference_matched")
 
 
