@@ -313,6 +313,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labelled = rest.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         mixed = written(labelled.join(mixed, "key"), "mixed")
+        if mixed.isEmpty():
+            break
         out = written(across(mixed, classes, most), "near-forest")
         pairs = written(out.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
