@@ -20,6 +20,7 @@ INPUT_SUMMARIES = {
     "memory_synthesizer": "Distilling drift event into reusable pattern.",
 }
 SEARCH_TOOL = "search_drift_patterns"
+STREAMS = 1 << 12  # groups that the keys of tail_stream share
 # -------------------------------------------------------------------------------------------------------------------
 PART_TYPE = ("array<struct<call_name:string,call_args:string,response_name:string,response_text:string,text:string>>")
 
@@ -126,25 +127,31 @@ def tail_stream(events: DataFrame, key: str, resume: DataFrame | None = None) ->
 
     resume(key, after_seq): where a subscriber goes on; without a row it starts at the beginning. The cursor of a key is state that Spark
     keeps in the query's checkpoint, one number, so a restart goes on where it stopped, and an envelope that lands twice is passed once.
-    An envelope that lands behind the cursor is left out, as in the batch read. event_seq must not be null."""
+    An envelope that lands behind the cursor is left out, as in the batch read. event_seq must not be null.
+
+    Keys share STREAMS groups by hash, because a call for each key and batch costs more than its rows; a group's state holds the cursors of
+    its keys (null keys have a group of their own)."""
+    start = F.lit(-(1 << 62)).cast("long")
     if resume is not None:
-        events = events.join(resume.select(key, "after_seq"), key, "left")
+        events = events.join(resume.select(key, "after_seq"), key, "left").withColumn("after_seq", F.coalesce("after_seq", start))
     else:
-        events = events.withColumn("after_seq", F.lit(None).cast("long"))
+        events = events.withColumn("after_seq", start)
     out = events.drop("after_seq").schema
+    events = events.withColumn("_name", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn(
+        "_group", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(STREAMS))).cast("int"))
 
     def advance(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("event_seq", kind="stable").drop_duplicates("event_seq")
-        if state.exists:
-            cursor = state.get[0]
-        else:
-            after = rows["after_seq"].dropna()
-            cursor = int(after.iloc[0]) if len(after) else -(1 << 62)
-        fresh = rows[rows["event_seq"] > cursor]
-        state.update((int(fresh["event_seq"].iloc[-1]) if len(fresh) else cursor,))
+        rows = pd.concat(list(frames)).sort_values(["_name", "event_seq"], kind="stable").drop_duplicates(["_name", "event_seq"])
+        cursors = dict(zip(*state.get)) if state.exists else {}
+        after = rows.drop_duplicates("_name")
+        cursors = {**dict(zip(after["_name"].tolist(), after["after_seq"].tolist())), **cursors}
+        fresh = rows[rows["event_seq"] > rows["_name"].map(cursors)]
+        last = fresh.drop_duplicates("_name", keep="last")
+        cursors.update(zip(last["_name"].tolist(), last["event_seq"].tolist()))
+        state.update((list(cursors), [int(c) for c in cursors.values()]))
         yield fresh[out.names]
 
-    return events.groupBy(key).applyInPandasWithState(advance, out, "cursor long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("_group").applyInPandasWithState(advance, out, "names array<string>, cursors array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stale_runs_stream(steps: DataFrame, minutes: int = 30, late: str = "10 minutes") -> DataFrame:

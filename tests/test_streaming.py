@@ -102,3 +102,19 @@ def test_event_translation_stream_equals_batch(spark, tmp_path):
     t = events.translate_events(s)
     t.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out).awaitTermination()
     assert sorted((r.event_no, r.event_type, r.payload) for r in spark.read.parquet(out).collect()) == batch
+
+
+def test_tail_of_many_streams_in_one_group(spark, tmp_path, monkeypatch):
+    """Streams that share a group keep cursors of their own, null keys included; large numbers stay whole beside streams without a resume point."""
+    monkeypatch.setattr(events, "STREAMS", 1)
+    src, out, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
+    schema, top = "user long, event_seq long", (1 << 60) + 1
+    resume = spark.createDataFrame([(k, top + k) for k in range(0, 20, 2)], "user long, after_seq long")
+    rows = [(k, top + n) for k in [*range(20), None] for n in range(30)]
+    for part in ([r for r in rows if r[1] < top + 12], [r for r in rows if 8 <= r[1] - top < 20], rows):
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(src)
+        s = events.tail_stream(spark.readStream.schema(schema).parquet(src), "user", resume)
+        assert "_group" not in s.columns
+        s.writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted(((r.user if r.user is not None else -1), r.event_seq) for r in spark.read.schema(schema).parquet(out).collect())
+    assert got == sorted(((-1 if k is None else k), n) for k, n in rows if k is None or k % 2 or n > top + k)
