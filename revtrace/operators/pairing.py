@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import normalize_doi, normalize_version, parse_date, version_num
 from ..functions.text import clean_text
+from ..session import dealt
 from ..sources.tables import visible
 
 
@@ -136,8 +137,9 @@ def event_bundle(events: DataFrame, claims: DataFrame, citations: DataFrame, not
 def event_parts(events: DataFrame, citations: DataFrame, notices: DataFrame, runs: DataFrame,
                 include_demo: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows behind the counts of event_bundle: visible citations, notices and runs of the visible events, with all their columns."""
-    ids = visible(events, include_demo).select(F.col("event_id").alias("drift_event_id")).distinct()
-    return tuple(visible(df, include_demo).join(ids, "drift_event_id", "left_semi") for df in (citations, notices, runs))
+    ids = visible(events, include_demo).select(F.col("event_id").alias("drift_event_id"))
+    parts = dealt("drift_event_id", ids, *(visible(df, include_demo) for df in (citations, notices, runs)))
+    return tuple(part.join(parts[0], "drift_event_id", "left_semi") for part in parts[1:])
 
 
 def citation_detail(citations: DataFrame, events: DataFrame) -> DataFrame:
