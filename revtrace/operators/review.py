@@ -319,9 +319,17 @@ def render_notices(citations: DataFrame, events: DataFrame, drafts: DataFrame |
     citing_paper_title, citing_paper_doi, citing_paper_authors, cites, role, relayed_by, sentence, sentence_verified),
     events(event_id, preprint_doi, published_doi, first_author, drift_summary, claim_diffs). A draft(affected_citation_id,
     subject, body) is kept only when it holds both quoted versions; otherwise the fixed wording is used."""
+    return _worded(_with_change(citations, events), drafts, sender).drop("_row")
+
+
+def _with_change(citations: DataFrame, events: DataFrame) -> DataFrame:
+    """What a notice is filled with; the texts are not written out yet, so that little is shuffled."""
     e = events.select(F.col("event_id").alias("drift_event_id"), "preprint_doi", "published_doi", "first_author", "drift_summary", "claim_diffs")
-    d = citations.join(e, "drift_event_id").withColumn("_diff", F.get("claim_diffs", F.col("claim_diff_idx")))
+    return citations.join(e, "drift_event_id").withColumn("_diff", F.get("claim_diffs", F.col("claim_diff_idx"))).drop("claim_diffs").withColumn("_row", F.lit(None))
+
 
+def _worded(d: DataFrame, drafts: DataFrame | None, sender: str) -> DataFrame:
+    """Subject and body of the rows of _with_change; the column _row is passed on."""
     def text(name: str, otherwise: Column | str = "") -> Column:
         return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
 
@@ -345,24 +353,26 @@ def render_notices(citations: DataFrame, events: DataFrame, drafts: DataFrame |
     places["lead"] = pick(LEADS)
     out = d.withColumn("_subject", pick(SUBJECTS)).withColumn("_body", _fill(BODY, places))
     if drafts is None:
-        return out.select("affected_citation_id", F.col("_subject").alias("subject"), F.col("_body").alias("body"), F.lit(False).alias("from_draft"))
+        return out.select("affected_citation_id", "_row", F.col("_subject").alias("subject"), F.col("_body").alias("body"), F.lit(False).alias("from_draft"))
     bare = lambda c: F.regexp_replace(F.lower(c), r"(?U)\W+", "")
     dr = drafts.select("affected_citation_id", F.trim("subject").alias("_ds"), F.trim("body").alias("_db"))
     holds = lambda name: F.contains(bare(F.col("_db")), bare(text(name)))
     use = F.coalesce((F.col("_ds") != "") & (F.col("_db") != "") & holds("_diff.preprint_text") & holds("_diff.published_text"), F.lit(False))
     return out.join(dr, "affected_citation_id", "left").select(
-        "affected_citation_id", F.when(use, F.col("_ds")).otherwise(F.col("_subject")).alias("subject"),
+        "affected_citation_id", "_row", F.when(use, F.col("_ds")).otherwise(F.col("_subject")).alias("subject"),
         F.when(use, F.col("_db")).otherwise(F.col("_body")).alias("body"), use.alias("from_draft"))
 
 
 def build_notifications(citations: DataFrame, events: DataFrame, log: DataFrame, recipient: str, drafts: DataFrame | None = None,
                         sender: str = "revtrace") -> DataFrame:
     """Log rows for the gated citations: a fixed recipient, whom the notice is meant for, and status drafted."""
-    go = pending_notifications(citations, events, log).filter("gate_reason IS NULL").drop("gate_reason")
-    notices = render_notices(go, events, drafts, sender)
+    due = citations.filter(needs_notification(F.col("cites")) & ~F.col("review_status").eqNullSafe(F.lit("rejected")))  # the part of the gate that needs no join
+    go = pending_notifications(due, events, log).filter("gate_reason IS NULL").drop("gate_reason")
     meant = F.struct("citing_paper_title", "citing_paper_doi", F.transform("citing_paper_authors", lambda a: a["name"]).alias("authors"), "relayed_by")
-    return go.join(notices, "affected_citation_id").select(
-        "affected_citation_id", "drift_event_id", F.col("work_id").alias("citing_work_id"), "cites", meant.alias("intended_for"),
+    row = F.struct("drift_event_id", F.col("work_id").alias("citing_work_id"), "cites", meant.alias("intended_for"))
+    both = _with_change(go, events).drop("_row").join(go.select("affected_citation_id", row.alias("_row")), "affected_citation_id")
+    return _worded(both, drafts, sender).select(
+        "affected_citation_id", "_row.*",
         F.lit(recipient).alias("recipient_email"), "subject", "body", F.lit("drafted").alias("status"), F.lit("draft_only").alias("delivery"))
 
 
