@@ -7,9 +7,10 @@
    similarity rule a link out go; the rest is confirmed on the full sets, and the links give first components.
 3. Only a bucket whose other classes still lie in several components can hide a link. There all pairs across components are compared
    by sketch. Those that could be links are confirmed on full sets, all of them where they are few for the bucket's members, else a
-   spanning forest of the components, strongest estimates first. A bucket that withheld pairs comes again with the components that were
-   joined, and with many times more pairs of two components that still stand apart, until it withholds none. So every pair that could be a link between components is confirmed,
-   and a group of copies costs about a pair for each member, not for each pair.
+   spanning forest of the components, strongest estimates first.
+4. A bucket that withheld pairs and still has several components comes again with the full sets of its members, in blocks of bounded
+   size. There every pair across components that could be a link is confirmed where the sets stand, and only links that join two
+   components leave the task. So no such pair is left out, and a group of near copies makes at most a row for each member and bucket.
 
 At similarity 0.75 a band of 4 equal registers has probability 0.316; all 48 miss with probability 1e-8.
 """
@@ -35,7 +36,8 @@ COLLISION = 0.1699 * 2.0 ** -MANTISSA  # chance that registers of different hash
 SIGMAS = 6.0  # of the estimate, below the threshold, that a pair may lie and still be confirmed
 BLOCK = 4096
 FEW = 8  # pairs for each member, up to which a bucket gives all its pairs at once
-MORE = 16  # times as many pairs of two components are confirmed in each further round
+BLOCK_SHINGLES = 2 << 20  # of the sets that a block holds
+GATHER = 1 << 22  # shingles that are looked up at once
 SMALL = 8 << 20
 
 _SALT = np.array([0x9AE16A3B2F90404F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -212,36 +214,56 @@ def forest(bucket: np.ndarray, x: np.ndarray, y: np.ndarray, strength: np.ndarra
     return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
 
 
-def strongest(group: np.ndarray, strength: np.ndarray, most: int) -> np.ndarray:
-    """Numbers of the `most` strongest entries of each group."""
-    order = np.lexsort((-strength, group))
-    start = np.flatnonzero(np.diff(group[order], prepend=~group[order[:1]])) if len(order) else order
-    place = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
-    return order[place < most]
-
-
-def in_blocks(members: DataFrame) -> DataFrame:
-    """members(key, rep, component) with bucket and home. A bucket over BLOCK members is dealt to blocks; the members of its most frequent
-    component, which need not meet each other, stand in one block each, the others in all."""
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("most")).where(F.col("n") > BLOCK)
-    large = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    places = F.when(F.col("component") == F.col("most"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    split = large.withColumn("block", F.explode(places)).select(
-        "key", "rep", "component", F.xxhash64("key", "block").alias("bucket"), (F.col("block") == F.col("own")).alias("home"))
-    whole = members.join(sizes, "key", "left_anti").select("key", "rep", "component", F.col("key").alias("bucket"), F.lit(True).alias("home"))
+def in_blocks(members: DataFrame, weight: str = "0") -> DataFrame:
+    """members(key, rep, component, ...) with bucket and side. A key over BLOCK members (or BLOCK_SHINGLES of weight) is dealt to blocks, those
+    of its most frequent component, which need not meet each other, apart from the others. A block of that component meets each block of
+    the others, and these meet each other, in a bucket of two sides; members meet the other side only. Side -1 meets all of its bucket."""
+    sums = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.expr(weight)).alias("w")).groupBy("key").agg(
+        F.max_by(F.struct("component", "n", "w"), F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    needed = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES))
+    sizes = sums.where((F.col("n") > BLOCK) | (F.col("w") > BLOCK_SHINGLES)).select("key", F.col("most.component").alias("most"), needed(
+        F.col("most.n"), F.col("most.w")).alias("firsts"), needed(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("others"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    place = lambda kind, x, y, side: F.struct(F.xxhash64("key", F.lit(kind), x, y).alias("bucket"), side.cast("int").alias("side"))
+    large = members.join(sizes, "key").withColumn("first", F.col("component") == F.col("most"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("first"), F.col("firsts")).otherwise(F.col("others"))))
+    own = F.col("own")
+    among = F.transform(upto("others"), lambda j: place(1, F.least(own, j), F.greatest(own, j), F.when(own == j, -1).when(own < j, 0).otherwise(1)))
+    places = F.when(F.col("first"), F.transform(upto("others"), lambda j: place(0, own, j, F.lit(0)))).otherwise(
+        F.concat(F.transform(upto("firsts"), lambda i: place(0, i, own, F.lit(1))), among))
+    split = large.withColumn("place", F.explode(places)).select(*members.columns, "place.bucket", "place.side")
+    whole = members.join(sizes, "key", "left_anti").select(*members.columns, F.col("key").alias("bucket"), F.lit(-1).alias("side"))
     return whole.unionByName(split)
 
 
-def across(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, a bucket never cut in two. Buckets stand one after another."""
+    rest = None  # the last bucket of a batch may go on in the next
+    for b in batches:
+        table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        last = np.searchsorted(table.column("bucket").to_numpy(), table.column("bucket")[-1].as_py()) if len(table) else 0
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def in_first_bucket(packed: np.ndarray, x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether key is that of the first band which members x and y share."""
+    shared = (packed[x] == packed[y]) & (packed[x] != np.uint64((1 << 64) - 1))
+    first = shared.argmax(1)
+    return _keys(packed[x, first], first).view(np.int64) == key
+
+
+def across(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs of different components in one bucket that could be links, each pair in the first bucket that it shares: (a, b) of all
-    where they are few, else of a spanning forest, with `most` also the strongest of each two components; and (key) of the buckets that withhold others. members:
-    key, rep, component. Buckets stand one after another in a partition, their members by size, so that a member's partners of like
-    size follow it."""
+    where they are few, else of a spanning forest; and (key) of the buckets that withhold others. members: key, rep, component. Buckets
+    stand one after another in a partition, their members by size, so that a member's partners of like size follow it."""
     rows = in_blocks(members).join(classes.select("rep", "n_shingles", "regs"), "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        bucket, key, home, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "key", "home", "component", "rep", "n_shingles"))
+        bucket, key, side, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "key", "side", "component", "rep", "n_shingles"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         packed = np.ascontiguousarray(regs).view(np.uint64).reshape(-1, BANDS)
         left, right, strength, live, lag = [], [], [], np.arange(len(rep)), 0
@@ -249,13 +271,11 @@ def across(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
             lag += 1
             live = live[live + lag < len(rep)]
             live = live[(bucket[live] == bucket[live + lag]) & (100 * n[live] >= 75 * n[live + lag])]
-            test = live[(component[live] != component[live + lag]) & (home[live] | home[live + lag])]
+            test = live[(component[live] != component[live + lag]) & ((side[live] < 0) | (side[live] != side[live + lag]))]
             for part in (test[k:k + 4096] for k in range(0, len(test), 4096)):
                 near, j = may_link(regs[part], regs[part + lag], n[part], n[part + lag])
                 ok, j = part[near], j[near]
-                shared = (packed[ok] == packed[ok + lag]) & (packed[ok] != np.uint64((1 << 64) - 1))
-                first = shared.argmax(1)
-                own = _keys(packed[ok, first], first).view(np.int64) == key[ok]
+                own = in_first_bucket(packed, ok, ok + lag, key[ok])
                 left.append(ok[own])
                 right.append(ok[own] + lag)
                 strength.append(j[own])
@@ -264,10 +284,6 @@ def across(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
         names, of = np.unique(bucket, return_inverse=True)
         few = np.bincount(of[left], minlength=len(names)) <= FEW * np.bincount(of, minlength=len(names))
         take = np.union1d(np.flatnonzero(few[of[left]]), forest(bucket[left], component[left], component[right], strength))
-        if most:
-            low, high = np.minimum(component[left], component[right]), np.maximum(component[left], component[right])
-            _, group = np.unique(np.stack([bucket[left], low, high]), axis=1, return_inverse=True)
-            take = np.union1d(take, strongest(group.reshape(-1), strength, most))
         held = np.ones(len(left), bool)
         held[take] = False
         more = np.unique(key[left[held]])
@@ -277,19 +293,78 @@ def across(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
                                            pa.array([*[None] * len(a), *more.tolist()], pa.int64())], ["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the last bucket of a batch may go on in the next
-        for b in batches:
-            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            last = np.searchsorted(table.column("bucket").to_numpy(), table.column("bucket")[-1].as_py()) if len(table) else 0
-            if last:
-                yield compare(table.slice(0, last))
-            rest = table.slice(last)
-        if rest is not None and len(rest):
-            yield compare(rest)
+        for table in whole_buckets(batches):
+            yield compare(table)
 
     return rows.mapInArrow(run, "a long, b long, key long")
 
 
+def joining(key: int, component: np.ndarray, side: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (numbers of members of one bucket, in order of n) that join its components as all links of the bucket do."""
+    packed = np.ascontiguousarray(regs).view(np.uint64).reshape(-1, BANDS)
+    sizes = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    label = np.unique(component, return_inverse=True)[1]
+    found = []
+    for x in range(len(n)):
+        y = np.arange(x + 1, np.searchsorted(75 * n, 100 * n[x], "right"))
+        y = y[(label[y] != label[x]) & ((side[x] < 0) | (side[y] != side[x]))]
+        y = y[may_link(regs[y], regs[x], n[y], n[x])[0]]
+        y = y[in_first_bucket(packed, np.full(len(y), x), y, np.full(len(y), key))]
+        if not len(y):
+            continue
+        mark[number[start[x]:start[x + 1]]] = True
+        common, total = np.zeros(len(y), np.int64), np.cumsum(sizes[y])
+        for part in np.split(np.arange(len(y)), np.searchsorted(total, np.arange(GATHER, total[-1], GATHER))):
+            ends = np.cumsum(sizes[y[part]])
+            begins = ends - sizes[y[part]]
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[y[part]] - begins, sizes[y[part]])
+            hits = np.concatenate([[0], np.cumsum(mark[number[at]])])
+            common[part] = hits[ends] - hits[begins]
+        mark[number[start[x]:start[x + 1]]] = False
+        y = y[100 * common >= 75 * (sizes[x] + sizes[y] - common)]
+        labels, one = np.unique(label[y], return_index=True)
+        found += [(x, int(k)) for k in y[one]]
+        label[np.isin(label, labels)] = label[x]
+    return found
+
+
+def linked_within(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between the components of each bucket, confirmed on full sets in its task, at most a row for each member of a bucket.
+    members: key, rep, component."""
+    ids = written(members.select(F.col("rep").alias("id")).distinct(), "near-ids")
+    sets = full_sets(docs, ids).dropDuplicates(["id"]).withColumnRenamed("id", "rep")
+    sets = written(sets.join(classes.select("rep", "regs"), "rep"), "near-sets")
+    sized = members.join(classes.select("rep", "n_shingles"), "rep").select("key", "rep", "component", "n_shingles")
+    rows = in_blocks(sized, "n_shingles").join(sets, "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches):
+            bucket, key, side, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "key", "side", "component", "rep", "n_shingles"))
+            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            cut = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1], append=~bucket[-1:]))
+            for p, q in zip(cut, cut[1:]):
+                sets = [s.values.to_numpy() for s in table.column("set")[p:q]]
+                found = np.array(joining(key[p], component[p:q], side[p:q], n[p:q], regs[p:q], sets), np.int64).reshape(-1, 2) + p
+                yield pa.RecordBatch.from_arrays([pa.array(rep[found[:, 0]]), pa.array(rep[found[:, 1]])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def mixed_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows(key, rep) of the buckets with several components, with the component. found: (node, component)."""
+    labelled = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return written(labelled.join(mixed, "key"), "mixed")
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) with further links (a, b)."""
+    return found if links.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -307,24 +382,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(keys.join(shared.select("key", "low", "n"), "key").where("rep <> low"), "buckets")
     star = written(members.select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "near-star")
     last = components(written(confirmed(written(likely(star, classes), "pairs"), docs), "links"))
-    rest, tested, most = members.where("n > 2").select("key", "rep"), star, 0  # the smallest of a bucket has met all others
-    while True:
-        found = last.withColumnRenamed("node", "rep")
-        labelled = rest.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        mixed = written(labelled.join(mixed, "key"), "mixed")
-        if mixed.isEmpty():
-            break
-        out = written(across(mixed, classes, most), "near-forest")
-        pairs = written(out.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            extra = written(confirmed(pairs, docs), "links")
-            if not extra.isEmpty():
-                last = components(last.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
+    mixed = mixed_buckets(members.where("n > 2").select("key", "rep"), last)  # the smallest of a bucket has met all others
+    if not mixed.isEmpty():
+        out = written(across(mixed, classes), "near-forest")
+        pairs = written(out.where("a is not null").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+        last = joined(last, written(confirmed(pairs, docs), "links"))
         more = out.where("key is not null").select("key").distinct()
-        if more.isEmpty():
-            break
-        rest, tested, most = written(mixed.select("key", "rep").join(more, "key", "left_semi"), "buckets"), tested.unionByName(pairs), max(1, most * MORE)
+        mixed = mixed_buckets(mixed.select("key", "rep").join(more, "key", "left_semi"), last)
+        if not mixed.isEmpty():
+            last = joined(last, written(linked_within(mixed, classes, docs).distinct(), "links"))
     of_class = classes.select("set_a", "set_b", "rep").join(last.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     found = named.join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")

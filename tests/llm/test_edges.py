@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import pytest
@@ -341,3 +342,46 @@ def test_near_copies_that_fall_short(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
     assert got == components_by_force(rows)
+
+
+def test_pairs_that_fall_short_do_not_become_rows(spark, monkeypatch):
+    """A group of texts that all nearly link: the pairs handed on grow with the members of buckets, not with the pairs of the group."""
+    monkeypatch.setattr(near_dedup, "FEW", 1)
+    plain, handed = near_dedup.confirmed, []
+
+    def counted(pairs, docs):
+        handed.append(pairs.count())
+        return plain(pairs, docs)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(400), 8):
+            w[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[i][1].replace(f"w{i * 9 + 3} ", "", 1)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == components_by_force(rows)
+    assert sum(handed) < 6000
+
+
+def test_joining_a_bucket_in_blocks(spark, monkeypatch):
+    """Every pair of a key meets in one bucket of blocks, but for pairs of its most frequent component."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rows = [(1, i, min(i, 12), 10) for i in range(30)] + [(2, i, i, 10) for i in range(4)] + [(3, i, i, 1 << 20) for i in range(4)]
+    members = spark.createDataFrame(rows, "key long, rep long, component long, n_shingles long")
+    found = collections.defaultdict(list)
+    for r in near_dedup.in_blocks(members, "n_shingles").collect():
+        found[r.key, r.bucket].append(r)
+    met = collections.Counter()
+    for (key, _), own in found.items():
+        assert len(own) < 30
+        for i, x in enumerate(own):
+            for y in own[i + 1:]:
+                if x.component != y.component and (x.side < 0 or x.side != y.side):
+                    met[key, min(x.rep, y.rep), max(x.rep, y.rep)] += 1
+    want = {(k, i, j) for k, i, a, _ in rows for q, j, b, _ in rows if k == q and i < j and a != b}
+    assert set(met) == want and set(met.values()) == {1}
