@@ -46,6 +46,24 @@ def test_upsert_by_bucket(spark, tmp_path):
     assert len(read()) == 51 and len({n for n in ingest._manifest(spark, sink, 2).values()}) == 2
 
 
+def test_ingest_writes_rows_a_few_times(spark, tmp_path, monkeypatch):
+    """Batches that touch every bucket write their own rows, not the whole table again; parts become one, and the last rows stay."""
+    monkeypatch.setattr(ingest, "PARTS", 2)
+    sink, want = str(tmp_path / "table"), {}
+    schema = "doi string, version string, title string, file_path string, record_no int"
+    for n in range(7):
+        rows = [(f"d{i}", None if i % 3 else "v1", f"t{n}", "a", i) for i in range(n * 10, n * 10 + 40)]
+        want |= {r[0]: (r[0], r[1], r[2]) for r in rows}
+        batch = spark.createDataFrame(rows, schema).withColumn("file_time", F.lit(0).cast("timestamp"))
+        for _ in range(1 + (n == 5)):
+            ingest.upsert_batch(batch, sink, n, 2)
+        got = [(r.doi, r.version, r.title) for r in ingest.latest(spark, sink).collect()]
+        assert sorted(got, key=str) == sorted(want.values(), key=str)
+        assert spark.read.parquet(f"{sink}/data/batch={n}").count() == 40
+    assert {len(parts) for parts in ingest._manifest(spark, sink, 6).values()} == {3}
+    assert spark.read.parquet(f"{sink}/merged/batch=3").count() == 70  # levels meet: batches 0 to 3
+
+
 def test_tail_goes_on_after_a_restart(spark, tmp_path):
     src, out, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
     rows = [(k, n, "agent.completed" if n == 9 else "agent.tool_call", "memory_synthesizer") for k in ("a", "b") for n in range(10)]
