@@ -42,16 +42,16 @@ def lines(docs: DataFrame) -> DataFrame:
     return cut.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
-def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
+def _segment(length: Column, edits: int | Column, i: int | Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0) of a line; the last ones are a character longer where it does not divide."""
-    parts = edits + 1
+    parts, i = F.lit(edits) + 1, F.lit(i)
     base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
     shorter = parts - longer
-    start = base * i + F.greatest(F.lit(0), F.lit(i) - shorter) + 1
-    return start, base + F.when(F.lit(i) >= shorter, 1).otherwise(0)
+    start = base * i + F.greatest(F.lit(0), i - shorter) + 1
+    return start, base + F.when(i >= shorter, 1).otherwise(0)
 
 
-def _key(line: Column, length: Column, i: int, at: Column, size: Column) -> Column:
+def _key(line: Column, length: Column, i: int | Column, at: Column, size: Column) -> Column:
     """Hash of a segment's length class, number and content."""
     return F.xxhash64(length, F.lit(i), F.substring(line, at, size))
 
@@ -65,20 +65,31 @@ def segment_keys(line: Column, n: Column) -> Column:
     return out
 
 
-def probe_keys(line: Column, n: Column) -> Column:
-    """Keys of the substrings at which segments of a line of up to its edits fewer characters can stand."""
+def probes(longest: int) -> Column:
+    """What a line that allows `longest` edits asks for, as structs: segment i of lines that allow `edits` and have `shorter` characters
+    less, `off` characters from where it stands in them."""
     found = []
-    for edits, least in FROM_CHARS.items():
-        most = FROM_CHARS.get(edits + 1)
+    for edits in (e for e in FROM_CHARS if e <= longest):
         for shorter in range(edits + 1):
-            length = n - shorter
-            fits = (length >= least) & (length < most) if most else length >= least
-            for i in range(edits + 1):
-                start, size = _segment(length, edits, i)
-                for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                    at = start + off
-                    found.append(F.when(fits & (at >= 1) & (at + size - 1 <= n), _key(line, length, i, at, size)))
-    return F.array_compact(F.array(*found))
+            if edits == longest or FROM_CHARS[longest] - shorter < FROM_CHARS[edits + 1]:
+                for i in range(edits + 1):
+                    found += [(edits, shorter, i, off) for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)]
+    return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("edits", "shorter", "i", "off"), x)]) for x in found])
+
+
+def asked_keys(rows: DataFrame, *names: str) -> DataFrame:
+    """rows(line, n) to the columns of that name, and key: of the substrings at which segments of a line of up to its edits fewer
+    characters can stand. One small expression for all, on a row for each: long ones are not compiled."""
+    wanted = F.lit(None)
+    for edits, least in sorted(FROM_CHARS.items()):
+        wanted = F.when(F.col("n") >= least, probes(edits)).otherwise(wanted)
+    asked = rows.select(*names, "line", "n", (F.octet_length("line") == F.col("n")).alias("plain"), F.inline(wanted))
+    length = F.col("n") - F.col("shorter")
+    start, size = _segment(length, F.col("edits"), F.col("i"))
+    asked = asked.where(edits_of(length) == F.col("edits")).select(*names, "line", "n", "plain", "i", length.alias("length"), (start + F.col("off")).alias("at"), size.alias("size"))
+    of = lambda line: _key(line, F.col("length"), F.col("i"), F.col("at"), F.col("size"))  # noqa: E731  the same for a text and its bytes
+    return asked.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n"))).select(
+        *names, F.when(F.col("plain"), of(F.col("line").cast("binary"))).otherwise(of(F.col("line"))).alias("key"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -113,7 +124,7 @@ def candidates(distinct: DataFrame) -> DataFrame:
     distinct: id, line."""
     long_ = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= min(FROM_CHARS.values()))
     filed = long_.select("id", F.explode(segment_keys(F.col("line"), F.col("n"))).alias("key"))
-    asked = long_.select(F.col("id").alias("other"), F.explode(probe_keys(F.col("line"), F.col("n"))).alias("key"))
+    asked = asked_keys(long_.withColumnRenamed("id", "other"), "other")
     heavy = written(filed.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "line-heavy")
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     if heavy.isEmpty():

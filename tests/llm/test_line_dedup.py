@@ -79,3 +79,24 @@ def test_repeated_ids_lose_their_own_lines_only(spark):
                           "twice the same row\n\n and more", "", "", None], key=str)
     rows = {(r.n_lines, r.n_removed) for r in line_dedup.per_document(docs, occurrences).where("doc_id = 2").collect()}
     assert rows == {(2, 1), (2, 0)}
+
+
+def test_probes_are_few_small_expressions_and_ask_for_all_segments(spark):
+    """Of lines around the limits, in one and in more bytes a character; a long expression in a lambda took a third of the whole job."""
+    rows = [("abcdefghij klmnopqrstuvwxyz 0123456789" * 2)[:n] for n in (3, 7, 8, 9, 10, 19, 20, 21, 22, 23, 45)]
+    rows += [x.replace("b", "é").replace("f", "漢") for x in rows]
+    found = line_dedup.asked_keys(spark.createDataFrame([(x, len(x)) for x in rows], "line string, n int"), "line")
+    want = []
+    for x in rows:
+        for shorter in range(edits(len(x)) + 1):
+            n = len(x) - shorter
+            e = edits(n)
+            if shorter <= e:
+                at, sizes = 0, [n // (e + 1) + (i >= e + 1 - n % (e + 1)) for i in range(e + 1)]
+                for i, size in enumerate(sizes if e else ()):
+                    places = {at + off for off in range(max(-i, shorter - (e - i)), min(i, shorter + e - i) + 1)}
+                    want += [(x, n, i, x[p:p + size]) for p in places if 0 <= p and p + size <= len(x)]
+                    at += size
+    keys = spark.createDataFrame(want, "line string, n int, i int, part string").selectExpr("line", "xxhash64(n, i, part) AS key")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, keys.collect())) and len(want) > 100
+    assert "lambda" not in found._jdf.queryExecution().toString()
