@@ -221,8 +221,10 @@ def in_blocks(members: DataFrame, weight: str = "0") -> DataFrame:
     sums = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.expr(weight)).alias("w")).groupBy("key").agg(
         F.max_by(F.struct("component", "n", "w"), F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     needed = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES))
-    sizes = sums.where((F.col("n") > BLOCK) | (F.col("w") > BLOCK_SHINGLES)).select("key", F.col("most.component").alias("most"), needed(
-        F.col("most.n"), F.col("most.w")).alias("firsts"), needed(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("others"))
+    sizes = written(sums.where((F.col("n") > BLOCK) | (F.col("w") > BLOCK_SHINGLES)).select("key", F.col("most.component").alias("most"), needed(
+        F.col("most.n"), F.col("most.w")).alias("firsts"), needed(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("others")), "near-large")
+    if sizes.isEmpty():
+        return members.select(*members.columns, F.col("key").alias("bucket"), F.lit(-1).alias("side"))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     place = lambda kind, x, y, side: F.struct(F.xxhash64("key", F.lit(kind), x, y).alias("bucket"), side.cast("int").alias("side"))
     large = members.join(sizes, "key").withColumn("first", F.col("component") == F.col("most"))
@@ -236,6 +238,12 @@ def in_blocks(members: DataFrame, weight: str = "0") -> DataFrame:
     return whole.unionByName(split)
 
 
+def with_sketches(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows(key, rep, component, bucket, side) with n_shingles and regs. A class meets its sketch once, not for each of its buckets."""
+    places = rows.groupBy("rep", "component").agg(F.collect_list(F.struct("key", "bucket", "side")).alias("places"))
+    return places.join(classes.select("rep", "n_shingles", "regs"), "rep").select("rep", "component", "n_shingles", "regs", F.inline("places"))
+
+
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows again, a bucket never cut in two. Buckets stand one after another."""
     rest = None  # the last bucket of a batch may go on in the next
@@ -260,7 +268,7 @@ def across(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs of different components in one bucket that could be links, each pair in the first bucket that it shares: (a, b) of all
     where they are few, else of a spanning forest; and (key) of the buckets that withhold others. members: key, rep, component. Buckets
     stand one after another in a partition, their members by size, so that a member's partners of like size follow it."""
-    rows = in_blocks(members).join(classes.select("rep", "n_shingles", "regs"), "rep").repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
+    rows = with_sketches(in_blocks(members), classes).repartition("bucket").sortWithinPartitions("bucket", "n_shingles")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         bucket, key, side, component, rep, n = (table.column(c).to_numpy() for c in ("bucket", "key", "side", "component", "rep", "n_shingles"))

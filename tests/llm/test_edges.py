@@ -385,3 +385,16 @@ def test_joining_a_bucket_in_blocks(spark, monkeypatch):
                     met[key, min(x.rep, y.rep), max(x.rep, y.rep)] += 1
     want = {(k, i, j) for k, i, a, _ in rows for q, j, b, _ in rows if k == q and i < j and a != b}
     assert set(met) == want and set(met.values()) == {1}
+
+
+def test_buckets_meet_sketches_by_class(spark):
+    """A class joins its sketch once, not in each of its buckets; buckets that fit a block are not joined with the sizes of larger ones."""
+    members = spark.createDataFrame([(k, r, r % 2) for k in range(6) for r in range(k, 9)], "key long, rep long, component long")
+    classes = spark.createDataFrame([(r, r + 5, bytes([r])) for r in range(12)], "rep long, n_shingles long, regs binary")
+    rows = near_dedup.in_blocks(members)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = near_dedup.with_sketches(rows, classes)
+    assert sorted((r.key, r.rep, r.component, r.bucket, r.side, r.n_shingles, bytes(r.regs)) for r in got.collect()) == sorted(
+        (k, r, r % 2, k, -1, r + 5, bytes([r])) for k in range(6) for r in range(k, 9))
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.index("Generate") < joined.index("Join")  # above it
