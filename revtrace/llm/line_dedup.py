@@ -3,8 +3,9 @@
 Two lines are linked if they are within the edits that the shorter one allows: none below 8 characters, one from 8, two from 20. A line
 within e edits of another keeps at least one of its e + 1 segments. Each distinct line files its segments under (length, segment number,
 content), and probes the substrings where a segment of a line up to e shorter can stand (the positions that a match's left and right
-parts leave open). A segment that very many lines share is split by letter counts: two edits change at most four of them by one, so of
-five groups of letters one has the same counts in both lines, and only lines that share a segment and such a group meet. Pairs that
+parts leave open). A segment that many lines share is split by letter counts: two edits change at most four of them by one, so of
+five groups of letters one has the same counts in both lines, and only lines that share a segment and such a group meet. They meet in
+tiles, some lines that file it against some that ask for it, which hand on a row for a line with its links, not one for a pair. Pairs that
 meet have their equal ends cut off and are verified by a banded bit-parallel edit distance: one word of 2 * e + 2 bits of vertical
 differences, moved along the diagonal.
 """
@@ -23,7 +24,8 @@ EDITS = max(FROM_CHARS)
 BLANKS = "\x20\x09\x0A\x0B\x0C\x0D"
 LETTERS = "aeinorstlduh"  # counted modulo 32; an edit changes their counts by two at most
 GROUPS = 2 * EDITS + 1  # of letters, one of which has the same counts in lines within EDITS edits
-HEAVY = 200  # lines filed under one key, beyond which the key is split by groups of letters
+HEAVY = 16  # lines filed under one key, beyond which it is split by groups of letters and its pairs are confirmed in tiles
+TILE = 32  # lines on a side of a tile, about
 BLOCK = 16
 SMALL = 8 << 20
 
@@ -110,35 +112,36 @@ def counts_differ(a: Column, b: Column) -> Column:
     return total
 
 
+def group_masks() -> list[int]:
+    """The bits of each group of letters in the counts of a line."""
+    return [sum(31 << (5 * k) for k in range(len(LETTERS)) if k % GROUPS == g) for g in range(GROUPS)]
+
+
 def group_keys(key: Column, counts: Column) -> Column:
     """The keys that a heavy key is split into: by group, the counts of its letters."""
-    found = []
-    for g in range(GROUPS):
-        mask = sum(31 << (5 * k) for k in range(len(LETTERS)) if k % GROUPS == g)
-        found.append(F.xxhash64(key, F.lit(g), counts.bitwiseAND(F.lit(mask))))
-    return F.array(*found)
+    return F.array(*[F.xxhash64(key, F.lit(g), counts.bitwiseAND(F.lit(mask))) for g, mask in enumerate(group_masks())])
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: ids of distinct lines that share a segment, and under heavy segments the counts of a group of letters too.
-    distinct: id, line."""
+def candidates(distinct: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(a, b), a < b: ids of distinct lines that share a segment which at most HEAVY lines file. And (id, key) of the lines that file and
+    that ask for the others, if there are any. distinct: id, line."""
     long_ = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= min(FROM_CHARS.values()))
     filed = long_.select("id", F.explode(segment_keys(F.col("line"), F.col("n"))).alias("key"))
     asked = asked_keys(long_.withColumnRenamed("id", "other"), "other")
     heavy = written(filed.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "line-heavy")
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     if heavy.isEmpty():
-        return filed.join(asked, "key").where("id <> other").select(*pair).distinct()
+        return written(filed.join(asked, "key").where("id <> other").select(*pair).distinct(), "line-pairs"), None
     few = broadcast_if_small(heavy, 8, SMALL)
-    light = filed.join(few, "key", "left_anti").join(asked, "key").where("id <> other").select(*pair)
-
-    def split(df: DataFrame, c: str) -> DataFrame:
-        rows = df.join(few, "key", "left_semi").join(distinct.select(F.col("id").alias(c), "line"), c)
-        return rows.select(c, letter_counts(F.col("line")).alias(f"counts_{c}"), "key").withColumn("part", F.explode(group_keys(F.col("key"), F.col(f"counts_{c}")))).drop("key")
-
-    near = counts_differ(F.col("counts_id"), F.col("counts_other")) <= 2 * EDITS
-    rest = split(filed, "id").join(split(asked, "other"), "part").where((F.col("id") != F.col("other")) & near).select(*pair)
-    return light.unionByName(rest).distinct()
+    # a heavy key stands once among the filed ones, without a line, so that those who ask for it come along with the pairs
+    once = filed.join(few, "key", "left_anti").unionByName(heavy.select(F.lit(None).cast("long").alias("id"), "key"))
+    alone = F.col("id").isNull()
+    met = once.join(asked, "key").where(alone | (F.col("id") != F.col("other"))).select(
+        pair[0], F.when(~alone, F.greatest("id", "other")).alias("b"), F.when(alone, F.col("key")).alias("key"))
+    met = written(met.distinct(), "line-pairs")
+    asking = met.where("b IS NULL").select(F.col("a").alias("id"), "key")
+    filing = written(filed.join(few, "key", "left_semi").select("id", "key"), "line-filing")
+    return met.where("b IS NOT NULL").select("a", "b"), (filing, asking)
 
 
 def _common_blocks(x: Column, y: Column) -> Column:
@@ -200,8 +203,8 @@ def _walk(s: Column, t: Column, edits: int) -> Column:
     return F.aggregate(columns, begin, step, lambda acc: acc.d)
 
 
-def within(pairs: DataFrame, edits: int) -> DataFrame:
-    """Adds distance: the edit distance of x and y where it is at most `edits`, else more than `edits`."""
+def distance_within(x: Column, y: Column, edits: int) -> Column:
+    """The edit distance of x and y where it is at most `edits`, else more than `edits`."""
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
 
     def distance(v: Column) -> Column:
@@ -209,20 +212,65 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
         return F.when(F.size(v.s) - F.size(v.t) > edits, F.lit(edits + 1)).when(
             F.size(v.s) <= edits, F.levenshtein(F.array_join(v.s, ""), F.array_join(v.t, ""))).otherwise(_walk(v.s, v.t, edits))
 
-    found = let(cores(F.col("x"), F.col("y")), lambda v: let(F.struct(letters(v.x).alias("s"), letters(v.y).alias("t")), distance))
-    return pairs.withColumn("distance", found)
+    return let(cores(x, y), lambda v: let(F.struct(letters(v.x).alias("s"), letters(v.y).alias("t")), distance))
 
 
-def line_links(distinct: DataFrame) -> DataFrame:
-    """(a, b, distance): ids of distinct lines within the edits that the shorter one allows."""
-    pairs = written(candidates(distinct), "line-pairs")
+def line_links(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, distance): those of the pairs that are within the edits that the shorter line allows."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(distinct.select("id", "line").join(broadcast_if_small(ids, 16, SMALL), "id", "left_semi"), "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     allowed = edits_of(F.least(F.char_length("x"), F.char_length("y")))
     both = both.where(counts_differ(letter_counts(F.col("x")), letter_counts(F.col("y"))) <= 2 * allowed)
-    return within(both, EDITS).where(F.col("distance") <= allowed).select("a", "b", "distance")
+    return both.withColumn("distance", distance_within(F.col("x"), F.col("y"), EDITS)).where(F.col("distance") <= allowed).select("a", "b", "distance")
+
+
+def _tiles(members: DataFrame, lines_: DataFrame, side: str) -> DataFrame:
+    """part, group and number of the tile, and its lines as an array named `side`. members: id, key."""
+    rows = members.join(lines_, "id").select("id", "line", "n", "counts", "first", F.posexplode(group_keys(F.col("key"), F.col("counts"))).alias("group", "part"))
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    placed = rows.join(sizes, "part").withColumn(f"{side}_tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    return placed.groupBy("part", f"{side}_tile").agg(F.min("group").alias(f"{side}_group"), F.collect_list(F.struct("id", "line", "n", "counts", "first")).alias(side))
+
+
+def _tile_links(filing: Column, asking: Column, group: Column) -> Column:
+    """For the lines of a tile that have links in it: id, others (linked lines), distances (on one of the two sides of a link, else null)
+    and earliest, the least `first` of the others. A line asks for shorter ones, or equally long ones with a smaller id; a pair that more
+    groups bring together is looked at in the first of them."""
+    def meets(x: Column, y: Column) -> Column:
+        changed = x.counts.bitwiseXOR(y.counts)
+        out = (x.n < y.n) | ((x.n == y.n) & (x.id < y.id))
+        for g, mask in enumerate(group_masks()[:-1]):
+            out = out & ((group <= g) | (changed.bitwiseAND(F.lit(mask)) != 0))
+        return out & (counts_differ(x.counts, y.counts) <= 2 * edits_of(x.n))
+
+    def found(y: Column) -> Column:
+        every = F.transform(filing, lambda x: F.struct(x.id.alias("id"), x.first.alias("first"), edits_of(x.n).alias("allowed"), F.when(
+            meets(x, y), distance_within(x.line, y.line, EDITS)).alias("distance")))
+        return F.filter(every, lambda v: F.coalesce(v.distance <= v.allowed, F.lit(False)))
+
+    def sides(m: Column) -> Column:
+        longer = F.transform(m, lambda v: F.struct(v.id.alias("id"), v.found.id.alias("others"), v.found.distance.alias("distances"), F.array_min(v.found["first"]).alias("earliest")))
+        shorter = F.transform(filing, lambda x: let(F.filter(m, lambda v: F.array_contains(v.found.id, x.id)), lambda got: F.struct(
+            x.id.alias("id"), got.id.alias("others"), F.lit(None).cast("array<int>").alias("distances"), F.array_min(got["first"]).alias("earliest"))))
+        return F.filter(F.concat(longer, shorter), lambda v: F.size(v.others) > 0)
+
+    return let(F.transform(asking, lambda y: F.struct(y.id.alias("id"), y.first.alias("first"), found(y).alias("found"))), sides)
+
+
+def tile_links(distinct: DataFrame, filing: DataFrame, asking: DataFrame, spots: DataFrame) -> DataFrame:
+    """Links of lines that share a heavy segment, without a row for a pair: id, others, distances, earliest, as in _tile_links, for each
+    tile. spots: id, first (places of a line)."""
+    ids = broadcast_if_small(written(filing.select("id").union(asking.select("id")).distinct(), "line-members"), 16, SMALL)
+    firsts = spots.join(ids, "id", "left_semi").groupBy("id").agg(F.min("first").alias("first"))
+    lines_ = distinct.join(ids, "id", "left_semi").join(firsts, "id").select(
+        "id", "line", F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("counts"), "first")
+    lines_ = written(lines_, "line-texts")
+    both = _tiles(filing, lines_, "filing").join(_tiles(asking, lines_, "asking"), "part")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(tasks, "part", "filing_tile", "asking_tile")
+    return both.select(F.inline(_tile_links(F.col("filing"), F.col("asking"), F.col("filing_group"))))
 
 
 def _numbered(rows: DataFrame, docs: DataFrame, *within_row: str) -> DataFrame:
@@ -236,7 +284,7 @@ def _numbered(rows: DataFrame, docs: DataFrame, *within_row: str) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, text_key, copy, position, id, links, near_doc_id, kept) of all lines that are not blank, and the links (a, b,
-    distance) between distinct texts.
+    distance) between distinct texts; occurrences are found without a row for each link of a heavy segment.
 
     A line goes if its text, or a text linked with it, stands in a document with a smaller id or earlier in its own; else it is kept.
     links: other texts linked with it; near_doc_id: the smallest id of a document that holds one of them. A null text has no lines. A null
@@ -247,14 +295,22 @@ def line_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_lines = lines(docs)
     distinct = written(all_lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line"), "lines")
-    links = written(line_links(distinct), "line-links")
+    pairs, heavy = candidates(distinct)
+    links = written(line_links(distinct, pairs), "line-links")
     # the place of each text's first occurrence
     spots = written(_numbered(all_lines.select("doc_id", "text_key", "position", F.xxhash64("line").alias("id")), docs, "position"), "line-spots")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text_key", "copy", "position")
     first = spots.groupBy("id").agg(F.min(place).alias("first"))
     sides = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
     earliest = first.select(F.col("id").alias("other"), F.col("first").alias("earliest"))
-    near = sides.join(earliest, "other").groupBy("id").agg(F.count("*").alias("links"), F.min("earliest").alias("near_first"))
+    near, count = sides.join(earliest, "other"), F.count("*")
+    if heavy:
+        tiles = written(tile_links(distinct, *heavy, spots.select("id", place.alias("first"))), "line-tiles")
+        near = near.select("id", F.array("other").alias("others"), "earliest").unionByName(tiles.select("id", "others", "earliest"))
+        count = F.size(F.array_distinct(F.flatten(F.collect_list("others")))).cast("long")  # the same link can show in several tiles
+        one = tiles.where("distances IS NOT NULL").select("id", F.inline(F.arrays_zip("others", "distances")))
+        links = links.unionByName(one.select(F.least("id", "others").alias("a"), F.greatest("id", "others").alias("b"), F.col("distances").alias("distance"))).distinct()
+    near = near.groupBy("id").agg(count.alias("links"), F.min("earliest").alias("near_first"))
     known = written(first.join(near, "id", "left").select("id", "first", F.coalesce("links", F.lit(0)).alias("links"), "near_first"), "line-known")
     # a text that many lines repeat: its row is joined by broadcast, a line in a hundred at most
     heavy = F.broadcast(spots.groupBy("id").count().where(F.col("count") > spots.count() / 100).select("id").join(known, "id"))

@@ -100,3 +100,19 @@ def test_probes_are_few_small_expressions_and_ask_for_all_segments(spark):
     keys = spark.createDataFrame(want, "line string, n int, i int, part string").selectExpr("line", "xxhash64(n, i, part) AS key")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, keys.collect())) and len(want) > 100
     assert "lambda" not in found._jdf.queryExecution().toString()
+
+
+def test_a_group_of_near_lines_makes_no_row_for_each_pair(spark, monkeypatch):
+    """120 lines within two edits of each other have 7,140 links; lines that differ in the middle meet under two segments."""
+    tables, plain_written = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, *rest: tables.append((name, plain_written(df, name, *rest))) or tables[-1][1])
+    rows = [(i, f"Page {i:03d} of the same report, read it on the next screen") for i in range(0, 100)]
+    rows += [(100 + i, f"Page {i:03d} of the same reports, read it on the next screen"[:60]) for i in range(0, 200, 10)]
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], SCHEMA)
+    occurrences, links = line_dedup.line_dedup(docs)
+    texts = [t for _, t in rows]
+    near = {d: [e for e, u in rows if e != d and distance(t, u) <= 2] for d, t in rows}
+    got = {r.doc_id: (r.links, r.near_doc_id, r.kept) for r in occurrences.collect()}
+    assert got == {d: (len(v), min(v, default=None), all(e > d for e in v)) for d, v in near.items()} and len(set(texts)) == 120
+    assert links.count() == sum(map(len, near.values())) / 2 > 4000
+    assert all(t.count() < 3000 for _, t in tables), [(n, t.count()) for n, t in tables]
