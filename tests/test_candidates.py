@@ -1,8 +1,10 @@
 """Exact candidates, and the best events of each sentence, against plain comparison."""
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from revtrace.operators import retrieval as rt
 
 NAMES = ["li", "wu", "o'neil", "phone"]
@@ -82,3 +84,14 @@ def test_a_common_value_is_not_joined_pair_by_pair(spark):
     room = spark.createDataFrame([], "query_id long, room long")
     got = rt.leading_candidates(s, i, room)
     assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {rt.MAX_EXACT}
+
+
+def test_query_asks_every_sentence(spark, tmp_path):
+    """Ids that are not divisible by 50 are asked too; the rows are those of the SQL."""
+    docs = spark.range(1, 120).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in queries()["exact_candidates"](spark, str(tmp_path)).select("query_id", "change_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute(oracle_sql()["exact_candidates"]).fetchall())
+    assert {q for q, _ in got} >= {q for q in range(1, 120) if q % 4 == 0 or q % 4 == 2 or q % 4 == 1 and q % 41}
