@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from revtrace.operators import ranking
 
@@ -53,3 +54,29 @@ def test_vectors(spark, tile, block_bytes):
     table = lambda rows, c: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], f"{c} long, embedding array<double>")
     got = ranking.vector_rank(table(queries, "query_id"), table(docs, "doc_id").repartition(3), 9, tile=tile, block_bytes=block_bytes).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in got) == sorted(want)
+
+
+def test_postings_are_sent_by_cell_and_block(spark, monkeypatch):
+    """Groups get a row for a cell and block and one for a query and shard, not one for every term, shard and block."""
+    kind, rows, real = type(spark.range(0)), [], type(spark.range(0)).mapInArrow
+
+    def counted(self, *a, **b):
+        rows.append(self.count())
+        return real(self, *a, **b)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * p) % 300) for p in (1, 7, 11, 13)])
+    docs, queries = spark.range(1000).select(F.col("id").alias("doc_id"), text.alias("text")), spark.range(500).select(F.col("id").alias("query_id"), text.alias("text"))
+    got = ranking.bm25(queries, docs, 3, shard_docs=50, query_block=50).collect()
+    assert rows[-1] <= 20 * 10 + 500 and len(got) == 1500
+
+
+def test_lists_in_several_shards(spark):
+    """Few postings a shard: every query meets many shards; common terms, copies and repeated words."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(["the"] * rng.choice([0, 1, 3]) + rng.choices([f"w{j}" for j in range(40)], k=rng.choice([1, 3, 9])))) for i in range(300)] + [(300 + i, "the same words here") for i in range(30)]
+    queries = [(i, t) for i, (_, t) in enumerate(docs[::9])] + [(900, "the"), (901, "same words the the here none")]
+    table = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    for shard_postings in (1 << 23, 200):
+        got = ranking.bm25(table(queries, "query_id"), table(docs, "doc_id").repartition(3), 10, shard_postings=shard_postings).collect()
+        assert sorted((r.query_id, r.doc_id, r["rank"]) for r in got) == plain_bm25(queries, docs, 10)
