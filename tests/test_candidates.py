@@ -45,6 +45,35 @@ def test_each_pair_once(spark):
         assert len(got) == len(set(got)) and set(got) == plain_pairs(s, i)
 
 
+def test_each_pair_once_in_small_blocks(spark, monkeypatch):
+    """Blocks of three ids, met by broadcast and by shuffle."""
+    s, i = tables(spark, 40, 60, 3, repeats=True)
+    want = plain_pairs(s, i)
+    for limit in (rt.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(rt, "BROADCAST_BYTES", limit)
+        got = [(r.query_id, r.change_id) for r in rt.exact_candidates(s, i, block=3).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_of_a_common_field_meet_in_blocks(spark, monkeypatch):
+    """400 sentences and 800 changes share a value: all 320,000 pairs come out of some hundred join rows in several tasks."""
+    rows, real = [], rt._streamed
+
+    def counted(df):
+        rows.append(df.count())
+        return real(df)
+
+    monkeypatch.setattr(rt, "_streamed", counted)
+    text = lambda v: F.array(F.lit(v)).cast("array<string>")
+    none, of = F.array().cast("array<string>"), F.lit(None).cast("string")
+    s = spark.range(400).select(F.col("id").alias("query_id"), F.lit("said").alias("sentence"), text("1 days").alias("values"))
+    i = spark.range(800).select(F.concat("id", F.lit("::0")).alias("change_id"), of.alias("first_author"), of.alias("preprint_doi"), of.alias("published_doi"),
+                                text("1 days").alias("old_values"), none.alias("new_values"), none.alias("shared_values"))
+    got = rt.exact_candidates(s, i, block=50)
+    by_task = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == 320_000 and len(by_task) > 4 and rows[0] <= 400
+
+
 def best(pairs, s, i, seen):
     """Best events of all pairs, as the windows of `candidates` order them."""
     p = rt.hints(pairs.join(i, "change_id").join(s, "query_id")).filter(F.size("hints") > 0)
